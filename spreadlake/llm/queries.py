@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, pieces, quality, secrets, toxicity, warc
+from . import fingerprints, langid, packing, pieces, quality, secrets, substrings, toxicity, warc
 from .common import crc_mod4, held_out, read, table, tune
 
 
@@ -27,9 +27,9 @@ OP2_SQL = """
 WITH hashed AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS sha,
          min(page_id) OVER (PARTITION BY sha1(coalesce(html, ''))) AS lead_id FROM pages),
-groups AS (SELECT *, list_transform(range(0, 8), i -> ('0x' || substr(sha, 5 * i::INT + 1, 5))::BIGINT) AS g FROM hashed)
+groups AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(sha, 5 * i::INT + 1, 5))::BIGINT) AS g FROM hashed)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-       list_aggregate(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+       list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((g[(k // 4)::INT + 1] >> (15 - 5 * (k % 4))::BIGINT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
        CASE WHEN page_id = lead_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = lead_id THEN NULL ELSE lead_id END AS refers_to
@@ -93,10 +93,27 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guessed.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return substrings.digests(read(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+firsts AS (SELECT k, min(doc_id) AS lead_id FROM wins GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM wins JOIN firsts USING (k) WHERE lead_id < doc_id),
+lists AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN js IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(js, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lists ON lists.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id]
+    own = [op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op10_substring_dedup": OP10_SQL}
