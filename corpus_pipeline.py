@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spreadlake.llm import packing, secrets, toxicity
+from spreadlake.llm import ngram_join, packing, secrets, substrings, toxicity
 from spreadlake.llm.common import held_out, read, table, tune
 from spreadlake.llm.queries import tokenizer_path
 
@@ -30,6 +30,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model, keep=True).filter("predicted = 0").select(*COLUMNS)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of linked documents the one with the smallest id; rows that repeat an id stay together.
+
+    Only the ids to leave out travel: they are broadcast where Spark finds them small, and shuffled where not.
+    """
+    tune(spark)
+    copies = ngram_join.join(docs).filter("component <> id").select(F.col("id").alias("doc_id")).distinct()
+    return docs.select(*COLUMNS).join(table(spark, copies, "copies"), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without passages that documents with smaller ids have."""
+    tune(spark)
+    out = substrings.remove(docs.select(*COLUMNS))
+    return _with_text(out, F.col("text"))
+
+
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, with the spans of secrets replaced by a mark."""
     tune(spark)
@@ -46,7 +63,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("secret scans", mask_secrets), ("best-fit packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("substring dedup", drop_repeats),
+    ("secret scans", mask_secrets),
+    ("best-fit packing", pack),
+]
+# A trained classifier and a tokenizer are beyond SQL; the tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, packing, pieces, quality, secrets, substrings, toxicity, warc
+from . import fingerprints, langid, ngram_join, packing, pieces, quality, secrets, substrings, toxicity, warc
 from .common import crc_mod4, held_out, read, table, tune
 
 
@@ -17,6 +17,12 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    found = ngram_join.join(read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     manifest = warc.write_packages(read(spark, sf_dir, "pages"))
@@ -111,7 +117,7 @@ FROM d LEFT JOIN lists ON lists.doc_id = d.doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup]
+    own = [op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup]
     return {f.__name__: f for f in own}
 
 

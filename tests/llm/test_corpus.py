@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spreadlake.llm import queries, substrings
+from spreadlake.llm import ngram_join, queries, substrings
 
 from .conftest import rows
 
@@ -67,3 +67,87 @@ def test_least():
     x = np.random.default_rng(1).integers(0, 1000, 100)
     for w in (1, 2, 5, 9, 13):
         assert (substrings._least(x, w) == [x[i : i + w].min() for i in range(101 - w)]).all()
+
+
+def near_components(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    lead = {i: i for i in sets}
+
+    def top(i):
+        while lead[i] != i:
+            i = lead[i]
+        return i
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
+            x, y = sets[a], sets[b]
+            if x and y and 100 * min(len(x), len(y)) >= 75 * max(len(x), len(y)):
+                o = len(x & y)
+                if 100 * o >= 75 * (len(x) + len(y) - o):
+                    lo, hi = sorted((top(a), top(b)))
+                    lead[hi] = lo
+    return sorted((i, len(s), top(i)) for i, s in sets.items())
+
+
+def test_op1(spark, place, texts):
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in rows(queries.op1_ngram_jaccard_join(spark, place)))
+    assert got == near_components(texts)
+
+
+def test_join_random(spark, monkeypatch):
+    """Chains of edits around a few bases, so that many pairs are near the threshold, over several blocks."""
+    monkeypatch.setattr(ngram_join, "CHUNK_MEMBERS", 3)
+    rng = np.random.default_rng(11)
+    texts, bases = {}, [[f"w{x}" for x in rng.integers(0, 300, n)] for n in (6, 12, 40, 80, 80, 200)]
+    for i in range(300):
+        w = list(bases[rng.integers(0, len(bases))])
+        if rng.random() < 0.5 and texts:
+            w = (texts[int(rng.choice(list(texts)))] or "").split()
+        for _ in range(rng.integers(0, 5)):
+            if w:
+                w[rng.integers(0, len(w))] = f"n{rng.integers(0, 9)}"
+        if rng.random() < 0.3:
+            w = w[: int(len(w) * rng.uniform(0.7, 1))]
+        texts[int(i * 7 % 1000)] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = sorted((r["id"], r["n"], r["component"]) for r in rows(ngram_join.join(df)))
+    assert got == near_components(texts)
+
+
+def test_signatures_never_rule_out_a_link():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: int(n * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.5))).astype(np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        if not len(b):
+            continue
+        both = np.concatenate([a, b])
+        sa, sb = ngram_join.signatures(np.repeat([0, 1], [len(a), len(b)]), both, np.array([len(a), len(b)]))
+        o = len(np.intersect1d(a, b))
+        if 100 * o >= 75 * (len(a) + len(b) - o):
+            assert ngram_join.may_link(sa, len(a), sb, len(b))
+
+
+def test_traverse_equals_intersection():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        base = np.sort(rng.choice(200, int(rng.integers(1, 80)), replace=False)).astype(np.uint32)
+        others = []
+        for _ in range(rng.integers(1, 30)):
+            keep = base[rng.random(len(base)) < rng.uniform(0.6, 1)]
+            more = rng.choice(200, int(rng.integers(0, 20)), replace=False).astype(np.uint32)
+            others.append(np.unique(np.concatenate([keep, more])) if len(keep) + len(more) else base)
+        want = [i for i, x in enumerate(others) if 100 * (o := len(np.intersect1d(x, base))) >= 75 * (len(x) + len(base) - o)]
+        assert sorted(ngram_join.traverse(base, others)) == want
+
+
+def test_components_of_a_chain(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(200, 100), (200, 300)], "a long, b long")
+    got = {r["id"]: r["component"] for r in rows(ngram_join.components(links))}
+    assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
