@@ -28,7 +28,7 @@ U = np.uint64
 SLOTS = 1 << 18
 SIZES = (4, 5)
 PIECE = 1 << 12  # slots in a row of partial counts
-FIT_ROWS = 6000
+FIT_ROWS = 3000
 THRESHOLD = 0.3
 
 
@@ -51,7 +51,7 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(flags).astype(np.int32)
 
 
-def fit_linear(docs: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: float = 1.0, steps: int = 300) -> tuple[np.ndarray, float]:
+def fit_linear(docs: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: float = 1.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """(weights with r folded in, intercept) of L2-regularised logistic regression, by accelerated gradient steps.
 
     Rows are visited in the order given and sums are in fixed order, so equal input gives equal weights.
