@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import queries as _queries
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["align_inner"](spark, sf_dir)
+    """Back-test of one pair, one row a trade."""
+    return _queries.QUERIES["trades"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_queries.ORACLES)
