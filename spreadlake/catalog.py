@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import queries as _queries
+from .plans import queries_validation  # noqa: F401  registers its queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

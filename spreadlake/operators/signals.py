@@ -12,7 +12,7 @@ from .rolling import ordered
 LONGEST_FOLD = 2000
 
 
-def _step(state, z, entry: float, leave: float, stop: float):
+def _step(state: Column, z: Column, entry: Column, leave: Column, stop: Column) -> Column:
     """Next state of FLAT 0, LONG 1, SHORT 2, COOLDOWN 3 as a column; a missing z makes it FLAT."""
     flat = F.when(z < -entry, 1).when(z > entry, 2).otherwise(0)
     long = F.when(z > -leave, 0).when(z < -stop, 3).otherwise(1)
@@ -38,24 +38,26 @@ def _walk(z: pd.Series, entry: float, leave: float, stop: float) -> list[int]:
     return out
 
 
-def state_machine(df: DataFrame, entry: float, leave: float, stop: float, keys: list[str], order: str = "ts", z: str = "zscore") -> DataFrame:
-    """df with signal in -1, 0, 1.
+def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: float | str, keys: list[str], order: str = "ts", z: str = "zscore") -> DataFrame:
+    """df with signal in -1, 0, 1.  A level is a number, or the name of a column that is constant within the keys.
 
     A row without z, or with |z| < leave, ends in FLAT from any state, so rows from one such row up to
     the next form independent segments.  Each is folded as an array in the JVM; segments of more than
     LONGEST_FOLD rows (which leave = 0 can make) are walked in Python, a group each.
     """
-    if leave > entry:
+    levels = {"_entry": entry, "_leave": leave, "_stop": stop}
+    if not isinstance(leave, str) and not isinstance(entry, str) and leave > entry:
         raise ValueError("the exit level must not exceed the entry level")
     at = ordered(keys, order)
-    reset = F.coalesce(F.abs(F.col(z)) < leave, F.lit(True))
+    level = {k: F.col(v) if isinstance(v, str) else F.lit(float(v)) for k, v in levels.items()}
+    reset = F.coalesce(F.abs(F.col(z)) < level["_leave"], F.lit(True))
     cut = df.withColumn("_seg", F.sum(reset.cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
     rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(z).alias("_z"), F.struct(*df.columns).alias("_row"))))
-    groups = cut.groupBy(*keys, "_seg").agg(rows.alias("_rows"))
+    groups = cut.groupBy(*keys, "_seg").agg(rows.alias("_rows"), *(F.first(v).alias(k) for k, v in level.items()))
     start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
 
     def fold(acc, x):
-        s = _step(acc["s"], x["_z"], entry, leave, stop)
+        s = _step(acc["s"], x["_z"], F.col("_entry"), F.col("_leave"), F.col("_stop"))
         return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
 
     short = groups.filter(F.size("_rows") <= LONGEST_FOLD).withColumn("_states", F.aggregate("_rows", start, fold)["out"])
@@ -65,7 +67,8 @@ def state_machine(df: DataFrame, entry: float, leave: float, stop: float, keys:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        return pdf.assign(signal=_walk(pdf[z], entry, leave, stop))[[*names, "signal"]]
+        found = [float(pdf[v].iloc[0]) if isinstance(v, str) else v for v in levels.values()]
+        return pdf.assign(signal=_walk(pdf[z], *found))[[*names, "signal"]]
 
     sizes = cut.groupBy(*keys, "_seg").count().filter(F.col("count") > LONGEST_FOLD).select(*keys, "_seg")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
@@ -90,13 +93,14 @@ def entry_filter(df: DataFrame, allowed: Column, keys: list[str], order: str = "
     return runs.withColumn(signal, F.when(F.col("_run").isNotNull() & opened, F.col(signal)).otherwise(0).cast("tinyint")).select(*df.columns)
 
 
-def time_stop(df: DataFrame, most: int, keys: list[str], order: str = "ts", signal: str = "signal") -> DataFrame:
-    """Rows behind the first `most` of a run become 0; 0 turns the stop off."""
-    if most <= 0:
+def time_stop(df: DataFrame, most: int | str, keys: list[str], order: str = "ts", signal: str = "signal") -> DataFrame:
+    """Rows behind the first `most` (a number, or a column's name) of a run become 0; 0 turns the stop off."""
+    if not isinstance(most, str) and most <= 0:
         return df
+    limit = F.col(most) if isinstance(most, str) else F.lit(most)
     runs = with_runs(df, keys, order, signal)
     nth = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
-    return runs.withColumn("_n", nth).withColumn(signal, F.when(F.col("_run").isNotNull() & (F.col("_n") <= most), F.col(signal)).otherwise(0).cast("tinyint")).select(*df.columns)
+    return runs.withColumn("_n", nth).withColumn(signal, F.when(F.col("_run").isNotNull() & ((limit <= 0) | (F.col("_n") <= limit)), F.col(signal)).otherwise(0).cast("tinyint")).select(*df.columns)
 
 
 def window_filter(df: DataFrame, start: int, end: int, flat: int, keys: list[str], order: str = "ts", signal: str = "signal") -> DataFrame:
