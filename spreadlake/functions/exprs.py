@@ -16,7 +16,8 @@ def div(a: Column, b: Column) -> Column:
 
 
 def clip(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
+    """x kept in lo to hi; missing stays missing (greatest and least would skip it)."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(lo), F.least(F.lit(hi), x)))
 
 
 def seconds_of_day(ts: Column) -> Column:

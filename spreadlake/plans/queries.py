@@ -133,7 +133,7 @@ def _(spark, d):
 
 
 def _lin(v: str, worst: float, best: float) -> str:
-    return f"coalesce(greatest(0.0, least(1.0, ({v} - {worst}) / ({best} - {worst}))), 0.0)"
+    return f"CASE WHEN {v} IS NULL THEN 0.0 ELSE greatest(0.0, least(1.0, ({v} - {worst}) / ({best} - {worst}))) END"
 
 
 _C = signals.CONFIDENCE

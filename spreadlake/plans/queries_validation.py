@@ -456,3 +456,16 @@ def _(spark, d):
     slow = slow.select("pair", "ts", "beta", "alpha", F.col("_w_mean_spread").alias("mean"), F.sqrt("_w_var_spread").alias("std"), "zscore", F.lit(True).alias("gate"))
     out = tick_ops.hybrid(both, slow, KEYS, tick_ops.HybridConfig(entry=1.5, leave=0.5, stop=3.0))
     return out.select("pair", "entry_time", "exit_time", "side", "n_b", *r6("pnl_gross", "costs", "pnl_net", "mfe", "mae"), "exit_reason")
+
+
+@register("stream_replay", query(f"SELECT bar_idx, {s6('zscore')}, signal::INT AS signal FROM signalled", "signalled"))
+def _(spark, d):
+    """Bars played as a stream give the batch plan's z-scores and signals."""
+    import uuid
+
+    from ..sources.storage import shared_dir
+    from ..streaming import online
+
+    name = f"replay_{uuid.uuid4().hex}"
+    out = online.replay(inputs.aligned(spark, d), f"{shared_dir(spark)}/{name}", name, window=inputs.OLS, z_window=inputs.ZW, entry=inputs.ENTRY, leave=inputs.LEAVE, stop=inputs.STOP)
+    return out.select("bar_idx", *r6("zscore"), "signal")
