@@ -12,22 +12,22 @@ from .rolling import ordered
 LONGEST_FOLD = 2000
 
 
-def _step(state: Column, z: Column, entry: Column, leave: Column, stop: Column) -> Column:
+def _step(state: Column, z: Column, entry: Column, leave: Column, stop: Column, gate: Column) -> Column:
     """Next state of FLAT 0, LONG 1, SHORT 2, COOLDOWN 3 as a column; a missing z makes it FLAT."""
-    flat = F.when(z < -entry, 1).when(z > entry, 2).otherwise(0)
+    flat = F.when(gate & (z < -entry), 1).when(gate & (z > entry), 2).otherwise(0)
     long = F.when(z > -leave, 0).when(z < -stop, 3).otherwise(1)
     short = F.when(z < leave, 0).when(z > stop, 3).otherwise(2)
     cool = F.when(F.abs(z) < leave, 0).otherwise(3)
     return F.when(z.isNull(), 0).when(state == 0, flat).when(state == 1, long).when(state == 2, short).otherwise(cool)
 
 
-def _walk(z: pd.Series, entry: float, leave: float, stop: float) -> list[int]:
+def _walk(z: pd.Series, entry: float, leave: float, stop: float, gate: pd.Series | None = None) -> list[int]:
     out, state = [], 0
-    for x in z:
+    for x, open_ in zip(z, [True] * len(z) if gate is None else gate, strict=True):
         if x != x or x is None:
             state = 0
         elif state == 0:
-            state = 1 if x < -entry else 2 if x > entry else 0
+            state = (1 if x < -entry else 2 if x > entry else 0) if open_ is True or open_ == 1 else 0
         elif state == 1:
             state = 0 if x > -leave else 3 if x < -stop else 1
         elif state == 2:
@@ -38,8 +38,9 @@ def _walk(z: pd.Series, entry: float, leave: float, stop: float) -> list[int]:
     return out
 
 
-def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: float | str, keys: list[str], order: str = "ts", z: str = "zscore") -> DataFrame:
-    """df with signal in -1, 0, 1.  A level is a number, or the name of a column that is constant within the keys.
+def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: float | str, keys: list[str], order: str = "ts", z: str = "zscore", gate: str | None = None) -> DataFrame:
+    """df with signal in -1, 0, 1.  gate: a boolean column that FLAT needs to open (the machine's own gate,
+    which asks for |z| beyond the entry level on the bar that opens).  A level is a number, or the name of a column that is constant within the keys.
 
     A row without z, or with |z| < leave, ends in FLAT from any state, so rows from one such row up to
     the next form independent segments.  Each is folded as an array in the JVM; segments of more than
@@ -52,12 +53,12 @@ def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: f
     level = {k: F.col(v) if isinstance(v, str) else F.lit(float(v)) for k, v in levels.items()}
     reset = F.coalesce(F.abs(F.col(z)) < level["_leave"], F.lit(True))
     cut = df.withColumn("_seg", F.sum(reset.cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(z).alias("_z"), F.struct(*df.columns).alias("_row"))))
+    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(z).alias("_z"), (F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(True)).alias("_g"), F.struct(*df.columns).alias("_row"))))
     groups = cut.groupBy(*keys, "_seg").agg(rows.alias("_rows"), *(F.first(v).alias(k) for k, v in level.items()))
     start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
 
     def fold(acc, x):
-        s = _step(acc["s"], x["_z"], F.col("_entry"), F.col("_leave"), F.col("_stop"))
+        s = _step(acc["s"], x["_z"], F.col("_entry"), F.col("_leave"), F.col("_stop"), x["_g"])
         return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
 
     short = groups.filter(F.size("_rows") <= LONGEST_FOLD).withColumn("_states", F.aggregate("_rows", start, fold)["out"])
@@ -68,7 +69,7 @@ def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: f
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         found = [float(pdf[v].iloc[0]) if isinstance(v, str) else v for v in levels.values()]
-        return pdf.assign(signal=_walk(pdf[z], *found))[[*names, "signal"]]
+        return pdf.assign(signal=_walk(pdf[z], *found, pdf[gate] if gate else None))[[*names, "signal"]]
 
     sizes = cut.groupBy(*keys, "_seg").count().filter(F.col("count") > LONGEST_FOLD).select(*keys, "_seg")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
