@@ -55,3 +55,19 @@ def crc_mod4(column: Column) -> Column:
 def held_out(column: Column) -> Column:
     """crc32 of the decimal id is 2 modulo 4; a null id is not held out."""
     return F.coalesce(crc_mod4(column) == 2, F.lit(False))
+
+
+FILTER_BITS = 26
+
+
+def maybe_in(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """rows without most of those whose key is not among ids, by a bitmap of fixed size (8 MB).
+
+    It only spares texts a shuffle: what it lets through is joined exactly.  A full bitmap spares nothing.
+    """
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1
+    maps = ids.select(bit.alias("h")).groupBy(F.bitmap_bucket_number("h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("h")).alias("_map"))
+    at = rows.withColumn("_h", bit).withColumns({"_bucket": F.bitmap_bucket_number("_h"), "_at": F.bitmap_bit_position("_h")})
+    byte = F.conv(F.hex(F.expr("substring(_map, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    met = at.join(F.broadcast(maps), "_bucket").withColumn("_byte", byte)
+    return met.filter(F.expr("shiftright(_byte, cast(_at % 8 as int)) % 2 = 1")).select(*rows.columns)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_table, table
+from .common import drop_table, maybe_in, table
 from .textcore import mix
 
 U = np.uint64
@@ -51,7 +51,7 @@ def features(text: str | None) -> np.ndarray:
     return np.flatnonzero(flags).astype(np.int32)
 
 
-def fit_linear(docs: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: float = 1.0, steps: int = 120) -> tuple[np.ndarray, float]:
+def fit_linear(docs: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: float = 30.0, steps: int = 120) -> tuple[np.ndarray, float]:
     """(weights with r folded in, intercept) of L2-regularised logistic regression, by accelerated gradient steps.
 
     Rows are visited in the order given and sums are in fixed order, so equal input gives equal weights.
@@ -83,7 +83,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = label.count()
     share = min(1.0, 0.9 * fit_rows / max(n, 1))  # a little less, so that the draw rarely exceeds the bound
     draw = F.xxhash64("_id", F.lit(11)).bitwiseAND((1 << 30) - 1) < int(share * (1 << 30))
-    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(label, "_id").select("_id", "_text", "_label", draw.alias("_fit"))
+    known = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    known = maybe_in(known, label.select("_id"), "_id").join(label, "_id").select("_id", "_text", "_label", draw.alias("_fit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, SLOTS), np.int32)
