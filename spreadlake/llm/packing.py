@@ -32,10 +32,13 @@ CAPACITY, END_ID, OPEN_BINS, PIECES_A_TASK = 2048, 0, 4096, 60_000
 class ChunkIds(dict):
     """chunk of non-space bytes -> its ids as little-endian unsigned 32-bit; emptied when full.
 
-    Right for tokenizers that drop ASCII white space before anything else looks at a text.
+    Right for tokenizers that drop ASCII white space before anything else looks at a text, lower-case it,
+    and cut between a letter and the punctuation in TAIL: then a word and its tail have entries of their own.
     """
 
-    def __init__(self, tokenizer_file: str, max_entries: int = 300_000) -> None:
+    TAIL = b".,;:!?*$%&#"
+
+    def __init__(self, tokenizer_file: str, max_entries: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.encode_one = Tokenizer.from_file(tokenizer_file).encode
@@ -44,6 +47,13 @@ class ChunkIds(dict):
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.max_entries:
             self.clear()
+        core = chunk.rstrip(self.TAIL)
+        if core and core != chunk and core.decode()[-1].isalpha():
+            self[chunk] = got = self[core] + self[chunk[len(core) :]]
+            return got
+        if chunk.isalpha() and chunk != chunk.lower():  # bytes: ASCII letters only
+            self[chunk] = got = self[chunk.lower()]
+            return got
         self[chunk] = got = np.array(self.encode_one(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return got
 
