@@ -147,6 +147,22 @@ def test_traverse_equals_intersection():
         assert sorted(ngram_join.traverse(base, others)) == want
 
 
+def test_traverse_keeps_shorter_variants_of_a_set_that_was_given_up():
+    u = lambda *x: np.array(x, np.uint32)
+    assert ngram_join.traverse(u(0, 1, 3, 4, 5, 6, 7, 9), [u(0, 2, 3, 4, 5, 6, 7, 8, 9), u(0, 2, 3, 4, 5, 6, 7, 9)]) == [1]
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        probe = np.sort(rng.choice(120, int(rng.integers(4, 60)), replace=False)).astype(np.uint32)
+        others = [probe]
+        for _ in range(rng.integers(2, 40)):  # sets derived from one another, some elements less and some more
+            x = others[rng.integers(0, len(others))]
+            x = x[rng.random(len(x)) < rng.uniform(0.8, 1)]
+            others.append(np.union1d(x, rng.choice(120, int(rng.integers(0, 5)), replace=False)).astype(np.uint32))
+        others = [x for x in others if len(x)]
+        want = [i for i, x in enumerate(others) if 100 * (o := len(np.intersect1d(x, probe))) >= 75 * (len(x) + len(probe) - o)]
+        assert sorted(ngram_join.traverse(probe, others)) == want
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(200, 100), (200, 300)], "a long, b long")
     got = {r["id"]: r["component"] for r in rows(ngram_join.components(links))}
