@@ -48,11 +48,13 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with the spans of secrets replaced by a mark."""
+    """Every document, with the spans of secrets replaced by a mark.
+
+    A row meets the spans of its own text by blob, so null and repeated ids get theirs, one match a row.
+    """
     tune(spark)
     ledger = table(spark, secrets.scan_unseen(docs), "ledger")
-    found = secrets.findings(docs, ledger).filter(F.size("spans") > 0).select(F.col("path").alias("doc_id"), "spans").dropDuplicates(["doc_id", "spans"])
-    joined = docs.join(found, "doc_id", "left")
+    joined = docs.select(*COLUMNS, secrets.blob("text")).join(secrets.hits(ledger), "blob", "left")
     masked = F.udf(secrets.mask, T.StringType())
     return _with_text(joined, F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked("text", "spans")))
 

@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RULE_VERSION = "1"
@@ -55,9 +55,14 @@ def empty_ledger(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
+def blob(content_col: str = "text") -> Column:
+    """The blob id of a content."""
+    return F.sha2(F.coalesce(content_col, F.lit("")), 256).alias("blob")
+
+
 def blobs(versions: DataFrame, path_col: str = "doc_id", content_col: str = "text") -> DataFrame:
     """path and the blob id of every version."""
-    return versions.select(F.col(path_col).alias("path"), F.sha2(F.coalesce(content_col, F.lit("")), 256).alias("blob"))
+    return versions.select(F.col(path_col).alias("path"), blob(content_col))
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,13 +85,17 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, path_col:
     return todo.groupBy("blob").agg(F.first("content").alias("content")).mapInArrow(_scan, LEDGER)
 
 
+def hits(ledger: DataFrame) -> DataFrame:
+    """blob, spans of the blobs with spans under RULE_VERSION."""
+    return ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+
+
 def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", content_col: str = "text") -> DataFrame:
     """path, blob, spans of every version, from a ledger that has all its blobs.
 
     Only blobs with spans take part in the join, and clean ones come out with an empty list.
     """
-    hits = ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
-    joined = blobs(versions, path_col, content_col).join(hits, "blob", "left")
+    joined = blobs(versions, path_col, content_col).join(hits(ledger), "blob", "left")
     return joined.select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
 
 

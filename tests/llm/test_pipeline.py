@@ -64,6 +64,16 @@ def test_mask():
     assert secrets.mask("0123456789", spans) == "01[SECRET]67[SECRET]9" and secrets.mask(None, spans) is None
 
 
+def test_secrets_of_null_and_repeated_ids_are_masked(spark, tmp_path):
+    dirty, other, clean = 'x token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" y', "deadbeefdeadbeef0 first, PASSWORD:abcdefghijklmn", "nothing to hide in here, however long it goes on and on"
+    ids_texts = [(None, dirty), (None, clean), (None, None), (1, dirty), (1, clean), (2, dirty), (2, other), (3, other), (3, other), (4, clean), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", None) for i, t in ids_texts], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(i, secrets.mask(t, [{"start": a, "end": b} for _, a, b in secrets.find(t)]) if t else t) for i, t in ids_texts]
+    got = [(r["doc_id"], r["text"]) for r in rows(cp.mask_secrets(spark, docs, str(tmp_path)))]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert not any(secrets.find(t) for _, t in got if t)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
 def test_stage_names(name):
     assert name
