@@ -87,7 +87,8 @@ def _walk_ticks(pdf: pd.DataFrame, c: HybridConfig) -> list[tuple]:
     cols = [pdf[k].to_numpy() for k in ("ts", "a", "b", "beta", "alpha", "mean", "std", "gate", "bar", "prev_z")]
     for ts, a, b, beta, alpha, mean, std, gate, bar, prev_z, m in zip(*cols, minute.to_numpy(), strict=True):
         valid = np.isfinite(beta) and np.isfinite(mean) and np.isfinite(std) and std > 0
-        z = (np.log(a) - beta * np.log(b) - alpha - mean) / std if valid else 0.0
+        scored = valid and a > 0 and b > 0  # a price of 0 has no logarithm, so its tick has no z-score: it opens nothing and closes by dollars or time only
+        z = (np.log(a) - beta * np.log(b) - alpha - mean) / std if scored else 0.0
         closed = m >= c.flat or m < c.start
         if trade is not None:
             side, n_a, n_b, pa, pb, entered, z0, hi, lo = trade
@@ -99,9 +100,9 @@ def _walk_ticks(pdf: pd.DataFrame, c: HybridConfig) -> list[tuple]:
                 why = "DOLLAR_STOP"
             elif c.dollar_target and live >= c.dollar_target:
                 why = "DOLLAR_TARGET"
-            elif valid and -side * z > c.stop:
+            elif scored and -side * z > c.stop:
                 why = "Z_STOP"
-            elif valid and side * z > -c.leave:
+            elif scored and side * z > -c.leave:
                 why = "Z_EXIT"
             elif closed or not valid:
                 why = "FLAT"
@@ -120,7 +121,7 @@ def _walk_ticks(pdf: pd.DataFrame, c: HybridConfig) -> list[tuple]:
             if abs(prev_z) < c.leave:
                 state = 0
             continue
-        if valid and gate and bar != bar_used and c.start <= m < c.end and abs(z) > c.entry:
+        if scored and gate and bar != bar_used and c.start <= m < c.end and abs(z) > c.entry:
             side = -1 if z > 0 else 1
             n_b = max(1, int(a * c.mult_a / (b * c.mult_b) * abs(beta) + 0.5))
             trade = (side, 1, n_b, a + side * c.slippage * c.tick_a, b - side * c.slippage * c.tick_b, ts, z, 0.0, 0.0)

@@ -417,7 +417,8 @@ def _(spark, d):
 
 
 # --- ticks inside trades ----------------------------------------------------------------------
-# Made-up trades over the events: every 200th event opens one for two days.
+# A sample that SQL can follow: of the events only every 200th opens a trade, for two days.
+# mfe_mae_trades and dollar_tpsl_trades below run on all trades of a back-test.
 cte("t_trades", "SELECT event_id AS trade_id, ts AS entry_time, ts + INTERVAL '2 days' AS exit_time, value AS entry_price, CASE WHEN event_id % 400 = 0 THEN 1 ELSE -1 END AS side FROM events WHERE event_id % 200 = 0")
 cte("t_curve", "SELECT trade_id, e.ts, e.event_id, side * (e.value - entry_price) AS pnl, row_number() OVER (PARTITION BY trade_id ORDER BY e.ts, e.event_id) AS i FROM t_trades JOIN events e ON e.event_type = 'view' AND e.ts BETWEEN entry_time AND exit_time", "t_trades")
 
@@ -440,9 +441,11 @@ def _(spark, d):
     return tick_ops.first_touch(_curve(spark, d), ["trade_id"], 150.0, 100.0, order=["ts", "event_id"]).select("trade_id", "touch", *r6("pnl"))
 
 
-@register("hybrid_ticks")
-def _(spark, d):
-    """The two-speed back-test: ticks are click events with the last view price, slow bars are hourly."""
+_HYBRID = tick_ops.HybridConfig(entry=1.5, leave=0.5, stop=3.0)
+
+
+def _two_speed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Ticks (click events with the last view price) and the trades of the two-speed back-test on them, with hourly slow bars."""
     from ..operators import rolling
 
     t = inputs.ticks(spark, d).withColumn("pair", F.lit("click_view"))
@@ -454,10 +457,43 @@ def _(spark, d):
     slow = rolling.rolling_ols(legs, 20, 10, KEYS)
     slow = rolling.moments(slow, "spread", None, 10, KEYS, prefix="_w_")
     slow = slow.select("pair", "ts", "beta", "alpha", F.col("_w_mean_spread").alias("mean"), F.sqrt("_w_var_spread").alias("std"), "zscore", F.lit(True).alias("gate"))
-    out = tick_ops.hybrid(both, slow, KEYS, tick_ops.HybridConfig(entry=1.5, leave=0.5, stop=3.0))
+    return both, tick_ops.hybrid(both, slow, KEYS, _HYBRID)
+
+
+@register("hybrid_ticks")
+def _(spark, d):
+    """The two-speed back-test: ticks are click events with the last view price, slow bars are hourly."""
+    out = _two_speed(spark, d)[1]
     return out.select("pair", "entry_time", "exit_time", "side", "n_b", *r6("pnl_gross", "costs", "pnl_net", "mfe", "mae"), "exit_reason")
 
 
+_TRADE = ["pair", "entry_time", "exit_time", "side", "n_a", "n_b", "pnl_net"]
+
+
+def _trade_curve(spark: SparkSession, d: str) -> DataFrame:
+    """Unrealized PnL at every tick of every trade of the two-speed back-test, from the entry to the exit."""
+    both, made = _two_speed(spark, d)
+    met = bars.interval_join(both.drop("pair"), made.select(*_TRADE, "entry_price_a", "entry_price_b"), "entry_time", "exit_time")
+    spec = {"mult_a": _HYBRID.mult_a, "mult_b": _HYBRID.mult_b}
+    return met.withColumn("pnl", trades.pnl_gross(F.col("side"), F.col("n_a"), F.col("n_b"), F.col("entry_price_a"), F.col("entry_price_b"), F.col("a"), F.col("b"), spec))
+
+
+@register("mfe_mae_trades")
+def _(spark, d):
+    """mfe_mae of all trades of the back-test; the commission of the entry is paid."""
+    curve = _trade_curve(spark, d).withColumn("pnl", F.col("pnl") - _HYBRID.commission * (F.col("n_a") + F.col("n_b")))
+    return tick_ops.excursions(curve, _TRADE).select("pair", "entry_time", *r6("mfe", "mae"), "mfe_ts", "mae_ts", "ticks")
+
+
+@register("dollar_tpsl_trades")
+def _(spark, d):
+    """dollar_tpsl of all trades of the back-test: a touch pays slippage and all commissions, a trade without one keeps its PnL."""
+    c, n_a, n_b = _HYBRID, F.col("n_a"), F.col("n_b")
+    cost = c.slippage * (c.tick_a * c.mult_a * n_a + c.tick_b * c.mult_b * n_b) + 2 * c.commission * (n_a + n_b)
+    got = tick_ops.first_touch(_trade_curve(spark, d), _TRADE, 150.0, 100.0, order=["ts"])
+    return got.select("pair", "entry_time", "touch", F.round(F.when(F.col("touch") == "NONE", F.col("pnl_net")).otherwise(F.col("pnl") - cost), 6).alias("pnl"))
+
+
 @register("stream_replay", query(f"SELECT bar_idx, {s6('zscore')}, signal::INT AS signal FROM signalled", "signalled"))
 def _(spark, d):
     """Bars played as a stream give the batch plan's z-scores and signals."""

@@ -169,6 +169,35 @@ def test_first_touch(spark):
     assert {r["trade_id"]: (r["touch"], r["pnl"]) for r in ticks.first_touch(c, ["trade_id"], 50.0, 50.0, ["ts", "event_id"]).collect()} == {1: ("TP", 60.0), 2: ("SL", -60.0), 3: ("NONE", 5.0)}
 
 
+def test_excursions_and_touches_of_all_trades(spark):
+    from spreadlake.plans import queries_validation as q
+
+    d = "/root/testdata/sf0.01"
+    both, made = (x.toPandas() for x in q._two_speed(spark, d))
+    mfe = {r["entry_time"]: r for r in catalog.queries()["mfe_mae_trades"](spark, d).collect()}
+    touch = {r["entry_time"]: (r["touch"], r["pnl"]) for r in catalog.queries()["dollar_tpsl_trades"](spark, d).collect()}
+    assert len(made) > 5 and len(mfe) == len(touch) == len(made) == catalog.queries()["hybrid_ticks"](spark, d).count()
+    for t in made.itertuples():
+        w = both[(both.ts >= t.entry_time) & (both.ts <= t.exit_time)].sort_values("ts")
+        live = (t.side * (t.n_a * (w.a - t.entry_price_a) * 20 - t.n_b * (w.b - t.entry_price_b) * 5)).tolist()
+        at, fee = list(w.ts), 2.5 * (t.n_a + t.n_b)
+        r = mfe[t.entry_time]
+        assert abs(r["mfe"] - (max(live) - fee)) < 1e-5 and abs(r["mae"] - (min(live) - fee)) < 1e-5 and r["ticks"] == len(live)
+        assert r["mfe_ts"] == at[live.index(max(live))] and r["mae_ts"] == at[live.index(min(live))]
+        assert abs(max(max(live), 0.0) - t.mfe) < 1e-6
+        hit = next(((("TP" if x >= 150 else "SL"), x - 5.0 * t.n_a - 5.0 * t.n_b - 2 * fee) for x in live if x >= 150 or x <= -100), ("NONE", t.pnl_net))
+        assert touch[t.entry_time][0] == hit[0] and abs(touch[t.entry_time][1] - hit[1]) < 1e-5
+
+
+def test_a_price_of_zero_opens_and_closes_nothing():
+    import pandas as pd
+
+    at = [datetime(2024, 1, 2, 9) + timedelta(minutes=i) for i in range(5)]
+    rows = pd.DataFrame({"ts": at, "a": [100.0, 50.0, 100.0, 100.0, 100.0], "b": [0.0, 100.0, 0.0, 100.0, 100.0], "beta": 1.0, "alpha": 0.0, "mean": 0.0, "std": 0.1, "gate": True, "bar": 1, "prev_z": 0.0})
+    got = ticks._walk_ticks(rows, ticks.HybridConfig(stop=9.0))
+    assert [(pd.Timestamp(t[0]), pd.Timestamp(t[1]), t[16]) for t in got] == [(at[1], at[3], "Z_EXIT")]
+
+
 def test_every_query_has_columns(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 70
