@@ -15,6 +15,7 @@ tables give empty results.  Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +35,7 @@ class ChunkIds(dict):
 
     Right for tokenizers that drop ASCII white space before anything else looks at a text, lower-case it,
     and cut between a letter and the punctuation in TAIL: then a word and its tail have entries of their own.
+    It is the last character after NFC and lower-casing that counts, which may be a combining mark where the raw one is a letter.
     """
 
     TAIL = b".,;:!?*$%&#"
@@ -48,7 +50,7 @@ class ChunkIds(dict):
         if len(self) >= self.max_entries:
             self.clear()
         core = chunk.rstrip(self.TAIL)
-        if core and core != chunk and core.decode()[-1].isalpha():
+        if core and core != chunk and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower()[-1].isalpha()):  # bytes: ASCII letters only
             self[chunk] = got = self[core] + self[chunk[len(core) :]]
             return got
         if chunk.isalpha() and chunk != chunk.lower():  # bytes: ASCII letters only

@@ -120,6 +120,16 @@ def test_op5(spark, place, texts):
     assert len(places) <= 1.02 * total / 2048 + 2
 
 
+def test_words_that_end_in_a_mark_once_normalised():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    get, whole = packing.ChunkIds(path), Tokenizer.from_file(path)
+    for text in ("\u0130.", "x\u0130!", "\u095d,", "a\u095d,", "\ufb1d!", "Word.", "\u00c9t\u00e9,", "e\u0301.", "\u6f22;", "x1."):
+        assert np.frombuffer(get.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
 def test_best_fit_bounds():
     rng = np.random.default_rng(1)
     need = rng.integers(1, 101, 3000)
