@@ -163,6 +163,19 @@ def test_traverse_keeps_shorter_variants_of_a_set_that_was_given_up():
         assert sorted(ngram_join.traverse(probe, others)) == want
 
 
+def test_rest_tries_every_row_of_a_repeated_id(spark):
+    rng = np.random.default_rng(9)
+    own = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (100, 100, 100, 100, 100, 90, 100, 110)]
+    sigs = ngram_join.signatures(np.repeat(np.arange(8), [len(x) for x in own]), np.concatenate(own), np.array([len(x) for x in own]))
+    # id 5 has all eight texts, two groups of them; ids 7 and 8 have the text of 90 and one of the others
+    nodes = [(5, len(x), s) for x, s in zip(own, sigs, strict=True)] + [(7, 90, sigs[5]), (8, 100, sigs[3])]
+    known = [(k, 5, n, 5, 1) for k in (1, 2) for n in (90, 100, 110)] + [(k, i, n, i, 1) for k in (1, 2) for i, n in ((7, 90), (8, 100))]
+    got = ngram_join._rest(
+        spark.createDataFrame(known, "key long, id long, n long, component long, _blocks long").coalesce(1), spark.createDataFrame(nodes, "id long, n long, sig binary").coalesce(1)
+    )
+    assert sorted((r["a"], r["b"]) for r in rows(got)) == [(5, 7), (5, 8)]
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(200, 100), (200, 300)], "a long, b long")
     got = {r["id"]: r["component"] for r in rows(ngram_join.components(links))}
