@@ -204,8 +204,8 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     keyed = pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("sha"))
     first = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    repeats = keyed.join(first, "sha").filter("id <> first").select("id", "first").distinct()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload")).join(repeats, "id", "left")
+    repeats = keyed.join(first, "sha").filter("id <> first").select("id", "sha", "first").distinct()
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha")).join(repeats, ["id", "sha"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)

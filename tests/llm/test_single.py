@@ -54,6 +54,13 @@ def test_zip_package(tmp_path, wide):
             assert body == (b"" if i % 7 == 6 else b"body %d" % i * i)
 
 
+def test_pages_that_repeat_an_id_with_other_payloads(spark):
+    pages = [(1, "one"), (2, "two"), (3, "one"), (3, "own"), (4, "one"), (4, "two"), (5, "one"), (5, "one")]
+    df = spark.createDataFrame([(i, f"http://h/{i}", h) for i, h in pages], "page_id long, url string, html string")
+    got = sorted((r["page_id"], bytes(r["payload"]).decode() if r["payload"] is not None else "", r["refers_to"] or 0) for r in rows(warc.read_packages(warc.write_packages(df))))
+    assert got == [(1, "one", 0), (2, "two", 0), (3, "", 1), (3, "own", 0), (4, "", 1), (4, "", 2), (5, "", 1), (5, "", 1)]
+
+
 def test_not_a_package(tmp_path):
     (tmp_path / "x").write_bytes(b"PK" * 100)
     fs, p = warc.file_system(f"file://{tmp_path}/x")
