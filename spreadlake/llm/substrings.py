@@ -1,11 +1,11 @@
-"""Substring dedup by seed and extend.
+"""Substring dedup by windows that are grouped in anchor buckets.
 
 A window is WINDOW consecutive words.  Each window has an anchor: of the SEED-word grams inside it,
 the one with the smallest hash (winnowing, so equal windows have equal anchors and neighbours mostly
 share theirs).  Documents meet on anchors: a segment is a run of windows of one document with one
-anchor, and all segments of an anchor go to one bucket.  There each anchor is extended both ways, to
-the windows around it; windows with the same words are found, and every one that also starts in a
-document with a smaller id is a repeat.  Neighbouring repeats are joined to maximal ones.
+anchor, and all segments of an anchor go to one bucket.  There windows with equal hashes are grouped (no
+pairs of documents are made and no match is extended), and every one that also starts in a document with
+a smaller id is a repeat.  Neighbouring repeats are joined to maximal ones.
 
 What a task reads is settled in the task first, a block of words at a time: of equal windows in a
 block only those of the smallest id go on, the others are repeats already.  So a passage that a
