@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textcore import Chunk, chunks, mix, range_hashes
+from .textcore import Chunk, byte_hashes, chunks, mix
 
 U = np.uint64
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_alpha_words", "n_shout_words")
@@ -69,7 +69,7 @@ def count_chunk(c: Chunk) -> dict[str, np.ndarray]:
     has_word = np.searchsorted(c.start, end) > np.searchsorted(c.start, start)
     start, end = start[has_word], end[has_word]
     docs = np.searchsorted(c.offsets, start, "right") - 1
-    later, _ = _seen_before(docs, range_hashes(data.astype(U) + U(1), start, end, 0xA24BAED4963EE407))
+    later, _ = _seen_before(docs, byte_hashes(data, start, end))
     out["n_lines"] = np.bincount(docs, minlength=c.n).astype(np.int64)
     out["n_dup_lines"] = np.bincount(docs[later], minlength=c.n).astype(np.int64)
     # words inside windows that occur twice or more in their document

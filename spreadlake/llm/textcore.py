@@ -3,8 +3,11 @@
 Everything works on the UTF-8 bytes of an Arrow string column, a few MB at a time, so memory does
 not depend on the batch size.  A *chunk* is a run of whole rows; one very long text is a chunk of
 its own.  Words are ``[^\\x20\\x09-\\x0D]+``; because white space is ASCII, byte positions are safe
-in any UTF-8 text.  Hashes are polynomials modulo 2**64 with odd bases, finished with an avalanche
-step; ranges are cut out of prefix sums, so a window hash costs the same for any window length.
+in any UTF-8 text.  Hashes of byte ranges are sums of the bytes times a pseudo-random weight of their
+place in the range (a polynomial modulo 2**64 would give some long texts, such as the Thue-Morse
+word and its complement, one hash).  Hashes of windows of words are polynomials of word hashes, cut
+out of prefix sums, so a window hash costs the same for any window length; windows are short.  All
+end with an avalanche step.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_WORD_BASE = 0xD6E8FEB86659FD93
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -57,6 +60,23 @@ def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: i
     return mix((sums[end] - sums[start]) * inverse[start])
 
 
+_WEIGHTS = mix(np.arange(1, (1 << 12) + 1, dtype=U) * U(0x9E3779B97F4A7C15)) | U(1)
+
+
+def byte_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of data[start:end) for each pair; the ranges ascend and don't overlap."""
+    size = end - start
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = np.arange(at[-1]) - np.repeat(at[:-1], size)
+    inside = np.repeat(start - at[:-1], size) + np.arange(at[-1])
+    most = int(size.max(initial=0))
+    weight = _WEIGHTS[place] if most <= len(_WEIGHTS) else mix((place + 1).astype(U) * U(0x9E3779B97F4A7C15)) | U(1)
+    weight *= data[inside].astype(U) + U(1)
+    sums = np.zeros(len(weight) + 1, U)
+    np.cumsum(weight, out=sums[1:])
+    return mix(sums[at[1:]] - sums[at[:-1]] + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
 class Chunk:
     """Words of a few consecutive rows.
 
@@ -83,7 +103,7 @@ class Chunk:
         return np.repeat(np.arange(self.n), self.n_words)
 
     def word_hashes(self) -> np.ndarray:
-        return range_hashes(self.data.astype(U) + U(1), self.start, self.end, _BYTE_BASE)
+        return byte_hashes(self.data, self.start, self.end)
 
     def windows(self, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """(position of the first word, hash) of every window of size words inside one document."""

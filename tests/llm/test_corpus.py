@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from spreadlake.llm import ngram_join, queries, substrings
+from spreadlake.llm import ngram_join, queries, substrings, textcore
 
 from .conftest import rows
 
@@ -98,12 +98,10 @@ def test_op1(spark, place, texts):
     assert got == near_components(texts)
 
 
-def test_join_random(spark, monkeypatch):
-    """Chains of edits around a few bases, so that many pairs are near the threshold, over several blocks."""
-    monkeypatch.setattr(ngram_join, "CHUNK_MEMBERS", 3)
-    rng = np.random.default_rng(11)
-    texts, bases = {}, [[f"w{x}" for x in rng.integers(0, 300, n)] for n in (6, 12, 40, 80, 80, 200)]
-    for i in range(300):
+def edited_texts(rng, n, bases):
+    """Chains of edits around a few bases, so that many pairs are near the threshold; some ids repeat texts."""
+    texts = {}
+    for i in range(n):
         w = list(bases[rng.integers(0, len(bases))])
         if rng.random() < 0.5 and texts:
             w = (texts[int(rng.choice(list(texts)))] or "").split()
@@ -113,28 +111,37 @@ def test_join_random(spark, monkeypatch):
         if rng.random() < 0.3:
             w = w[: int(len(w) * rng.uniform(0.7, 1))]
         texts[int(i * 7 % 1000)] = " ".join(w)
+    return texts
+
+
+@pytest.mark.parametrize("most,rounds,block", [(512, 2, 10**6), (4, 1, 400), (6, 0, 300)])
+def test_join_random(spark, monkeypatch, most, rounds, block):
+    """In families, by star rounds, and in pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "FAMILY_DOCS", most)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "BLOCK_WORDS", block)
+    rng = np.random.default_rng(11 + most)
+    texts = edited_texts(rng, 300, [[f"w{x}" for x in rng.integers(0, 300, n)] for n in (6, 12, 40, 80, 80, 200)])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
     got = sorted((r["id"], r["n"], r["component"]) for r in rows(ngram_join.join(df)))
     assert got == near_components(texts)
 
 
-def test_signatures_never_rule_out_a_link():
-    rng = np.random.default_rng(2)
-    for _ in range(300):
-        n = int(rng.integers(1, 400))
-        a = rng.integers(0, 2**63, n).astype(np.uint64)
-        b = np.concatenate([a[: int(n * rng.uniform(0.5, 1))], rng.integers(0, 2**63, int(n * rng.uniform(0, 0.5))).astype(np.uint64)])
-        a, b = np.unique(a), np.unique(b)
-        if not len(b):
-            continue
-        both = np.concatenate([a, b])
-        sa, sb = ngram_join.signatures(np.repeat([0, 1], [len(a), len(b)]), both, np.array([len(a), len(b)]))
-        o = len(np.intersect1d(a, b))
-        if 100 * o >= 75 * (len(a) + len(b) - o):
-            assert ngram_join.may_link(sa, len(a), sb, len(b))
-
-
-def test_traverse_equals_intersection():
+def test_join_of_repeated_and_null_ids(spark):
+    """An id with several texts has the links of any of them; a null id links with nothing."""
+    base = [f"b{i}" for i in range(100)]
+    other = [f"c{i}" for i in range(100)]
+    given = [(5, " ".join(base)), (5, " ".join(other)), (5, None), (7, " ".join(base[:90])), (8, " ".join(other[:90])), (9, " ".join(other[:50])), (None, " ".join(base)), (9, " ".join(other[:50]))]
+    df = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    got = sorted((r["id"] or 0, r["n"], r["component"]) for r in rows(ngram_join.join(df)))
+    assert got == [(0, 96, None), (5, 0, 5), (5, 96, 5), (5, 96, 5), (7, 86, 5), (8, 86, 5), (9, 46, 9), (9, 46, 9)]
+
+
+def _linked(lists, probe):
+    return ngram_join.Trie(lists, 1 + max(int(x[-1]) for x in [*lists, probe])).linked(probe, np.ones(len(lists), bool))
+
+
+def test_trie_equals_intersection():
     rng = np.random.default_rng(4)
     for _ in range(200):
         base = np.sort(rng.choice(200, int(rng.integers(1, 80)), replace=False)).astype(np.uint32)
@@ -144,12 +151,13 @@ def test_traverse_equals_intersection():
             more = rng.choice(200, int(rng.integers(0, 20)), replace=False).astype(np.uint32)
             others.append(np.unique(np.concatenate([keep, more])) if len(keep) + len(more) else base)
         want = [i for i, x in enumerate(others) if 100 * (o := len(np.intersect1d(x, base))) >= 75 * (len(x) + len(base) - o)]
-        assert sorted(ngram_join.traverse(base, others)) == want
+        assert sorted(_linked(others, base)) == want
 
 
-def test_traverse_keeps_shorter_variants_of_a_set_that_was_given_up():
+def test_trie_keeps_shorter_variants_of_a_set_that_was_given_up():
     u = lambda *x: np.array(x, np.uint32)
-    assert ngram_join.traverse(u(0, 1, 3, 4, 5, 6, 7, 9), [u(0, 2, 3, 4, 5, 6, 7, 8, 9), u(0, 2, 3, 4, 5, 6, 7, 9)]) == [1]
+    assert _linked([u(0, 2, 3, 4, 5, 6, 7, 8, 9), u(0, 2, 3, 4, 5, 6, 7, 9)], u(0, 1, 3, 4, 5, 6, 7, 9)) == [1]
+    assert sorted(_linked([u(3, 4, 10, 12, 15, 17, 18, 25, 36, 44), u(3, 4, 10, 12, 15, 17, 18, 25, 46)], u(3, 4, 10, 12, 15, 17, 18, 25, 27))) == [1]
     rng = np.random.default_rng(5)
     for _ in range(400):
         probe = np.sort(rng.choice(120, int(rng.integers(4, 60)), replace=False)).astype(np.uint32)
@@ -160,20 +168,35 @@ def test_traverse_keeps_shorter_variants_of_a_set_that_was_given_up():
             others.append(np.union1d(x, rng.choice(120, int(rng.integers(0, 5)), replace=False)).astype(np.uint32))
         others = [x for x in others if len(x)]
         want = [i for i, x in enumerate(others) if 100 * (o := len(np.intersect1d(x, probe))) >= 75 * (len(x) + len(probe) - o)]
-        assert sorted(ngram_join.traverse(probe, others)) == want
-
-
-def test_rest_tries_every_row_of_a_repeated_id(spark):
-    rng = np.random.default_rng(9)
-    own = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (100, 100, 100, 100, 100, 90, 100, 110)]
-    sigs = ngram_join.signatures(np.repeat(np.arange(8), [len(x) for x in own]), np.concatenate(own), np.array([len(x) for x in own]))
-    # id 5 has all eight texts, two groups of them; ids 7 and 8 have the text of 90 and one of the others
-    nodes = [(5, len(x), s) for x, s in zip(own, sigs, strict=True)] + [(7, 90, sigs[5]), (8, 100, sigs[3])]
-    known = [(k, 5, n, 5, 1) for k in (1, 2) for n in (90, 100, 110)] + [(k, i, n, i, 1) for k in (1, 2) for i, n in ((7, 90), (8, 100))]
-    got = ngram_join._rest(
-        spark.createDataFrame(known, "key long, id long, n long, component long, _blocks long").coalesce(1), spark.createDataFrame(nodes, "id long, n long, sig binary").coalesce(1)
-    )
-    assert sorted((r["a"], r["b"]) for r in rows(got)) == [(5, 7), (5, 8)]
+        assert sorted(_linked(others, probe)) == want
+        wanted = rng.random(len(others)) < 0.5
+        assert sorted(ngram_join.Trie(others, 120).linked(probe, wanted)) == [i for i in want if wanted[i]]
+
+
+def test_useful_keeps_all_pairs():
+    """No member of a pair that passes both bounds is left out."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        k = int(rng.integers(1, 12))
+        group, n = np.sort(rng.integers(0, 3, k)), rng.integers(1, 40, k)
+        order = np.lexsort((n, group))
+        group, n = group[order], n[order]
+        left = n - (rng.random(k) * ngram_join.prefix_size(n)).astype(np.int64)
+        use = ngram_join.useful(group, n, left)
+        for i in range(k):
+            for j in range(i + 1, k):
+                if group[i] == group[j] and ngram_join.may_link(n[i], left[i], n[j], left[j]):
+                    assert use[i] and use[j]
+
+
+def test_byte_hashes_differ_where_polynomials_collide():
+    word = "a"
+    for _ in range(12):  # a Thue-Morse word and its complement
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    c = next(textcore.chunks(pa.array([f"{word} {other} {word} b{word[1:]}"])))
+    x = c.word_hashes()
+    assert x[0] == x[2] and len(set(x.tolist())) == 3
 
 
 def test_components_of_a_chain(spark):
