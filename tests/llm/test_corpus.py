@@ -114,9 +114,10 @@ def edited_texts(rng, n, bases):
     return texts
 
 
-@pytest.mark.parametrize("most,rounds,block", [(512, 2, 10**6), (4, 1, 400), (6, 0, 300)])
-def test_join_random(spark, monkeypatch, most, rounds, block):
-    """In families, by star rounds, and in pairs of blocks."""
+@pytest.mark.parametrize("most,rounds,block,hot", [(512, 2, 10**6, 10_000), (4, 1, 400, 5), (6, 0, 300, 60)])
+def test_join_random(spark, monkeypatch, most, rounds, block, hot):
+    """In families, by star rounds, and in pairs of blocks; without and with hot shingles."""
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     monkeypatch.setattr(ngram_join, "FAMILY_DOCS", most)
     monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK_WORDS", block)
