@@ -121,6 +121,7 @@ def test_join_random(spark, monkeypatch, most, rounds, block, hot):
     monkeypatch.setattr(ngram_join, "FAMILY_DOCS", most)
     monkeypatch.setattr(ngram_join, "STAR_ROUNDS", rounds)
     monkeypatch.setattr(ngram_join, "BLOCK_WORDS", block)
+    monkeypatch.setattr(ngram_join, "TASK_LINKS", 10**6 if rounds else 5)
     rng = np.random.default_rng(11 + most)
     texts = edited_texts(rng, 300, [[f"w{x}" for x in rng.integers(0, 300, n)] for n in (6, 12, 40, 80, 80, 200)])
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
@@ -200,7 +201,9 @@ def test_byte_hashes_differ_where_polynomials_collide():
     assert x[0] == x[2] and len(set(x.tolist())) == 3
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("task", [0, 10**6])
+def test_components_of_a_chain(spark, monkeypatch, task):
+    monkeypatch.setattr(ngram_join, "TASK_LINKS", task)
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(200, 100), (200, 300)], "a long, b long")
     got = {r["id"]: r["component"] for r in rows(ngram_join.components(links))}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 300: 100}
