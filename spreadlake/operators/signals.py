@@ -2,38 +2,35 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import linear_score, minute_of_day, trapezoid_score
 from .rolling import ordered
-
-LONGEST_FOLD = 2000
+from .walk import in_order
 
 
-def _step(state: Column, z: Column, entry: Column, leave: Column, stop: Column, gate: Column) -> Column:
-    """Next state of FLAT 0, LONG 1, SHORT 2, COOLDOWN 3 as a column; a missing z makes it FLAT."""
-    flat = F.when(gate & (z < -entry), 1).when(gate & (z > entry), 2).otherwise(0)
-    long = F.when(z > -leave, 0).when(z < -stop, 3).otherwise(1)
-    short = F.when(z < leave, 0).when(z > stop, 3).otherwise(2)
-    cool = F.when(F.abs(z) < leave, 0).otherwise(3)
-    return F.when(z.isNull(), 0).when(state == 0, flat).when(state == 1, long).when(state == 2, short).otherwise(cool)
+def advance(state: int, z: float, entry: float, leave: float, stop: float, gate: bool = True) -> int:
+    """Next of FLAT 0, LONG 1, SHORT 2, COOLDOWN 3; a missing z makes it FLAT, a closed gate only keeps FLAT from opening."""
+    if z != z:
+        return 0
+    if state == 0:
+        return (1 if z < -entry else 2 if z > entry else 0) if gate else 0
+    if state == 3:
+        return 0 if abs(z) < leave else 3
+    inward = z if state == 1 else -z  # how far the spread is from a long position's loss
+    return 0 if inward > -leave else 3 if inward < -stop else state
 
 
-def _walk(z: pd.Series, entry: float, leave: float, stop: float, gate: pd.Series | None = None) -> list[int]:
+def _walk(z, entry: float, leave: float, stop: float, gate=None) -> list[int]:
+    """Signals of a whole series."""
     out, state = [], 0
-    for x, open_ in zip(z, [True] * len(z) if gate is None else gate, strict=True):
-        if x != x or x is None:
-            state = 0
-        elif state == 0:
-            state = (1 if x < -entry else 2 if x > entry else 0) if open_ is True or open_ == 1 else 0
-        elif state == 1:
-            state = 0 if x > -leave else 3 if x < -stop else 1
-        elif state == 2:
-            state = 0 if x < leave else 3 if x > stop else 2
-        elif abs(x) < leave:
-            state = 0
+    for i, x in enumerate(z):
+        state = advance(state, math.nan if x is None else x, entry, leave, stop, gate is None or bool(gate[i]))
         out.append((0, 1, -1, 0)[state])
     return out
 
@@ -42,39 +39,32 @@ def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: f
     """df with signal in -1, 0, 1.  gate: a boolean column that FLAT needs to open (the machine's own gate,
     which asks for |z| beyond the entry level on the bar that opens).  A level is a number, or the name of a column that is constant within the keys.
 
-    A row without z, or with |z| < leave, ends in FLAT from any state, so rows from one such row up to
-    the next form independent segments.  Each is folded as an array in the JVM; segments of more than
-    LONGEST_FOLD rows (which leave = 0 can make) are walked in Python, a group each.
+    The state passes from row to row, so each key's rows stream in order through one walker: one
+    exchange and one sort, whatever the length of a series.
     """
-    levels = {"_entry": entry, "_leave": leave, "_stop": stop}
     if not isinstance(leave, str) and not isinstance(entry, str) and leave > entry:
         raise ValueError("the exit level must not exceed the entry level")
-    at = ordered(keys, order)
-    level = {k: F.col(v) if isinstance(v, str) else F.lit(float(v)) for k, v in levels.items()}
-    reset = F.coalesce(F.abs(F.col(z)) < level["_leave"], F.lit(True))
-    cut = df.withColumn("_seg", F.sum(reset.cast("int")).over(at.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = F.sort_array(F.collect_list(F.struct(F.col(order).alias("_o"), F.col(z).alias("_z"), (F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(True)).alias("_g"), F.struct(*df.columns).alias("_row"))))
-    groups = cut.groupBy(*keys, "_seg").agg(rows.alias("_rows"), *(F.first(v).alias(k) for k, v in level.items()))
-    start = F.struct(F.lit(0).alias("s"), F.array().cast("array<int>").alias("out"))
-
-    def fold(acc, x):
-        s = _step(acc["s"], x["_z"], F.col("_entry"), F.col("_leave"), F.col("_stop"), x["_g"])
-        return F.struct(s.alias("s"), F.concat(acc["out"], F.array(s)).alias("out"))
-
-    short = groups.filter(F.size("_rows") <= LONGEST_FOLD).withColumn("_states", F.aggregate("_rows", start, fold)["out"])
-    flat = short.select(F.explode(F.arrays_zip("_rows", "_states")).alias("_x")).select("_x._rows._row.*", F.col("_x._states").alias("_s"))
-    folded = flat.withColumn("signal", F.when(F.col("_s") == 1, 1).when(F.col("_s") == 2, -1).otherwise(0).cast("tinyint")).drop("_s")
+    levels = {"_entry": entry, "_leave": leave, "_stop": stop}
+    rows = df.withColumns({k: F.col(v).cast("double") if isinstance(v, str) else F.lit(float(v)) for k, v in levels.items()})
+    rows = rows.withColumns({"_z": F.coalesce(F.col(z).cast("double"), F.lit(math.nan)), "_open": F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(True)})
     names = df.columns
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        found = [float(pdf[v].iloc[0]) if isinstance(v, str) else v for v in levels.values()]
-        return pdf.assign(signal=_walk(pdf[z], *found, pdf[gate] if gate else None))[[*names, "signal"]]
+    def start():
+        state = 0
+
+        def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal state
+            level = [batch.column(k)[0].as_py() for k in levels]
+            made = np.empty(batch.num_rows, np.int8)
+            for i, (x, ok) in enumerate(zip(batch.column("_z").to_pylist(), batch.column("_open").to_pylist(), strict=True)):
+                state = advance(state, x, *level, ok)
+                made[i] = (0, 1, -1, 0)[state]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made)], [*names, "signal"])
+
+        return walk
 
-    sizes = cut.groupBy(*keys, "_seg").count().filter(F.col("count") > LONGEST_FOLD).select(*keys, "_seg")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    walked = cut.join(sizes, [*keys, "_seg"], "left_semi").groupBy(*keys, "_seg").applyInPandas(walk, f"{schema}, signal tinyint")
-    return folded.unionByName(walked)
+    return in_order(rows, keys, [order], start, f"{schema}, signal tinyint")
 
 
 def with_runs(df: DataFrame, keys: list[str], order: str = "ts", signal: str = "signal", split_on_flip: bool = False) -> DataFrame:

@@ -14,14 +14,14 @@ from .rolling import _slope, ordered
 
 
 def hurst_full(df: DataFrame, keys: list[str], x: str, order: str = "ts", most: int = 20) -> DataFrame:
-    """hurst per key: slope of ln(population deviation of lagged differences) on ln(lag), kept in 0.01 to 0.99; NULL for short series."""
+    """hurst per key: slope of ln(population deviation of lagged differences) on ln(lag), kept in 0.01 to 0.99; NULL for fewer than most + 2 values."""
     at = ordered(keys, order)
     lags = range(2, most + 1)
     rows = df.filter(F.col(x).isNotNull()).withColumns({f"_d{k}": F.col(x) - F.lag(x, k).over(at) for k in lags})
     agg = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.stddev_pop(f"_d{k}").alias(f"_t{k}") for k in lags))
     ys = [F.when((F.col(f"_t{k}") > 1e-12) & (F.least(F.lit(most), F.floor(F.col("_n") / 2)) >= k), F.ln(F.when(F.col(f"_t{k}") > 1e-12, F.col(f"_t{k}")))) for k in lags]
     h = agg.withColumn("_h", _slope([math.log(k) for k in lags], ys))
-    ok = (F.col("_n") >= F.least(F.lit(most), F.floor(F.col("_n") / 2)) + 2) & F.col("_h").isNotNull()
+    ok = (F.col("_n") >= most + 2) & F.col("_h").isNotNull()
     return h.select(*keys, F.when(ok, F.greatest(F.lit(0.01), F.least(F.lit(0.99), F.col("_h")))).alias("hurst"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections import deque
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,44 @@ def nearest(a: DataFrame, b: DataFrame, keys: list[str], column: str, most: int)
     return met.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "_at")
 
 
+def greedy_match(a: DataFrame, b: DataFrame, keys: list[str], most: int, column: str = "entry_bar") -> DataFrame:
+    """One-to-one matches (column, other): a's entries in order, each with its nearest entry of b within `most` that is still free, the earlier of two as near.
+
+    Both lists stream in one order; what waits is what lies within 2 * `most` of the newest entry.
+    """
+    from .walk import in_order
+
+    both = a.select(*keys, F.col(column).cast("bigint").alias("_at"), F.lit(0).alias("_list")).unionByName(b.select(*keys, F.col(column).cast("bigint").alias("_at"), F.lit(1).alias("_list")))
+    # each of a's entries is decided `most` behind itself, when all its partners are known; b's come first at one place
+    both = both.withColumn("_turn", F.col("_at") + F.when(F.col("_list") == 0, most).otherwise(0))
+    names = [*keys, column, "other"]
+
+    def start():
+        free: deque[int] = deque()
+
+        def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows, found, other = [], [], []
+            for i, (at, which) in enumerate(zip(batch.column("_at").to_pylist(), batch.column("_list").to_pylist(), strict=True)):
+                if which:
+                    free.append(at)
+                    continue
+                while free and free[0] < at - most:
+                    free.popleft()
+                near = min((x for x in free if x <= at + most), key=lambda x: (abs(x - at), x), default=None)
+                if near is not None:
+                    free.remove(near)
+                    rows.append(i)
+                    found.append(at)
+                    other.append(near)
+            own = [batch.column(k).take(pa.array(rows, pa.int64())) for k in keys]
+            return pa.RecordBatch.from_arrays([*own, pa.array(found, pa.int64()), pa.array(other, pa.int64())], names)
+
+        return walk
+
+    schema = ", ".join([*(f"`{k}` {a.schema[k].dataType.simpleString()}" for k in keys), f"`{column}` bigint", "other bigint"])
+    return in_order(both.withColumn("_last", 1 - F.col("_list")), keys, ["_turn", "_last", "_at"], start, schema)
+
+
 @dataclass(frozen=True)
 class HybridConfig:
     """Levels of the two-speed back-test; minutes are of the day; 0 turns a dollar exit off."""
@@ -63,6 +102,7 @@ class HybridConfig:
     entry: float = 2.0
     leave: float = 0.5
     stop: float = 4.0
+    cooldown: float = 0.5
     dollar_target: float = 0.0
     dollar_stop: float = 0.0
     start: int = 240
@@ -79,73 +119,149 @@ class HybridConfig:
 TRADE_FIELDS = ("entry_time", "exit_time", "side", "n_a", "n_b", "entry_price_a", "entry_price_b", "exit_price_a", "exit_price_b", "pnl_gross", "costs", "pnl_net", "entry_z", "exit_z", "mfe", "mae", "exit_reason")
 
 
-def _walk_ticks(pdf: pd.DataFrame, c: HybridConfig) -> list[tuple]:
-    """One key's ticks in time order, each with the indicators of its slow bar and the gate of the bar before."""
-    out: list[tuple] = []
-    state, bar_used, trade = 0, None, None
-    minute = pdf["ts"].dt.hour * 60 + pdf["ts"].dt.minute
-    cols = [pdf[k].to_numpy() for k in ("ts", "a", "b", "beta", "alpha", "mean", "std", "gate", "bar", "prev_z")]
-    for ts, a, b, beta, alpha, mean, std, gate, bar, prev_z, m in zip(*cols, minute.to_numpy(), strict=True):
-        valid = np.isfinite(beta) and np.isfinite(mean) and np.isfinite(std) and std > 0
-        scored = valid and a > 0 and b > 0  # a price of 0 has no logarithm, so its tick has no z-score: it opens nothing and closes by dollars or time only
-        z = (np.log(a) - beta * np.log(b) - alpha - mean) / std if scored else 0.0
-        closed = m >= c.flat or m < c.start
-        if trade is not None:
-            side, n_a, n_b, pa, pb, entered, z0, hi, lo = trade
-            live = side * (n_a * (a - pa) * c.mult_a - n_b * (b - pb) * c.mult_b)
-            hi, lo = max(hi, live), min(lo, live)
-            trade = (side, n_a, n_b, pa, pb, entered, z0, hi, lo)
-            why = None
-            if c.dollar_stop and live <= -c.dollar_stop:
-                why = "DOLLAR_STOP"
-            elif c.dollar_target and live >= c.dollar_target:
-                why = "DOLLAR_TARGET"
-            elif scored and -side * z > c.stop:
-                why = "Z_STOP"
-            elif scored and side * z > -c.leave:
-                why = "Z_EXIT"
-            elif closed or not valid:
-                why = "FLAT"
+#: Names of the exit reasons.
+TP_ZSCORE, SL_ZSCORE, TP_DOLLAR, SL_DOLLAR, FLAT_EOD = "TP_ZSCORE", "SL_ZSCORE", "TP_DOLLAR", "SL_DOLLAR", "FLAT_EOD"
+LAST_BAR_SECONDS = 300
+
+
+@dataclass
+class _Position:
+    side: int
+    n_a: int
+    n_b: int
+    price_a: float
+    price_b: float
+    entered: object
+    z: float
+    mfe: float = 0.0
+    mae: float = 0.0
+
+    def worth(self, a: float, b: float, c: HybridConfig) -> float:
+        return self.side * (self.n_a * (a - self.price_a) * c.mult_a - self.n_b * (b - self.price_b) * c.mult_b)
+
+
+class HybridDesk:
+    """The state of one series: a position or none, whether it cools down, and the slow bar that it is in.
+
+    Rules.  A slow bar decides on the gate and z-score of the bar before; its own hedge, mean and
+    deviation score its ticks.  A bar whose indicators are missing closes a position on its first tick
+    (without a tick the position lapses) and ends a cooldown.  Outside the session everything is closed
+    first.  Then a position looks at its dollar stop, dollar target, z stop and z target, in this order,
+    and cools down behind any of them; a cooldown ends at the start of a bar, once the z-score of the bar
+    before is inside its level.  No entry in a bar that closed a position.  A price that is not above 0
+    has no z-score: it opens nothing, and closes by dollars or time only.
+    """
+
+    def __init__(self, cfg: HybridConfig) -> None:
+        self.cfg, self.position, self.cooling, self.bar, self.closed_in = cfg, None, False, None, None
+
+    def begin(self, bar: dict) -> None:
+        if self.bar is not None and not self.bar["valid"]:
+            self.position = None
+        self.bar = bar
+        bar["valid"] = all(map(math.isfinite, (bar["beta"], bar["alpha"], bar["mean"], bar["std"]))) and bar["std"] != 0
+        if not bar["valid"]:
+            self.cooling = False
+        elif self.cooling and math.isfinite(bar["prev_z"]) and abs(bar["prev_z"]) < self.cfg.cooldown:
+            self.cooling = False
+
+    def _close(self, ts, a: float, b: float, z: float, why: str) -> tuple:
+        p, c, self.position = self.position, self.cfg, None
+        out_a, out_b = a - p.side * c.slippage * c.tick_a, b + p.side * c.slippage * c.tick_b
+        gross, costs = p.worth(out_a, out_b, c), 2 * c.commission * (p.n_a + p.n_b)
+        return (p.entered, ts, p.side, p.n_a, p.n_b, p.price_a, p.price_b, out_a, out_b, gross, costs, gross - costs, p.z, z, p.mfe, p.mae, why)
+
+    def _reason(self, live: float, z: float | None) -> str | None:
+        c = self.cfg
+        if c.dollar_stop and live <= -c.dollar_stop:
+            return SL_DOLLAR
+        if c.dollar_target and live >= c.dollar_target:
+            return TP_DOLLAR
+        if z is None:
+            return None
+        toward = self.position.side * z  # below -stop it has run away, over -leave it has come back
+        return SL_ZSCORE if toward < -c.stop else TP_ZSCORE if toward > -c.leave else None
+
+    def tick(self, ts, a: float, b: float, minute: int) -> tuple | None:
+        """A finished trade, if this tick ends one."""
+        c, bar = self.cfg, self.bar
+        if bar is None or (bar["end"] is not None and ts >= bar["end"]):
+            return None
+        if not bar["valid"]:
+            return self._close(ts, a, b, 0.0, FLAT_EOD) if self.position else None
+        z = (math.log(a) - bar["beta"] * math.log(b) - bar["alpha"] - bar["mean"]) / bar["std"] if a > 0 and b > 0 else None
+        if minute >= c.flat or minute < c.start:
+            self.cooling = False
+            if self.position:
+                self.closed_in = bar["number"]
+                return self._close(ts, a, b, 0.0 if z is None else z, FLAT_EOD)
+            return None
+        if self.position:
+            p = self.position
+            live = p.worth(a, b, c)
+            p.mfe, p.mae = max(p.mfe, live), min(p.mae, live)
+            why = self._reason(live, z)
             if why:
-                qa, qb = a - side * c.slippage * c.tick_a, b + side * c.slippage * c.tick_b
-                gross = side * (n_a * (qa - pa) * c.mult_a - n_b * (qb - pb) * c.mult_b)
-                costs = 2 * c.commission * (n_a + n_b)
-                out.append((entered, ts, side, n_a, n_b, pa, pb, qa, qb, gross, costs, gross - costs, z0, z, hi, lo, why))
-                trade, bar_used = None, bar
-                state = 0 if why == "FLAT" else 3
-            continue
-        if closed:
-            state = 0
-            continue
-        if state == 3:
-            if abs(prev_z) < c.leave:
-                state = 0
-            continue
-        if scored and gate and bar != bar_used and c.start <= m < c.end and abs(z) > c.entry:
+                self.cooling, self.closed_in = True, bar["number"]
+                return self._close(ts, a, b, 0.0 if z is None else z, why)
+        elif not self.cooling and z is not None and abs(z) > c.entry and bar["gate"] and bar["number"] != self.closed_in and c.start <= minute < c.end:
             side = -1 if z > 0 else 1
-            n_b = max(1, int(a * c.mult_a / (b * c.mult_b) * abs(beta) + 0.5))
-            trade = (side, 1, n_b, a + side * c.slippage * c.tick_a, b - side * c.slippage * c.tick_b, ts, z, 0.0, 0.0)
-    return out
+            n_b = max(1, int(a * c.mult_a / (b * c.mult_b) * abs(bar["beta"]) + 0.5))
+            self.position = _Position(side, 1, n_b, a + side * c.slippage * c.tick_a, b - side * c.slippage * c.tick_b, ts, z)
+        return None
 
 
 def hybrid(ticks: DataFrame, slow: DataFrame, keys: list[str], cfg: HybridConfig = HybridConfig()) -> DataFrame:
     """Trades of a back-test that decides on ticks (ts, a, b) with indicators of slow bars.
 
-    slow: ts, beta, alpha, mean and std of the spread, zscore, gate.  A tick sees the bar that it falls
-    in and the gate and z-score of the bar before.  State lasts across ticks, so a key is a group that a
-    Python worker walks; keys (pairs, configurations) run in parallel.
+    slow: ts, beta, alpha, mean and std of the spread, zscore, gate.  Bars and ticks of a key come as one
+    stream in time order, a bar before its ticks; ticks before the first bar, and from LAST_BAR_SECONDS
+    behind the start of the last one on, are not seen.  The walker keeps its state from batch to batch, so a key's
+    length does not matter; keys (pairs, configurations) run in parallel.
     """
-    from .bars import asof
     from .rolling import ordered
+    from .walk import in_order
 
     at = ordered(keys)
-    bars_ = slow.select(*keys, "ts", "beta", "alpha", "mean", "std", F.coalesce(F.lag("gate").over(at), F.lit(False)).alias("gate"), F.row_number().over(at).alias("bar"), F.coalesce(F.lag("zscore").over(at), F.lit(0.0)).alias("prev_z"))
-    met = asof(ticks.select(*keys, "ts", "a", "b"), bars_, keys, ["beta", "alpha", "mean", "std", "gate", "bar", "prev_z"]).filter(F.col("bar").isNotNull())
+    lagged = {"gate": F.coalesce(F.lag("gate").over(at), F.lit(False)), "prev_z": F.lag("zscore").over(at)}
+    end = F.when(F.lead("ts").over(at).isNull(), F.col("ts") + F.make_dt_interval(secs=F.lit(LAST_BAR_SECONDS)))
+    marks = slow.select(*keys, "ts", F.lit(0).alias("_tick"), "beta", "alpha", "mean", "std", *(v.alias(k) for k, v in lagged.items()), F.row_number().over(at).alias("number"), end.alias("end"))
+    both = marks.unionByName(ticks.select(*keys, "ts", F.lit(1).alias("_tick"), F.col("a").cast("double"), F.col("b").cast("double")), allowMissingColumns=True)
+    both = both.withColumn("_minute", F.hour("ts") * 60 + F.minute("ts"))
+    kinds = {"entry_time": "timestamp_ntz", "exit_time": "timestamp_ntz", "side": "int", "n_a": "int", "n_b": "int", "exit_reason": "string"}
+    types = {f: {"timestamp_ntz": pa.timestamp("us"), "int": pa.int32(), "string": pa.string()}.get(kinds.get(f), pa.float64()) for f in TRADE_FIELDS}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        made = _walk_ticks(pdf.sort_values("ts", kind="stable"), cfg)
-        return pd.DataFrame([(*pdf.iloc[0][keys], *m) for m in made], columns=[*keys, *TRADE_FIELDS])
+    def start():
+        desk = HybridDesk(cfg)
+        number = lambda x: math.nan if x is None else x
+
+        def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+            made = []
+            for r in batch.to_pylist():
+                if r["_tick"]:
+                    done = desk.tick(r["ts"], number(r["a"]), number(r["b"]), r["_minute"])
+                    if done:
+                        made.append(done)
+                else:
+                    desk.begin({k: number(r[k]) for k in ("beta", "alpha", "mean", "std", "prev_z")} | {k: r[k] for k in ("gate", "number", "end")})
+            own = [batch.column(k).slice(0, 1).take(pa.array([0] * len(made), pa.int64())) for k in keys]
+            return pa.RecordBatch.from_arrays([*own, *(pa.array([t[i] for t in made], types[f]) for i, f in enumerate(TRADE_FIELDS))], [*keys, *TRADE_FIELDS])
+
+        return walk
 
-    kinds = {"entry_time": "timestamp_ntz", "exit_time": "timestamp_ntz", "side": "int", "n_a": "int", "n_b": "int", "exit_reason": "string"}
     schema = ", ".join([f"`{k}` {ticks.schema[k].dataType.simpleString()}" for k in keys] + [f"{f} {kinds.get(f, 'double')}" for f in TRADE_FIELDS])
-    return met.groupBy(*keys).applyInPandas(run, schema)
+    return in_order(both, keys, ["ts", "_tick"], start, schema)
+
+
+def hybrid_summary(made: DataFrame, keys: list[str]) -> DataFrame:
+    """Summary of the two-speed trades with the largest drawdown of their cumulative PnL; rounded as a report."""
+    w = Window.partitionBy(*keys).orderBy("exit_time", "entry_time").rowsBetween(Window.unboundedPreceding, 0)
+    run = made.withColumn("_cum", F.sum("pnl_net").over(w))
+    run = run.withColumn("_dd", F.col("_cum") - F.max("_cum").over(w))
+    pnl = F.col("pnl_net")
+    won, lost = F.coalesce(F.sum(F.when(pnl > 0, pnl)), F.lit(0.0)), F.coalesce(F.sum(F.when(pnl <= 0, -pnl)), F.lit(0.0))
+    factor = F.when(lost > 0, won / F.nullif(lost, F.lit(0.0))).when(won > 0, float("inf")).otherwise(0.0)
+    return run.groupBy(*keys).agg(
+        F.count("*").alias("trades"), F.round(100 * F.avg((pnl > 0).cast("double")), 1).alias("win_rate"), F.round(F.sum(pnl), 2).alias("pnl"),
+        F.round(factor, 2).alias("profit_factor"), F.round(F.avg(pnl), 2).alias("avg_pnl_trade"), F.round(F.min("_dd"), 2).alias("max_drawdown"),
+    )

@@ -114,7 +114,7 @@ def equity(bars: DataFrame, trades: DataFrame, keys: list[str], capital: float =
 
 
 def performance(curve: DataFrame, trades: DataFrame, keys: list[str], bars_per_day: int = 264, order: str = "bar_idx") -> DataFrame:
-    """Sharpe and Calmar of bar returns, largest drawdown in percent and its longest stretch, with the trades' summary."""
+    """Sharpe of bar returns, Calmar of the compounded return, largest drawdown in percent and its longest stretch, with the trades' summary; zeros without trades."""
     at = ordered(keys, order)
     w = at.rowsBetween(Window.unboundedPreceding, 0)
     rows = curve.withColumns({"_r": F.coalesce(div(F.col("equity") - F.lag("equity").over(at), F.lag("equity").over(at)), F.lit(0.0)), "_first": F.lag("equity").over(at).isNull(), "_peak": F.max("equity").over(w)})
@@ -128,9 +128,11 @@ def performance(curve: DataFrame, trades: DataFrame, keys: list[str], bars_per_d
     )
     agg = agg.join(longest, keys, "left").join(summary(trades, keys), keys, "left")
     sharpe = F.coalesce(div(F.col("_m"), F.when(F.col("_s") > 1e-12, F.col("_s"))) * F.sqrt(F.lit(float(year))), F.lit(0.0))
-    annual = 100 * (F.col("_to") / F.col("_from") - 1) * year / F.col("_n")
+    grown = F.pow(F.coalesce(div(F.col("_to"), F.col("_from")), F.lit(1.0)), F.lit(float(year)) / F.col("_n")) - 1
+    annual = F.when(F.isnan(grown) | (F.abs(grown) == float("inf")), 0.0).otherwise(100 * grown)
     calmar = F.when(F.col("max_dd_pct") > 0, annual / F.nullif(F.col("max_dd_pct"), F.lit(0.0))).otherwise(F.lit(float("inf")))
-    return agg.select(*keys, "trades", "win_rate", "pnl", "profit_factor", "avg_pnl", sharpe.alias("sharpe"), "max_dd_pct", F.coalesce("max_dd_bars", F.lit(0)).cast("bigint").alias("max_dd_bars"), calmar.alias("calmar"))
+    found = {"trades": F.col("trades"), **{c: F.col(c) for c in ("win_rate", "pnl", "profit_factor", "avg_pnl")}, "sharpe": sharpe, "max_dd_pct": F.col("max_dd_pct"), "max_dd_bars": F.coalesce("max_dd_bars", F.lit(0)).cast("bigint"), "calmar": calmar}
+    return agg.select(*keys, *(F.when(F.col("trades").isNotNull(), v).otherwise(0).alias(k) for k, v in found.items()))
 
 
 def loss_streaks(trades: DataFrame, keys: list[str], order: str = "exit_bar", zero_is_loss: bool = True) -> DataFrame:

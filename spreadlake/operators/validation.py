@@ -84,23 +84,62 @@ def account_limits(trades: DataFrame, curve: DataFrame, keys: list[str], daily_l
     return days.join(dd, keys).withColumn("compliant", (F.col("days_over_loss") == 0) & (F.col("bars_over_drawdown") == 0))
 
 
-def walk_forward(trades: DataFrame, n_bars: int, keys: list[str], in_sample: int, out_sample: int, step: int) -> DataFrame:
-    """fold with its out-of-sample trades: n, pnl, profit factor, and GO when pnl and profit factor say so."""
-    from .trades import profit_factor
+def walk_forward(trades: DataFrame, n_bars: int, keys: list[str], in_sample: int, out_sample: int, step: int, least: int = 3) -> DataFrame:
+    """Every fold of every key with its out-of-sample trades: n, pnl and profit factor (0 without losses).
 
+    GO asks for a profit factor over 1 and `least` trades; a fold without trades is no GO.
+    """
     spark = trades.sparkSession
     n = max(0, (n_bars - in_sample - out_sample) // step + 1)
     f = F.broadcast(spark.range(n).select(F.col("id").cast("int").alias("fold"), (F.col("id") * step + in_sample).alias("lo"), (F.col("id") * step + in_sample + out_sample).alias("hi")))
-    met = trades.join(f, (F.col("entry_bar") >= F.col("lo")) & (F.col("exit_bar") <= F.col("hi")))
-    got = met.groupBy(*keys, "fold").agg(F.count("*").alias("n"), F.sum("pnl_net").alias("pnl"), profit_factor(F.col("pnl_net")).alias("profit_factor"))
-    return got.withColumn("go", (F.col("pnl") > 0) & (F.col("profit_factor") > 1))
+    # folds lie a step apart, so the ones that a trade may be in follow from its entry
+    last = F.floor((F.col("entry_bar") - in_sample) / step).cast("int")
+    first = F.greatest(F.lit(0), last - (out_sample - 1) // step)
+    near = trades.filter(F.col("entry_bar") >= in_sample).withColumn("fold", F.explode(F.sequence(first, last)))
+    met = near.join(f, "fold").filter((F.col("entry_bar") >= F.col("lo")) & (F.col("exit_bar") <= F.col("hi")))
+    pnl = F.col("pnl_net")
+    got = met.groupBy(*keys, "fold").agg(F.count("*").alias("_n"), F.sum(pnl).alias("_pnl"), F.sum(F.when(pnl > 0, pnl)).alias("_won"), F.sum(F.when(pnl < 0, -pnl)).alias("_lost"))
+    every = trades.select(*keys).distinct().crossJoin(f.select("fold")).join(got, [*keys, "fold"], "left")
+    factor = F.when(F.col("_lost") > 0, F.coalesce("_won", F.lit(0.0)) / F.nullif(F.col("_lost"), F.lit(0.0))).otherwise(0.0)
+    out = every.select(*keys, "fold", F.coalesce("_n", F.lit(0)).alias("n"), F.coalesce("_pnl", F.lit(0.0)).alias("pnl"), factor.alias("profit_factor"))
+    return out.withColumn("go", (F.col("profit_factor") > 1) & (F.col("n") >= least))
 
 
 def recency(found: DataFrame, keys: list[str], last: int = 6) -> DataFrame:
+    """The share of GO among the last folds."""
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("fold")))
     return found.withColumn("_n", nth).filter(F.col("_n") <= last).groupBy(*keys).agg((100 * F.avg(F.col("go").cast("double"))).alias("pct_go"), F.count("*").alias("folds"))
 
 
+def permutation(measured: DataFrame, metric: str, allowed: Column, n_sims: int, keys: list[str], order: str = "bar_idx", seed: int = 7) -> DataFrame:
+    """Back-tests of the signals under a gate on the metric (sim NULL) and on n_sims orders of it: trades, pnl, profit factor.
+
+    The gate delays entries, so every order makes trades of its own.
+    """
+    from . import signals
+    from . import trades as t
+
+    rows = measured.withColumn("_i", F.row_number().over(ordered(keys, order)))
+    sims = F.broadcast(measured.sparkSession.range(-1, n_sims).select(F.col("id").alias("sim")))  # a stated number
+    each = rows.crossJoin(sims)
+    by_hash = [F.when(F.col("sim") >= 0, F.md5(F.concat_ws(":", "sim", F.lit(seed), order))), F.col(order)]
+    mixed = each.select(*keys, "sim", F.row_number().over(Window.partitionBy(*keys, "sim").orderBy(*by_hash)).alias("_i"), metric)
+    met = each.drop(metric).join(mixed, [*keys, "sim", "_i"])
+    gated = signals.entry_filter(met, allowed, [*keys, "sim"], order)
+    found = t.summary(t.backtest(gated, [*keys, "sim"], order), [*keys, "sim"])
+    every = measured.select(*keys).distinct().crossJoin(sims).join(found, [*keys, "sim"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return every.select(*keys, F.when(F.col("sim") >= 0, F.col("sim")).alias("sim"), zero("trades").alias("trades"), zero("pnl").alias("pnl"), zero("profit_factor").alias("profit_factor"))
+
+
+def permutation_p(found: DataFrame, keys: list[str]) -> DataFrame:
+    """p_value: the share of shuffles with a profit factor at or over the one of the metric as it is."""
+    own = F.max(F.when(F.col("sim").isNull(), F.col("profit_factor")))
+    ref = found.groupBy(*keys).agg(own.alias("profit_factor"))
+    sims = found.filter("sim is not null").withColumnRenamed("profit_factor", "_pf").join(F.broadcast(ref), keys)
+    return sims.groupBy(*keys, "profit_factor").agg(F.count("*").alias("sims"), F.avg((F.col("_pf") >= F.col("profit_factor")).cast("double")).alias("p_value"))
+
+
 def shuffled(trades: DataFrame, n_sims: int, keys: list[str], seed: int = 42, key: str = "entry_bar") -> DataFrame:
     """Every trade in each of n_sims orders; the order comes from a hash of simulation, seed and trade, so any run repeats it."""
     sims = F.broadcast(trades.sparkSession.range(n_sims).select(F.col("id").alias("sim")))

@@ -264,7 +264,7 @@ def _(spark, d):
 cte("curve", "SELECT *, equity / lag(equity) OVER (ORDER BY bar_idx) - 1 AS r, max(equity) OVER (ORDER BY bar_idx ROWS UNBOUNDED PRECEDING) AS peak FROM equity", "equity")
 cte("dips", "SELECT *, sum((equity >= peak)::INT) OVER (ORDER BY bar_idx) AS isle FROM curve", "curve")
 _PERF = f"""SELECT trades, {s6('win_rate', 'pnl', 'profit_factor', 'avg_pnl', 'sharpe', 'max_dd_pct')}, max_dd_bars, {s6('calmar')} FROM (SELECT {SUMMARY} FROM trades),
- (SELECT avg(r) / stddev_pop(r) * sqrt(264 * 252) AS sharpe, max(100 * (peak - equity) / peak) AS max_dd_pct, 100 * (arg_max(equity, bar_idx) / arg_min(equity, bar_idx) - 1) * 264 * 252 / count(*) / max(100 * (peak - equity) / peak) AS calmar FROM curve),
+ (SELECT avg(r) / stddev_pop(r) * sqrt(264 * 252) AS sharpe, max(100 * (peak - equity) / peak) AS max_dd_pct, 100 * (pow(1 + (arg_max(equity, bar_idx) - arg_min(equity, bar_idx)) / arg_min(equity, bar_idx), 264 * 252 / count(*)) - 1) / max(100 * (peak - equity) / peak) AS calmar FROM curve),
  (SELECT coalesce(max(n), 0)::BIGINT AS max_dd_bars FROM (SELECT count(*) AS n FROM dips WHERE equity < peak GROUP BY isle))"""
 
 

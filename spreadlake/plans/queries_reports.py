@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import rolling, signals, trades
+from ..operators import rolling, signals, ticks as tick_ops, trades
 from . import grid, inputs
 from .inputs import ENTRY, KEYS, LEAVE, STOP, cte, price_sql, query
 from .queries import r6, register, s6
-from .queries_validation import _grid, _two
+from .queries_validation import _grid, _two, gated_sql
 
 
 @register("derived_levels", query("SELECT config_id, round(greatest(entry - leave, 0), 4) AS z_exit, round(entry + stop, 4) AS z_stop FROM configs", "configs"))
@@ -94,12 +95,19 @@ def _corr_sql(n: int) -> str:
     return f"SELECT {n}::INT AS frame_bars, h.bar_idx, CASE WHEN count(*) OVER {w} = {n} THEN covar_samp(la, lb) OVER {w} / nullif(sqrt(var_samp(la) OVER {w} * var_samp(lb) OVER {w}), 0) END AS correlation FROM hedged h"
 
 
-@register("gate_window_sensitivity", query(f"SELECT frame_bars, count(*) AS trades, round(sum(pnl_net), 6) AS pnl FROM ({' UNION ALL '.join(f'SELECT * FROM ({_corr_sql(n)})' for n in _windows)}) JOIN trades ON entry_bar = bar_idx WHERE correlation > 0.1 GROUP BY frame_bars", "hedged", "trades"))
+_gate_rows = " UNION ALL ".join(f"SELECT frame_bars, bar_idx, correlation > 0.1 AS ok FROM ({_corr_sql(n)})" for n in _windows)
+cte("window_trades", price_sql(f"({gated_sql(_gate_rows, 'frame_bars')})"), "hedged", "signalled")
+
+
+@register("gate_window_sensitivity", query("SELECT frame_bars, count(*) AS trades, round(sum(pnl_net), 6) AS pnl FROM window_trades GROUP BY frame_bars", "window_trades"))
 def _(spark, d):
-    h, t = inputs.hedged(spark, d), inputs.traded(spark, d)
-    parts = [rolling.rolling_corr(h, n, KEYS, "bar_idx").select("pair", F.col("bar_idx").alias("entry_bar"), "correlation", F.lit(n).alias("frame_bars")) for n in _windows]
-    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return t.join(both, ["pair", "entry_bar"]).filter("correlation > 0.1").groupBy("frame_bars").agg(F.count("*").alias("trades"), F.round(F.sum("pnl_net"), 6).alias("pnl"))
+    """The back-test under a correlation gate, run again for each window of the correlation."""
+    s = inputs.signalled(spark, d)
+    s = s if "la" in s.columns else s.withColumns({"la": F.ln("close_a"), "lb": F.ln("close_b")})
+    parts = [rolling.rolling_corr(s, n, KEYS, "bar_idx").withColumn("frame_bars", F.lit(n)) for n in _windows]
+    gated = signals.entry_filter(reduce(DataFrame.unionByName, parts), F.col("correlation") > 0.1, [*KEYS, "frame_bars"], "bar_idx")
+    done = trades.backtest(gated, [*KEYS, "frame_bars"])
+    return done.groupBy("frame_bars").agg(F.count("*").alias("trades"), F.round(F.sum("pnl_net"), 6).alias("pnl"))
 
 
 _WEIGHTS = [(1.0, 0.0), (0.5, 0.5), (0.0, 1.0)]
@@ -207,24 +215,8 @@ def _(spark, d):
 
 @register("greedy_match")
 def _(spark, d):
-    """One-to-one matches of entries within two bars, nearest first.  Chains of near entries are independent groups."""
-    a, b = (x.select("pair", "entry_bar") for x in _two(spark, d))
-    both = a.withColumn("list", F.lit(0)).unionByName(b.withColumn("list", F.lit(1)))
-    w = Window.partitionBy("pair").orderBy("entry_bar", "list")
-    far = F.coalesce((F.col("entry_bar") - F.lag("entry_bar").over(w)) > 2, F.lit(True)).cast("int")
-    chains = both.withColumn("chain", far).withColumn("chain", F.sum("chain").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        one, two = (sorted(pdf.loc[pdf["list"] == k, "entry_bar"]) for k in (0, 1))
-        near = sorted((abs(x - y), x, y) for x in one for y in two if abs(x - y) <= 2)
-        used, rows = set(), []
-        for _, x, y in near:
-            if (0, x) not in used and (1, y) not in used:
-                used |= {(0, x), (1, y)}
-                rows.append((pdf["pair"].iloc[0], x, y))
-        return pd.DataFrame(rows, columns=["pair", "entry_bar", "other"])
-
-    return chains.groupBy("pair", "chain").applyInPandas(match, "pair string, entry_bar bigint, other bigint")
+    """One-to-one matches of the entries of two back-tests within two bars."""
+    return tick_ops.greedy_match(*_two(spark, d), KEYS, 2)
 
 
 @register("near_equal_lookup", query("SELECT config_id FROM configs WHERE abs(entry - 1.5000000001) <= 1e-8 + 1e-5 * 1.5 AND abs(leave - 0.5) <= 1e-8 + 1e-5 * 0.5", "configs"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..operators import bars, kalman, stats, ticks as tick_ops, trades, validation
+from ..operators import bars, kalman, signals, stats, ticks as tick_ops, trades, validation
 from . import grid, inputs
-from .inputs import KEYS, LEAVE, PF, STOP, cte, price_sql, query
+from .inputs import KEYS, LEAVE, PF, STOP, cte, price_sql, query, runs_sql
 from .queries import r6, register, s6
 
 N_BARS = "(SELECT count(*) FROM aligned)"
@@ -67,7 +67,8 @@ def _(spark, d):
 
 # --- walk-forward, limits, resampling ---------------------------------------------------------
 cte("wf_folds", f"SELECT f, f * 125 + 500 AS lo, f * 125 + 625 AS hi FROM (SELECT unnest(range((({N_BARS} - 625) // 125) + 1)) AS f)", "aligned")
-cte("wf", f"SELECT *, pnl > 0 AND profit_factor > 1 AS go FROM (SELECT f::INT AS fold, count(*) AS n, sum(pnl_net) AS pnl, {PF} AS profit_factor FROM trades JOIN wf_folds ON entry_bar >= lo AND exit_bar <= hi GROUP BY f)", "trades", "wf_folds")
+_WON, _LOST = "coalesce(sum(pnl_net) FILTER (pnl_net > 0), 0)", "coalesce(-sum(pnl_net) FILTER (pnl_net < 0), 0)"
+cte("wf", f"SELECT *, profit_factor > 1 AND n >= 3 AS go FROM (SELECT f::INT AS fold, count(pnl_net) AS n, coalesce(sum(pnl_net), 0) AS pnl, CASE WHEN {_LOST} > 0 THEN {_WON} / {_LOST} ELSE 0 END AS profit_factor FROM wf_folds LEFT JOIN trades ON entry_bar >= lo AND exit_bar <= hi GROUP BY f)", "trades", "wf_folds")
 
 
 def _wf(spark, d):
@@ -109,36 +110,54 @@ def _(spark, d):
     return validation.slippage_sweep(raw, KEYS, trades.SPEC).select("ticks", "trades", *r6("pnl", "profit_factor"))
 
 
-cte("mc", "SELECT sim, pnl_net, row_number() OVER (PARTITION BY sim ORDER BY md5(sim::VARCHAR || ':42:' || entry_bar::VARCHAR), entry_bar) AS place FROM trades, (SELECT unnest(range(100)) AS sim)", "trades")
+cte("mc", "SELECT sim, pnl_net, row_number() OVER (PARTITION BY sim ORDER BY md5(sim::VARCHAR || ':42:' || entry_bar::VARCHAR), entry_bar) AS place FROM trades, (SELECT unnest(range(10000)) AS sim)", "trades")
 cte("mc_cum", "SELECT *, sum(pnl_net) OVER (PARTITION BY sim ORDER BY place ROWS UNBOUNDED PRECEDING) AS cum FROM mc", "mc")
 
 
 @register("monte_carlo_dd", query("SELECT sim, round(min(dd), 6) AS max_dd FROM (SELECT sim, cum - max(cum) OVER (PARTITION BY sim ORDER BY place ROWS UNBOUNDED PRECEDING) AS dd FROM mc_cum) GROUP BY sim", "mc_cum"))
 def _(spark, d):
-    return validation.monte_carlo_drawdown(inputs.traded(spark, d), 100, KEYS).select("sim", *r6("max_dd"))
+    return validation.monte_carlo_drawdown(inputs.traded(spark, d), 10_000, KEYS).select("sim", *r6("max_dd"))
 
 
 _NUM = "SELECT pnl_net, row_number() OVER (ORDER BY entry_bar) - 1 AS i, count(*) OVER () AS n FROM trades"
-cte("bs", f"SELECT sim, draw, sum(pnl_net) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT s.sim, d.draw, (('0x' || substr(md5(s.sim::VARCHAR || ':42:' || d.draw::VARCHAR), 1, 12))::BIGINT % (SELECT count(*) FROM trades)) AS i FROM (SELECT unnest(range(50)) AS sim) s, (SELECT unnest(range(100)) AS draw) d) p JOIN ({_NUM}) USING (i)", "trades")
+cte("bs", f"SELECT sim, draw, sum(pnl_net) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT s.sim, d.draw, (('0x' || substr(md5(s.sim::VARCHAR || ':42:' || d.draw::VARCHAR), 1, 12))::BIGINT % (SELECT count(*) FROM trades)) AS i FROM (SELECT unnest(range(10000)) AS sim) s, (SELECT unnest(range(100)) AS draw) d) p JOIN ({_NUM}) USING (i)", "trades")
 
 
 @register("bootstrap", query("SELECT sim, coalesce(arg_min(hit, draw) FILTER (hit IS NOT NULL), 'open') AS outcome, coalesce(min(draw + 1) FILTER (hit IS NOT NULL), 100)::BIGINT AS trades FROM (SELECT *, CASE WHEN cum >= 20000 THEN 'target' WHEN cum <= -20000 THEN 'ruin' END AS hit FROM bs) GROUP BY sim", "bs"))
 def _(spark, d):
-    return validation.bootstrap(inputs.traded(spark, d), 50, 100, 20_000.0, 20_000.0, KEYS).drop("pair")
+    return validation.bootstrap(inputs.traded(spark, d), 10_000, 100, 20_000.0, 20_000.0, KEYS).drop("pair")
 
 
-cte("shuffle_z", "SELECT sim, b.bar_idx, b.correlation AS own, s.correlation FROM (SELECT sim, m.*, row_number() OVER (PARTITION BY sim ORDER BY bar_idx) AS i FROM sig_m m, (SELECT unnest(range(20)) AS sim) x) b JOIN (SELECT sim, correlation, row_number() OVER (PARTITION BY sim ORDER BY md5(sim::VARCHAR || ':7:' || bar_idx::VARCHAR), bar_idx) AS i FROM sig_m, (SELECT unnest(range(20)) AS sim) x) s USING (sim, i)", "sig_m")
+cte("perm_sims", "SELECT unnest(range(-1, 20)) AS sim")
+cte("shuffle_z", "SELECT sim, b.bar_idx, s.correlation FROM (SELECT sim, bar_idx, row_number() OVER (PARTITION BY sim ORDER BY bar_idx) AS i FROM sig_m, perm_sims) b JOIN (SELECT sim, correlation, row_number() OVER (PARTITION BY sim ORDER BY CASE WHEN sim >= 0 THEN md5(sim::VARCHAR || ':7:' || bar_idx::VARCHAR) END, bar_idx) AS i FROM sig_m, perm_sims) s USING (sim, i)", "sig_m", "perm_sims")
 
 
-@register("permutation_test", query("SELECT sim, count(*) AS allowed, round(sum(pnl_net), 6) AS pnl FROM shuffle_z JOIN trades ON entry_bar = bar_idx WHERE shuffle_z.correlation > 0 GROUP BY sim", "shuffle_z", "trades"))
+def gated_sql(gate: str, key: str) -> str:
+    """CTE body of raw trades (with key) of the signal's runs, each from the first bar on at which the gate (key, bar_idx, ok) is open."""
+    return f"""SELECT {key}, run, min(bar_idx) AS entry_bar, max(bar_idx) + 1 AS exit_bar, arg_min(signal, bar_idx) AS side, arg_min(close_a, bar_idx) AS raw_entry_a, arg_min(close_b, bar_idx) AS raw_entry_b,
+ arg_max(na, bar_idx) AS raw_exit_a, arg_max(nb, bar_idx) AS raw_exit_b, arg_min(beta, bar_idx) AS beta FROM (SELECT r.*, g.{key}, max((coalesce(ok, false))::INT) OVER (PARTITION BY g.{key}, run ORDER BY r.bar_idx ROWS UNBOUNDED PRECEDING) AS open_
+ FROM (SELECT *, lead(close_a) OVER (ORDER BY bar_idx) AS na, lead(close_b) OVER (ORDER BY bar_idx) AS nb FROM ({runs_sql('signalled')})) r JOIN ({gate}) g USING (bar_idx) WHERE run IS NOT NULL) WHERE open_ = 1 GROUP BY {key}, run HAVING arg_max(na IS NOT NULL, bar_idx)"""
+
+
+cte("perm_trades", price_sql(f"({gated_sql('SELECT sim, bar_idx, correlation > 0 AS ok FROM shuffle_z', 'sim')})"), "shuffle_z", "signalled")
+
+
+def _permuted(spark: SparkSession, d: str, n_sims: int) -> DataFrame:
+    rows = signals.state_machine(inputs.measured(spark, d), inputs.ENTRY, inputs.LEAVE, inputs.STOP, KEYS, "bar_idx")
+    slim = rows.select("pair", "bar_idx", "ts", "close_a", "close_b", "beta", "signal", "correlation")
+    return validation.permutation(slim, "correlation", F.col("correlation") > 0, n_sims, KEYS)
+
+
+@register("permutation_test", query(f"SELECT CASE WHEN s.sim >= 0 THEN s.sim END AS sim, count(pnl_net) AS trades, coalesce(round(sum(pnl_net), 6), 0) AS pnl, round(coalesce({PF}, 0), 6) AS profit_factor FROM perm_sims s LEFT JOIN perm_trades t ON t.sim = s.sim GROUP BY s.sim", "perm_sims", "perm_trades"))
+def _(spark, d):
+    """Back-tests under a gate on the correlation (sim NULL) and on 20 orders of it."""
+    return _permuted(spark, d, 20).select("sim", "trades", *r6("pnl", "profit_factor"))
+
+
+@register("permutation_p_value")
 def _(spark, d):
-    """Trades whose entry bar passes a gate on a shuffled metric, for each of 20 shuffles."""
-    m = inputs.measured(spark, d).select("pair", "bar_idx", "correlation")
-    sims = m.crossJoin(F.broadcast(spark.range(20).select(F.col("id").alias("sim"))))
-    own = sims.withColumn("i", F.row_number().over(Window.partitionBy("pair", "sim").orderBy("bar_idx"))).select("pair", "sim", "i", F.col("bar_idx").alias("entry_bar"))
-    mixed = sims.withColumn("i", F.row_number().over(Window.partitionBy("pair", "sim").orderBy(F.md5(F.concat_ws(":", "sim", F.lit(7), "bar_idx")), "bar_idx"))).select("pair", "sim", "i", "correlation")
-    met = own.join(mixed, ["pair", "sim", "i"]).filter("correlation > 0").join(inputs.traded(spark, d), ["pair", "entry_bar"])
-    return met.groupBy("sim").agg(F.count("*").alias("allowed"), F.round(F.sum("pnl_net"), 6).alias("pnl"))
+    """The same with 1,000 orders, and the share of them that does as well."""
+    return validation.permutation_p(_permuted(spark, d, 1000), KEYS).select("sims", *r6("profit_factor", "p_value"))
 
 
 # --- break-downs ------------------------------------------------------------------------------

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.signals import advance
+
 OUT = "pair string, bar_idx bigint, ts timestamp_ntz, beta double, zscore double, signal int"
 
 
@@ -25,19 +27,6 @@ def ohlcv(ticks: DataFrame, every: str, keys: list[str], late: str = "10 minutes
     return out.select(*keys, F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def advance(state: int, z: float, entry: float, leave: float, stop: float, gate: bool = True) -> int:
-    """Next of FLAT 0, LONG 1, SHORT 2, COOLDOWN 3; a closed gate only keeps FLAT from opening."""
-    if math.isnan(z):
-        return 0
-    if state == 0:
-        return (1 if z < -entry else 2 if z > entry else 0) if gate else 0
-    if state == 1:
-        return 0 if z > -leave else 3 if z < -stop else 1
-    if state == 2:
-        return 0 if z < leave else 3 if z > stop else 2
-    return 0 if abs(z) < leave else 3
-
-
 def online_signals(bars: DataFrame, window: int, z_window: int, entry: float, leave: float, stop: float) -> DataFrame:
     """pair, bar_idx, ts, beta, zscore, signal of every bar (pair, bar_idx, ts, close_a, close_b) of a stream.
 

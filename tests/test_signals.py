@@ -34,9 +34,7 @@ nan = math.nan
     ([0.0, -2.5, -4.5, nan, -2.5], [0, 1, 0, 0, 1]),
     ([0.0, 2.5, 3, 0.4, 2.1], [0, -1, -1, 0, -1]),
 ])
-@pytest.mark.parametrize("longest", [0, 2000])
-def test_machine(spark, z, want, longest, monkeypatch):
-    monkeypatch.setattr(signals, "LONGEST_FOLD", longest)
+def test_machine(spark, z, want):
     assert out(signals.state_machine(series(spark, zscore=[float(x) for x in z]), 2.0, 0.5, 4.0, K, "bar_idx")) == want
 
 

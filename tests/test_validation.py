@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spreadlake import catalog
 from spreadlake.functions import exprs
-from spreadlake.operators import kalman, rolling, stats, ticks, validation
+from spreadlake.operators import kalman, rolling, signals, stats, ticks, trades, validation
 from spreadlake.plans import estimators, grid
 from spreadlake.streaming import online
 
@@ -123,7 +123,7 @@ def test_hedges_find_beta(spark):
     assert abs(ols.agg(F.avg("beta")).first()[0] - 1.5) < 0.02
     k = kalman.kalman(aligned(spark, gap=700), K, order="bar_idx").filter("beta is not null")
     assert k.count() == 1400 and abs(k.agg(F.avg("beta")).first()[0] - 1.5) < 0.15
-    assert estimators.create("kalman", K, warmup=10, init="ols", r_span=50, adaptive_q=True)(df).filter("zscore is not null").count() == 1490
+    assert estimators.create("kalman", K, warmup=10, init="ols", r_span=50, adaptive_q=True)(df).filter("zscore is not null").count() == 501  # from the last of the 1,000 bars of the regression on
     with pytest.raises(ValueError):
         estimators.create("nope", K)
 
@@ -150,7 +150,7 @@ def test_stream_advances_like_the_batch_machine():
     z = np.cumsum(np.random.default_rng(2).normal(0, 0.6, 500)) * 0.6
     state, got = 0, []
     for x in z:
-        state = online.advance(state, float(x), 1.0, 0.5, 2.5)
+        state = signals.advance(state, float(x), 1.0, 0.5, 2.5)
         got.append((0, 1, -1, 0)[state])
     assert got == _walk(z, 1.0, 0.5, 2.5)
 
@@ -184,18 +184,145 @@ def test_excursions_and_touches_of_all_trades(spark):
         r = mfe[t.entry_time]
         assert abs(r["mfe"] - (max(live) - fee)) < 1e-5 and abs(r["mae"] - (min(live) - fee)) < 1e-5 and r["ticks"] == len(live)
         assert r["mfe_ts"] == at[live.index(max(live))] and r["mae_ts"] == at[live.index(min(live))]
-        assert abs(max(max(live), 0.0) - t.mfe) < 1e-6
+        inside = live[:-1] if t.exit_reason == "FLAT_EOD" else live  # a forced exit comes before the tick is looked at
+        assert abs(max([*inside, 0.0]) - t.mfe) < 1e-6
         hit = next(((("TP" if x >= 150 else "SL"), x - 5.0 * t.n_a - 5.0 * t.n_b - 2 * fee) for x in live if x >= 150 or x <= -100), ("NONE", t.pnl_net))
         assert touch[t.entry_time][0] == hit[0] and abs(touch[t.entry_time][1] - hit[1]) < 1e-5
 
 
-def test_a_price_of_zero_opens_and_closes_nothing():
-    import pandas as pd
+def hybrid_by_rules(bars, fast, c):
+    """The rules of the two-speed back-test, bar by bar and tick by tick; bars: (ts, beta, alpha, mean, std, z, gate)."""
+    out, mode, pos, closed_in = [], "FLAT", None, -1
+    for i, (t0, beta, alpha, mean, std, _, _) in enumerate(bars):
+        t1 = bars[i + 1][0] if i + 1 < len(bars) else t0 + timedelta(seconds=300)
+        inside = [x for x in fast if t0 <= x[0] < t1]
+        if not all(v is not None and math.isfinite(v) for v in (beta, alpha, mean, std)) or std == 0:
+            if mode == "IN" and inside:
+                out.append((pos["t"], inside[0][0], pos["side"], "FLAT_EOD", pos["mfe"], pos["mae"]))
+            mode, pos = "FLAT", None
+            continue
+        before = bars[i - 1] if i else None
+        if mode == "COOL" and before and before[5] is not None and abs(before[5]) < c.cooldown:
+            mode = "FLAT"
+        for ts, a, b in inside:
+            m = ts.hour * 60 + ts.minute
+            z = (math.log(a) - beta * math.log(b) - alpha - mean) / std
+            if m >= c.flat or m < c.start:
+                if mode == "IN":
+                    out.append((pos["t"], ts, pos["side"], "FLAT_EOD", pos["mfe"], pos["mae"]))
+                    closed_in = i
+                mode, pos = "FLAT", None
+            elif mode == "FLAT":
+                if closed_in != i and before and before[6] and c.start <= m < c.end and abs(z) > c.entry:
+                    side = 1 if z < 0 else -1
+                    pos = {"t": ts, "side": side, "a": a + side * c.tick_a, "b": b - side * c.tick_b, "n": max(1, int(a * c.mult_a / (b * c.mult_b) * abs(beta) + 0.5)), "mfe": 0.0, "mae": 0.0}
+                    mode = "IN"
+            elif mode == "IN":
+                s = pos["side"]
+                live = s * ((a - pos["a"]) * c.mult_a - pos["n"] * (b - pos["b"]) * c.mult_b)
+                pos["mfe"], pos["mae"] = max(pos["mfe"], live), min(pos["mae"], live)
+                tests = [("SL_DOLLAR", c.dollar_stop > 0 and live <= -c.dollar_stop), ("TP_DOLLAR", c.dollar_target > 0 and live >= c.dollar_target), ("SL_ZSCORE", s * z < -c.stop), ("TP_ZSCORE", s * z > -c.leave)]
+                why = next((k for k, hit in tests if hit), None)
+                if why:
+                    out.append((pos["t"], ts, s, why, pos["mfe"], pos["mae"]))
+                    mode, pos, closed_in = "COOL", None, i
+    return out
+
+
+def test_hybrid_equals_the_rules(spark):
+    rng = np.random.default_rng(12)
+    t0 = datetime(2024, 1, 2, 3, 50)
+    seen = set()
+    for target, stop in ((0.0, 0.0), (60.0, 40.0)):
+        bars, fast, level = [], [], 0.0
+        for i in range(150):
+            at = t0 + timedelta(minutes=5 * i + (60 if i > 90 else 0))
+            bad = rng.random() < 0.06
+            z = None if rng.random() < 0.05 else float(rng.normal(0, 1))
+            bars.append((at, None if bad and i % 2 else 1.0, math.inf if bad and i % 3 == 0 else 0.0, 0.0, 0.0 if bad else 0.01, z, bool(rng.random() < 0.8)))
+            for k in range(int(rng.integers(0, 9))):
+                level = 0.9 * level + float(rng.normal(0, 0.012))
+                fast.append((at + timedelta(seconds=int(rng.integers(0, 60)) + 60 * k if k < 5 else 290 + k), float(100 * np.exp(level)), 100.0))
+        fast = sorted({x[0]: x for x in fast}.values())
+        cfg = ticks.HybridConfig(entry=1.5, leave=0.4, stop=3.0, cooldown=0.7, dollar_target=target, dollar_stop=stop, start=240, end=840, flat=930, mult_a=20.0, mult_b=20.0, tick_a=0.01, tick_b=0.01)
+        slow = spark.createDataFrame([("p", *x) for x in bars], "pair string, ts timestamp_ntz, beta double, alpha double, mean double, std double, zscore double, gate boolean")
+        made = ticks.hybrid(spark.createDataFrame([("p", *x) for x in fast], "pair string, ts timestamp_ntz, a double, b double"), slow, K, cfg)
+        got = sorted((r["entry_time"], r["exit_time"], r["side"], r["exit_reason"], round(r["mfe"], 6), round(r["mae"], 6)) for r in made.collect())
+        want = sorted((*x[:4], round(x[4], 6), round(x[5], 6)) for x in hybrid_by_rules(bars, fast, cfg))
+        assert got == want and len(want) > 5
+        seen |= {x[3] for x in want}
+        summary = ticks.hybrid_summary(made, K).first()
+        pnl = [r["pnl_net"] for r in made.orderBy("exit_time").collect()]
+        cum = np.cumsum(pnl)
+        assert summary["trades"] == len(pnl) and abs(summary["pnl"] - round(sum(pnl), 2)) < 0.011 and abs(summary["max_drawdown"] - (cum - np.maximum.accumulate(cum)).min()) < 0.011
+    assert seen == {"TP_ZSCORE", "SL_ZSCORE", "TP_DOLLAR", "SL_DOLLAR", "FLAT_EOD"}
+
 
+def test_a_price_of_zero_opens_and_closes_nothing():
     at = [datetime(2024, 1, 2, 9) + timedelta(minutes=i) for i in range(5)]
-    rows = pd.DataFrame({"ts": at, "a": [100.0, 50.0, 100.0, 100.0, 100.0], "b": [0.0, 100.0, 0.0, 100.0, 100.0], "beta": 1.0, "alpha": 0.0, "mean": 0.0, "std": 0.1, "gate": True, "bar": 1, "prev_z": 0.0})
-    got = ticks._walk_ticks(rows, ticks.HybridConfig(stop=9.0))
-    assert [(pd.Timestamp(t[0]), pd.Timestamp(t[1]), t[16]) for t in got] == [(at[1], at[3], "Z_EXIT")]
+    desk = ticks.HybridDesk(ticks.HybridConfig(stop=9.0))
+    desk.begin({"beta": 1.0, "alpha": 0.0, "mean": 0.0, "std": 0.1, "prev_z": 0.0, "gate": True, "number": 1, "end": None})
+    got = [desk.tick(t, a, b, 540) for t, a, b in zip(at, [100.0, 50.0, 100.0, 100.0, 100.0], [0.0, 100.0, 0.0, 100.0, 100.0], strict=True)]
+    assert [(t[0], t[1], t[16]) for t in got if t] == [(at[1], at[3], "TP_ZSCORE")]
+
+
+def test_performance_by_hand(spark):
+    """Two trades on five bars: the return compounds; without trades all is zero."""
+    t0 = datetime(2024, 1, 2)
+    levels = [100_000.0, 100_500.0, 100_200.0, 100_800.0, 100_400.0]
+    curve = spark.createDataFrame([("p", i, t0 + timedelta(minutes=5 * i), x) for i, x in enumerate(levels)], "pair string, bar_idx long, ts timestamp_ntz, equity double")
+    done = spark.createDataFrame([("p", 0, 1, 500.0), ("p", 2, 4, -100.0)], "pair string, entry_bar long, exit_bar long, pnl_net double")
+    r = trades.performance(curve, done, K, bars_per_day=1).first()
+    dd = max(100 * 300 / 100_500, 100 * 400 / 100_800)
+    assert abs(r["max_dd_pct"] - dd) < 1e-9 and abs(r["calmar"] - 100 * ((1 + 0.004) ** (252 / 5) - 1) / dd) < 1e-9
+    assert r["profit_factor"] == 5.0 and r["max_dd_bars"] == 1
+    none = trades.performance(curve, done.limit(0), K).first().asDict()
+    assert {k: v for k, v in none.items() if k != "pair"} == dict.fromkeys(("trades", "win_rate", "pnl", "profit_factor", "avg_pnl", "sharpe", "max_dd_pct", "max_dd_bars", "calmar"), 0)
+
+
+def test_walk_forward_by_hand(spark):
+    """Folds [10, 15), [15, 20), [20, 25): three trades that win more than they lose; two trades; none."""
+    done = spark.createDataFrame([("p", 10, 11, 5.0), ("p", 12, 13, -1.0), ("p", 13, 15, 2.0), ("p", 15, 17, 9.0), ("p", 17, 18, -1.0), ("p", 18, 21, 100.0)], "pair string, entry_bar long, exit_bar long, pnl_net double")
+    found = validation.walk_forward(done, 25, K, 10, 5, 5)
+    got = [(r["fold"], r["n"], r["pnl"], r["profit_factor"], r["go"]) for r in found.orderBy("fold").collect()]
+    assert got == [(0, 3, 6.0, 7.0, True), (1, 2, 8.0, 9.0, False), (2, 0, 0.0, 0.0, False)]
+    assert validation.recency(found, K, last=2).first()["pct_go"] == 0.0
+
+
+def test_hurst_of_short_series_is_missing(spark):
+    for n, there in ((12, False), (21, False), (22, True)):
+        assert (stats.hurst_full(as_rows(spark, np.cumsum(np.random.default_rng(1).normal(size=n))), K, "spread").first()["hurst"] is not None) == there
+
+
+def test_greedy_match_in_order(spark):
+    rng = np.random.default_rng(3)
+    one, two = (sorted(rng.choice(400, 150, replace=False).tolist()) for _ in range(2))
+    want, used = [], set()
+    for x in one:
+        best = min((y for y in two if y not in used and abs(x - y) <= 2), key=lambda y: (abs(x - y), y), default=None)
+        if best is not None:
+            used.add(best)
+            want.append((x, best))
+    a, b = (spark.createDataFrame([("p", x) for x in v], "pair string, entry_bar long") for v in (one, two))
+    assert sorted((r["entry_bar"], r["other"]) for r in ticks.greedy_match(a, b, K, 2).collect()) == want
+    # the first entry takes the nearest, though the second one is nearer to it
+    a, b = (spark.createDataFrame([("p", x) for x in v], "pair string, entry_bar long") for v in ([10, 11], [11]))
+    assert [tuple(r) for r in ticks.greedy_match(a, b, K, 2).collect()] == [("p", 10, 11)]
+
+
+def test_runs_of_equal_single_machines():
+    from spreadlake.operators.signals import _walk
+
+    rng = np.random.default_rng(8)
+    z = np.cumsum(rng.normal(0, 0.6, 600)) * 0.6
+    z[rng.random(600) < 0.03] = np.nan
+    levels = np.array([(e, x, s) for e in (0.8, 1.2) for x in (0.0, 0.5) for s in (1.5, 3.0)])
+    config, first, behind, side = grid.runs_of(z, *levels.T)
+    for k, level in enumerate(levels):
+        sig = np.zeros(600, int)
+        for a, b, s in zip(first[config == k], behind[config == k], side[config == k], strict=True):
+            sig[a:b] = s
+        assert sig.tolist() == _walk(z, *level)
 
 
 def test_every_query_has_columns(spark):
