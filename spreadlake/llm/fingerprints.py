@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from .textcore import CHUNK_BYTES, Chunk, chunks, mix
 
 U = np.uint64
 BINS, BITS, WORDS = 256, 4, 5
+MOST_RANGES = 1 << 16
 NO_WORDS = "-"
 _EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -58,7 +61,8 @@ def sketch(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
             if done.any():
                 least[rows[done]] = got[done]
                 rows, got, had, own = rows[~done], got[~done], had[~done], own[~done]
-    return (mix(least) & U((1 << BITS) - 1)).astype(np.uint8), some
+    own = mix(np.arange(1, BINS + 1, dtype=U) * U(0x9E3779B97F4A7C15))  # a bin's own bits of a hash, else copies of one hash would all agree by one chance
+    return (mix(least ^ own) & U((1 << BITS) - 1)).astype(np.uint8), some
 
 
 def text_form(low: np.ndarray, some: bool) -> str:
@@ -97,22 +101,45 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _range_of(id_col: str, cuts: list[int]) -> Column:
+    """How many cuts (ascending) an id reaches, found in two steps of about their square root; a null id reaches none."""
+    step = max(1, math.isqrt(len(cuts)))
+    blocks = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    if not blocks:
+        return F.lit(0)
+    reached = lambda values: F.size(F.filter(values, lambda b: b <= F.col(id_col)))
+    heads = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>")
+    block = reached(heads)  # how many blocks it reaches the first cut of
+    inside = F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
+    return F.when(F.col(id_col).isNull() | (block == 0), 0).otherwise((block - 1) * step + reached(F.element_at(inside, F.greatest(block, F.lit(1))))).cast("int")
+
+
+def _slot_of(spark: SparkSession, ranges: list[int]) -> Column:
+    """A number for each range that the hash of a repartition() into len(ranges) tasks sends to a task of its own."""
+    n = len(ranges)
+    tried = spark.range(max(64, 40 * n)).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("task"))
+    found = [r["id"] for r in tried.groupBy("task").agg(F.min("id").alias("id")).orderBy("task").collect()]
+    slots = [-1] * (max(ranges) + 1)
+    for i, r in enumerate(ranges):
+        slots[r] = found[i % len(found)]
+    return F.element_at(F.from_json(F.lit(json.dumps(slots)), "array<bigint>"), F.col("range") + 1)
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 24 << 20) -> DataFrame:
     """id_col, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The next document is the one with the next larger id (of rows with one id, by text), after the
     last the first.  Ranges of ids, cut at quantiles, are each sorted and read once in order; the
-    first document of a range also goes to the end of the range before it.  Texts cross the network once.
+    first document of a range also goes to the end of the range before it.  Texts cross the network once,
+    and each range goes to a task of its own.  A range's bytes grow only beyond MOST_RANGES of them; it is
+    streamed, so its size is time and not memory.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    parts = max(1, min(4096, input_bytes(df) // range_bytes + 1))
-    cuts = sorted(set(docs.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    bounds = F.array(*(F.lit(int(c)) for c in cuts)) if cuts else None
-    # a null id sorts first, so into range 0
-    place = F.coalesce(F.size(F.filter(bounds, lambda b: b <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
-    placed = docs.withColumn("range", place)
-    # One row for each range, at most 4096: its least id, and the range before it (the last, for the first).
+    parts = max(1, min(MOST_RANGES, input_bytes(df) // range_bytes + 1))
+    cuts = sorted({int(c) for c in docs.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    placed = docs.withColumn("range", _range_of("id", cuts))
+    # One row for each range: its least id, and the range before it (the last, for the first).
     firsts = placed.groupBy("range").agg(F.min("id").alias("id"), F.max(F.col("id").isNull()).alias("null_first")).orderBy("range").collect()
     if not firsts:
         return spark.createDataFrame([], _schema(id_col))
@@ -122,8 +149,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ran
     # of several rows with the head's id only the first is wanted; they are few rows of a range's least id
     again = again.groupBy("before").agg(F.min("text").alias("text")).select(F.lit(None).cast("bigint").alias("id"), "text", F.col("before").alias("range"), F.lit(1).alias("tail"))
     rows = placed.select("id", "text", "range", F.lit(0).alias("tail")).unionByName(again)
-    n = max(len(firsts), 1)
-    dealt = rows.repartition(n, "range").sortWithinPartitions("range", "tail", F.col("id").asc_nulls_first(), "text")
+    dealt = rows.repartition(len(firsts), _slot_of(spark, [r["range"] for r in firsts])).sortWithinPartitions("range", "tail", F.col("id").asc_nulls_first(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple] = []  # the last row of the part before

@@ -45,6 +45,12 @@ class ChunkIds(dict):
 
         self.encode_one = Tokenizer.from_file(tokenizer_file).encode
         self.max_entries = max_entries
+        ids = lambda text: self.encode_one(text, add_special_tokens=False).ids
+        words = ("word", "W\u00f6rter", "\u6f22\u5b57", "x1", "\u0130x")
+        spaced = all(ids(f" {a} \t{b}\x0b\n{a}\r\x0c") == ids(a) + ids(b) + ids(a) for a in words for b in words)
+        tails = all(ids(w + t) == ids(w) + ids(t) for w in words if w[-1].isalpha() for t in (*map(chr, self.TAIL), "...", "!?", "#*"))
+        if not (spaced and tails and all(ids(w.lower()) == ids(w) for w in ("word", "WORD", "Word"))):
+            raise ValueError("this tokenizer keeps white space or case, or does not cut before punctuation; its chunks are not independent")
 
     def __missing__(self, chunk: bytes) -> bytes:
         if len(self) >= self.max_entries:

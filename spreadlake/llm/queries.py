@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fingerprints, langid, ngram_join, packing, pieces, quality, secrets, substrings, toxicity, warc
-from .common import crc_mod4, held_out, read, table, tune
+from .common import crc_mod4, held_out, read, shared_dir, table, tune
 
 
 def tokenizer_path(name: str) -> str:
@@ -77,8 +78,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     docs = read(spark, sf_dir, "documents")
-    # the query's ledger is empty, so what is scanned is all of it; a later run would pass it on
-    ledger = table(spark, secrets.scan_unseen(docs, secrets.empty_ledger(spark)), "ledger")
+    # a ledger of its own, so what is scanned is all of it; a later run with the same folder would scan what is new
+    ledger = secrets.update(docs, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
     found = secrets.findings(docs, ledger)
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     of = lambda kind: F.filter("spans", lambda s: s["kind"] == kind)

@@ -12,6 +12,7 @@ read.  Spans count code points, end exclusive.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RULE_VERSION = "1"
 #: kind -> (pattern, group that is measured, least length).  The first three are the base kinds, in this order.
 RULES: dict[str, tuple[re.Pattern, int, int]] = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
@@ -30,6 +30,8 @@ RULES: dict[str, tuple[re.Pattern, int, int]] = {
     "jwt": (re.compile(r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"), 0, 30),
 }
 BASE = ("assign", "access", "hex")
+#: Another rule, pattern or length makes another version, under which every blob is scanned anew.
+RULE_VERSION = hashlib.sha256(repr([(k, p.pattern, p.flags, g, n) for k, (p, g, n) in RULES.items()]).encode()).hexdigest()[:16]
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 LEDGER = f"blob string, rule_version string, spans {SPANS}"
 _WORDS = re.compile("|".join(map(re.escape, ("password", "passwd", "secret", "token", "apikey", "api_key"))), re.IGNORECASE | re.ASCII)
@@ -85,18 +87,48 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, path_col:
     return todo.groupBy("blob").agg(F.first("content").alias("content")).mapInArrow(_scan, LEDGER)
 
 
+def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger that update() keeps in a folder; empty where there is none yet."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        return empty_ledger(spark)
+    return spark.read.schema(LEDGER).parquet(folder)
+
+
+def update(versions: DataFrame, folder: str, path_col: str = "doc_id", content_col: str = "text") -> DataFrame:
+    """Scans the blobs of versions that the ledger in the folder lacks, appends them to it, and returns all of it.
+
+    The folder is Parquet that only grows.  An append that failed half-way is not seen, so it is done again by the next call.
+    """
+    spark = versions.sparkSession
+    scan_unseen(versions, ledger_at(spark, folder), path_col, content_col).write.mode("append").parquet(folder)
+    return ledger_at(spark, folder)
+
+
 def hits(ledger: DataFrame) -> DataFrame:
     """blob, spans of the blobs with spans under RULE_VERSION."""
     return ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
 
 
-def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", content_col: str = "text") -> DataFrame:
-    """path, blob, spans of every version, from a ledger that has all its blobs.
+def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", content_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """path, blob, spans of every version, from a ledger that has all its blobs; also: more columns of versions, such as a revision.
 
     Only blobs with spans take part in the join, and clean ones come out with an empty list.
     """
-    joined = blobs(versions, path_col, content_col).join(hits(ledger), "blob", "left")
-    return joined.select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
+    joined = versions.select(F.col(path_col).alias("path"), *also, blob(content_col)).join(hits(ledger), "blob", "left")
+    return joined.select("path", *also, "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
+
+
+def masked(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """text with every span (sorted by start) replaced, as a column; overlapping spans become one mark, NULL spans change nothing."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc: Column, s: Column) -> Column:
+        new = F.when(s["start"] >= acc["at"], F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], new).alias("out"))
+
+    found = F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.coalesce(F.size(spans), F.lit(0)) > 0, found).otherwise(text)
 
 
 def mask(text: str | None, spans: list, mark: str = "[SECRET]") -> str | None:

@@ -28,7 +28,7 @@ U = np.uint64
 SLOTS = 1 << 18
 SIZES = (4, 5)
 PIECE = 1 << 12  # slots in a row of partial counts
-FIT_ROWS = 3000
+FIT_ROWS, FIT_SLOTS, FIT_BLOCK = 3000, 30_000_000, 1_000_000
 THRESHOLD = 0.3
 
 
@@ -55,29 +55,42 @@ def fit_linear(docs: list[np.ndarray], labels: np.ndarray, r: np.ndarray, l2: fl
     """(weights with r folded in, intercept) of L2-regularised logistic regression, by accelerated gradient steps.
 
     Rows are visited in the order given and sums are in fixed order, so equal input gives equal weights.
+    Besides the slots of the documents (4 bytes each) memory holds about FIT_BLOCK of them at a time.
     """
-    used, at = np.unique(np.concatenate(docs), return_inverse=True)
     lengths = np.array([len(d) for d in docs])
-    row = np.repeat(np.arange(len(docs)), lengths)
-    value = r[used][at]
-    w, b = np.zeros(len(used)), float(np.log(labels.mean() / (1 - labels.mean())))
-    step = 4.0 / (np.bincount(row, value**2, len(docs)).max() + 1.0 + 4 * l2)
+    cuts = np.unique(np.append(0, np.searchsorted(np.cumsum(lengths), np.arange(FIT_BLOCK, lengths.sum(), FIT_BLOCK), "right")))
+    blocks = [(lo, hi, np.concatenate(docs[lo:hi])) for lo, hi in zip(cuts.tolist(), [*cuts[1:].tolist(), len(docs)], strict=True)]
+
+    def sums(weight: np.ndarray) -> np.ndarray:
+        """The sum of a weight over the slots of each document."""
+        parts = [np.bincount(np.repeat(np.arange(hi - lo), lengths[lo:hi]), weight[slots], hi - lo) for lo, hi, slots in blocks]
+        return np.concatenate(parts)
+
+    def back(err: np.ndarray) -> np.ndarray:
+        """The sum of a document's value over the documents of each slot."""
+        return sum(np.bincount(slots, np.repeat(err[lo:hi], lengths[lo:hi]), SLOTS) for lo, hi, slots in blocks)
+
+    r = r.astype(float)
+    w, b = np.zeros(SLOTS), float(np.log(labels.mean() / (1 - labels.mean())))
+    step = 4.0 / (sums(r**2).max() + 1.0 + 4 * l2)
     v, c, t = w.copy(), b, 1.0
     for _ in range(steps):
-        z = np.bincount(row, value * v[at], len(docs)) + c
+        z = sums(r * v) + c
         err = 1 / (1 + np.exp(-np.clip(z, -35, 35))) - labels
-        w2 = v - step * (np.bincount(at, value * err[row], len(used)) + l2 * v)
+        w2 = v - step * (r * back(err) + l2 * v)
         b2 = c - step * err.sum()
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = w2 + (t - 1) / t2 * (w2 - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = w2, b2, t2
-    out = np.zeros(SLOTS, np.float32)
-    out[used] = w * r[used]
-    return out, float(b)
+    return (w * r).astype(np.float32), float(b)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS) -> tuple[np.ndarray, float]:
-    """Model of the labelled rows of docs: (weight of each slot, intercept).  What comes to the driver has a fixed size."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fit_rows: int = FIT_ROWS, fit_slots: int = FIT_SLOTS) -> tuple[np.ndarray, float]:
+    """Model of the labelled rows of docs: (weight of each slot, intercept).  What comes to the driver has a fixed size.
+
+    Counts cover all labelled rows.  The weights are fitted on a sample, bounded by two parameters: at most
+    fit_rows documents, and of these, in the order of a hash of their ids, as many as have fit_slots slots in all.
+    """
     spark = docs.sparkSession
     label = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     n = label.count()
@@ -135,7 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"weights": [weights.tobytes()], "intercept": [intercept]})
 
     # At most about fit_rows rows: the draw is by a hash whose share was set from the number of labels.
-    got = made.filter("kind = 'doc'").orderBy(F.xxhash64("key")).limit(fit_rows).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "weights binary, intercept double").collect()
+    drawn = made.filter("kind = 'doc'").withColumns({"_at": F.xxhash64("key"), "_slots": F.length("body") / 4})
+    rows = drawn.select("_at", "_slots").orderBy("_at").limit(fit_rows).collect()
+    last = next((r["_at"] for r, total in zip(rows, np.cumsum([r["_slots"] for r in rows]), strict=True) if total > fit_slots), None)
+    fitted = drawn.orderBy("_at").limit(fit_rows).drop("_slots")
+    got = (fitted if last is None else fitted.filter(F.col("_at") < last)).drop("_at").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fit, "weights binary, intercept double").collect()
     drop_table(spark, made)
     if not got:
         return np.zeros(SLOTS, np.float32), float(np.log((totals[1] + 1) / (totals[0] + 1)))
@@ -143,9 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, keep: bool = False) -> DataFrame:
-    """id_col, score (0 to 1), predicted (1 if score >= threshold) of every whole text; keep: all columns of docs, too."""
+    """id_col, score (0 to 1), predicted (1 if score >= threshold) of every whole text; keep: all columns of docs, too, but for those of these two names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns if keep else [id_col]
+    names = [c for c in docs.columns if c not in ("score", "predicted")] if keep else [id_col]
     at = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

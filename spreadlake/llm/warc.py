@@ -1,8 +1,8 @@
 """WARC records in ZIP packages: writer, and reader without extraction.
 
 A package is a ZIP archive with stored (not compressed) members: `archive/data.warc.gz`, one gzip
-member for each record, and `indexes/index.cdxj`, a line for each record with its place in that
-file.  The reader reads the end of a package, parses the end-of-central-directory record, its ZIP64
+member for each record, and `indexes/index.cdxj`, a line for each record (sort key of the address,
+time stamp, JSON with the place in that file), sorted by key.  The reader reads the end of a package, parses the end-of-central-directory record, its ZIP64
 form where sizes or counts overflow (or the writer was asked for it), and the central directory;
 finds the stored members; reads the index; and range-reads each record at its place.
 
@@ -19,11 +19,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +35,8 @@ from .common import shared_dir, table
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PACKAGE_BYTES = 64 << 20
-_DATE = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+_WRITTEN = datetime(2024, 1, 1, tzinfo=timezone.utc)
+_DATE, STAMP = _WRITTEN.strftime("%Y-%m-%dT%H:%M:%SZ"), _WRITTEN.strftime("%Y%m%d%H%M%S")
 _BIG32, _BIG16 = 0xFFFFFFFF, 0xFFFF
 
 
@@ -75,6 +78,14 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
+def sort_key(url: str | None, page_id: object) -> str:
+    """The key of an index line: host names from the right, then the path; without blanks or control characters."""
+    parts = re.match(r"(?s)[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?(.*)", url or "")
+    if not parts:
+        return quote(f"urn:page:{page_id}" if not url else url, safe=":/?=&,()")
+    return quote(",".join(reversed(parts[1].lower().split("."))) + ")" + (parts[2] or "/"), safe=":/?=&,()%")
+
+
 class PackageWriter:
     """Writes one package to a binary stream; memory holds the index only."""
 
@@ -97,7 +108,8 @@ class PackageWriter:
     def add(self, page_id: object, url: str | None, payload: bytes, refers_to: object = None) -> None:
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         body = packer.compress(record(page_id, url, payload, refers_to)) + packer.flush()
-        self.lines.append(json.dumps({"id": str(page_id), "offset": self.size, "length": len(body), "filename": DATA}))
+        about = json.dumps({"url": url, "id": str(page_id), "offset": str(self.size), "length": str(len(body)), "filename": DATA})
+        self.lines.append((sort_key(url, page_id), f"{STAMP} {about}"))
         self._put(body)
         self.crc = zlib.crc32(body, self.crc)
         self.size += len(body)
@@ -105,7 +117,8 @@ class PackageWriter:
     def close(self) -> None:
         self._put(struct.pack("<4sIQQ", b"PK\x07\x08", self.crc, self.size, self.size))
         self.members.append((DATA.encode(), self.crc, self.size, 0, 0x0808))
-        index = "".join(x + "\n" for x in self.lines).encode()
+        self.lines.sort(key=lambda x: x[0])
+        index = "".join(f"{key} {rest}\n" for key, rest in self.lines).encode()
         crc, start = zlib.crc32(index), self.at
         self._put(self._local(INDEX.encode(), crc, len(index), 0x0800) + index)
         self.members.append((INDEX.encode(), crc, len(index), start, 0x0800))
@@ -190,7 +203,9 @@ class PackageReader:
         return self.read_at(self.start(name), self.members[name][1])
 
     def index(self) -> list[dict]:
-        return [json.loads(x) for x in self.member(INDEX).decode().splitlines()]
+        """The index's lines, sorted by key: what stands behind the key and the time stamp."""
+        found = [json.loads(x.split(" ", 2)[2]) for x in self.member(INDEX).decode().split("\n")[:-1]]
+        return [x | {"offset": int(x["offset"]), "length": int(x["length"])} for x in found]
 
 
 def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", package_bytes: int = PACKAGE_BYTES) -> DataFrame:

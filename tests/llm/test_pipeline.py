@@ -74,6 +74,43 @@ def test_secrets_of_null_and_repeated_ids_are_masked(spark, tmp_path):
     assert not any(secrets.find(t) for _, t in got if t)
 
 
-@pytest.mark.parametrize("name", [n for n, _ in cp.STAGES])
-def test_stage_names(name):
-    assert name
+def test_masked_column(spark):
+    rng = np.random.default_rng(4)
+    alphabet = list("abc \U0001f600\u00e9\n")
+    data = []
+    for _ in range(60):
+        text = "".join(rng.choice(alphabet, int(rng.integers(0, 30))))
+        spans = sorted((int(a), int(rng.integers(a, len(text) + 1))) for a in rng.integers(0, len(text) + 1, int(rng.integers(0, 4))))
+        data.append((text, [("x", a, b) for a, b in spans if a < b]))
+    data += [(None, []), ("", []), ("plain", None)]
+    df = spark.createDataFrame(data, f"text string, spans {secrets.SPANS}")
+    got = [r[0] for r in df.coalesce(1).select(secrets.masked(df["text"], df["spans"])).collect()]
+    assert got == [secrets.mask(t, [{"start": a, "end": b} for _, a, b in v or []]) for t, v in data]
+
+
+ODD = [(None, "nobody"), (None, None), (1, "first text of one"), (1, "other text of one"), (1, "other text of one"), (2, None), (2, ""), (3, "x " * 40), (3, "x " * 40)]
+
+
+def test_toxic_rows_go_whatever_their_id(spark, small):
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = read(spark, small, "labels")
+    model = toxicity.train(docs.filter("doc_id is not null"), labels.filter("doc_id is not null"))
+    score = lambda t: 1 / (1 + np.exp(-(model[0][toxicity.features(t)].sum(dtype=float) + model[1])))
+    assert sorted(((r["doc_id"], r["text"]) for r in rows(cp.drop_toxic(spark, docs, small))), key=repr) == sorted(((i, t) for i, t in ODD if score(t) < 0.3), key=repr)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES[1:4]])
+def test_stages_keep_rows_of_null_and_repeated_ids(spark, small, stage):
+    """Nothing here links with another id, so every row comes out once; a repeat of an id's own words stays."""
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in ODD], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in rows(stage(spark, docs, small))), key=repr)
+    if stage is cp.drop_repeats:
+        assert sorted((i for i, _ in got), key=repr) == sorted((i for i, _ in ODD), key=repr)
+    else:
+        assert got == sorted(ODD, key=repr)
+
+
+def test_pack_takes_null_and_repeated_ids(spark, small):
+    docs = spark.createDataFrame(ODD, "doc_id long, text string")
+    got = rows(cp.pack(spark, docs, small))
+    assert sorted((r["doc_id"] for r in got), key=repr) == sorted((i for i, _ in ODD), key=repr) and len({(r["sequence_id"], r["offset"]) for r in got}) == len(ODD)
