@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spreadlake.llm import ngram_join, packing, secrets, substrings, toxicity
 from spreadlake.llm.common import held_out, read, table, tune
@@ -23,7 +22,11 @@ def _with_text(docs: DataFrame, text) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject (score under its threshold)."""
+    """Documents that the classifier does not reject (score under its threshold).
+
+    Rows are judged one by one, by text: null and empty texts score as their model's intercept says,
+    repeated rows alike.  Null ids take no part in training, and are scored all the same.
+    """
     tune(spark)
     labels = read(spark, sf_dir, "labels")
     model = toxicity.train(docs.filter(~held_out(F.col("doc_id"))), labels.filter(~held_out(F.col("doc_id"))))
@@ -55,12 +58,11 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     tune(spark)
     ledger = table(spark, secrets.scan_unseen(docs), "ledger")
     joined = docs.select(*COLUMNS, secrets.blob("text")).join(secrets.hits(ledger), "blob", "left")
-    masked = F.udf(secrets.mask, T.StringType())
-    return _with_text(joined, F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked("text", "spans")))
+    return _with_text(joined, secrets.masked(F.col("text"), F.col("spans")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences."""
+    """Pieces of all documents with their places in sequences; a null or empty text is its end id alone, a repeated row is packed again."""
     tune(spark)
     return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
 
