@@ -15,8 +15,11 @@ tables give empty results.  Columns other than the id and the text are not read.
 
 from __future__ import annotations
 
+import re
+import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,8 +33,23 @@ from .common import table
 CAPACITY, END_ID, OPEN_BINS, PIECES_A_TASK = 2048, 0, 4096, 60_000
 
 
+#: Lower-case letters of Latin scripts, without marks of their own.
+PLAIN = "abcdefghijklmnopqrstuvwxyz" + "".join(c for c in map(chr, range(0xDF, 0x180)) if c.isalpha() and c.islower())
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit."""
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class ChunkIds(dict):
-    """chunk of non-space bytes -> its ids as little-endian unsigned 32-bit; emptied when full.
+    """chunk of non-space bytes -> its ids as little-endian unsigned 32-bit.
+
+    When it is full, it becomes the older half, from which chunks that are met again come back; the half
+    before is forgotten.
 
     Right for tokenizers that drop ASCII white space before anything else looks at a text, lower-case it,
     and cut between a letter and the punctuation in TAIL: then a word and its tail have entries of their own.
@@ -40,21 +58,31 @@ class ChunkIds(dict):
 
     TAIL = b".,;:!?*$%&#"
 
-    def __init__(self, tokenizer_file: str, max_entries: int = 600_000) -> None:
+    def __init__(self, tokenizer_file: str, half: int = 300_000) -> None:
         from tokenizers import Tokenizer
 
-        self.encode_one = Tokenizer.from_file(tokenizer_file).encode
-        self.max_entries = max_entries
+        tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.encode_one, self.model = tokenizer.encode, tokenizer.model
+        self.half, self.older = half, {}
         ids = lambda text: self.encode_one(text, add_special_tokens=False).ids
         words = ("word", "W\u00f6rter", "\u6f22\u5b57", "x1", "\u0130x")
         spaced = all(ids(f" {a} \t{b}\x0b\n{a}\r\x0c") == ids(a) + ids(b) + ids(a) for a in words for b in words)
         tails = all(ids(w + t) == ids(w) + ids(t) for w in words if w[-1].isalpha() for t in (*map(chr, self.TAIL), "...", "!?", "#*"))
-        if not (spaced and tails and all(ids(w.lower()) == ids(w) for w in ("word", "WORD", "Word"))):
+        # letters that the tokenizer leaves as they are, with the form in which its model gets them
+        kept = {c: tokenizer.pre_tokenizer.pre_tokenize_str(c) for c in PLAIN if tokenizer.normalizer.normalize_str(f"a{c}b") == f"a{c}b"}
+        self.form = {ord(c): x[0][0] for c, x in kept.items() if len(x) == 1}
+        self.plain = re.compile(f"[{''.join(map(chr, self.form))}]+").fullmatch
+        whole = all([t.id for t in self.model.tokenize(w.translate(self.form))] == ids(w) for w in ("word", "the", "w\u00f6rter", "\u00e9t\u00e9s", "ma\u00f1ana", "".join(map(chr, self.form))) if self.plain(w))
+        if not (spaced and tails and whole and all(ids(w.lower()) == ids(w) for w in ("word", "WORD", "Word"))):
             raise ValueError("this tokenizer keeps white space or case, or does not cut before punctuation; its chunks are not independent")
 
     def __missing__(self, chunk: bytes) -> bytes:
-        if len(self) >= self.max_entries:
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
+        if (got := self.older.get(chunk)) is not None:
+            self[chunk] = got
+            return got
         core = chunk.rstrip(self.TAIL)
         if core and core != chunk and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower()[-1].isalpha()):  # bytes: ASCII letters only
             self[chunk] = got = self[core] + self[chunk[len(core) :]]
@@ -62,7 +90,12 @@ class ChunkIds(dict):
         if chunk.isalpha() and chunk != chunk.lower():  # bytes: ASCII letters only
             self[chunk] = got = self[chunk.lower()]
             return got
-        self[chunk] = got = np.array(self.encode_one(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+        text = chunk.decode()
+        if self.plain(text):  # one word to the model: no normalising, no cutting
+            ids = [t.id for t in self.model.tokenize(text.translate(self.form))]
+        else:
+            ids = self.encode_one(text, add_special_tokens=False).ids
+        self[chunk] = got = _packed(ids)
         return got
 
     def ids(self, text: str | None) -> bytes:

@@ -225,6 +225,20 @@ def test_a_letter_and_its_tail():
         assert np.frombuffer(get.ids(text), "<u4").tolist() == want.ids, text
 
 
+def test_words_of_plain_letters():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("word_bpe_49k.json"))
+    get, whole = packing.ChunkIds(path, half=50), Tokenizer.from_file(path)
+    rng = np.random.default_rng(3)
+    letters = [*packing.PLAIN[:26] * 4, *packing.PLAIN]
+    words = ["".join(rng.choice(letters, int(rng.integers(1, 25)))) for _ in range(3000)] + ["<|endoftext|>", "it's", "don't", "s"]
+    for text, want in zip(words, whole.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(get.ids(text), "<u4").tolist() == want.ids, text
+    assert len(get) + len(get.older) <= 110 and "\u00e9" in map(chr, get.form)
+
+
 def test_best_fit_bounds():
     rng = np.random.default_rng(1)
     need = rng.integers(1, 101, 3000)
