@@ -60,8 +60,22 @@ def null_legs(aligned: DataFrame) -> DataFrame:
     return aligned.filter(F.greatest(*(F.col(c).isNull() for c in ("close_a", "close_b"))))
 
 
-def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], ts: str = "ts") -> DataFrame:
-    """left with the last values of right at or before each time: one union and one window, no range join."""
+def asof(left: DataFrame, right: DataFrame, keys: list[str], values: list[str], ts: str = "ts", block: str | None = None) -> DataFrame:
+    """left with the last values of right at or before each time: one union and one window, no range join.
+
+    block: a unit of date_trunc (such as `day`).  The window is then one of a key and block, so a key's
+    rows spread over tasks; what the blocks before end with comes from a table of one row a key and block.
+    """
+    if block:
+        cut = lambda df: df.withColumn("_block", F.date_trunc(block, F.col(ts).cast("timestamp")))
+        at = [*keys, "_block"]
+        inside = asof(cut(left), cut(right).withColumn("_met", F.lit(True)), at, [*values, "_met"], ts)
+        ends = cut(right).groupBy(*at).agg(F.max_by(F.struct(*values), ts).alias("_end"))
+        every = cut(left).select(*at).distinct().join(ends, at, "full")
+        before = F.last("_end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+        carried = every.select(*at, before.alias("_before"))
+        joined = inside.join(carried, at, "left")
+        return joined.select(*left.columns, *(F.when(F.col("_met"), F.col(c)).otherwise(F.col(f"_before.{c}")).alias(c) for c in values))
     mark = right.select(*keys, ts, *values, F.lit(0).alias("_side"), *(F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns if c not in (*keys, ts)))
     both = left.select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in values), F.lit(1).alias("_side")).unionByName(mark)
     w = Window.partitionBy(*keys).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
@@ -82,6 +96,13 @@ def interval_join(ticks: DataFrame, spans: DataFrame, start: str, end: str, tick
     return keyed.join(days, "_day").filter(F.col(tick_ts).between(F.col(start), F.col(end))).drop("_day")
 
 
+def sliced(df: DataFrame, keys: list[str], cuts: dict[str, tuple[int, int]], order: str = "bar_idx") -> DataFrame:
+    """Rows of each named slice [lo, hi) of bars, with the name in `slice` and bars numbered from 0: with it as a key, estimators start anew."""
+    named = F.explode(F.array(*(F.struct(F.lit(k).alias("slice"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in cuts.items())))
+    met = df.withColumn("_s", named).filter((F.col(order) >= F.col("_s.lo")) & (F.col(order) < F.col("_s.hi")))
+    return met.withColumns({"slice": F.col("_s.slice"), order: F.col(order) - F.col("_s.lo")}).drop("_s")
+
+
 def session_starts(df: DataFrame, keys: list[str], minutes: int = 30) -> DataFrame:
     """df with session_start: the gap to the row before exceeds `minutes`."""
     gap = F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.lag("ts").over(ordered(keys)).cast("timestamp"))

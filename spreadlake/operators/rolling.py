@@ -61,6 +61,16 @@ def moments(df: DataFrame, x: str, y: str | None, n: int, keys: list[str], order
     return cut.withColumns(out).select(*df.columns, *out)
 
 
+def framed(df: DataFrame, terms: dict[str, Column], sizes: dict[str, int], keys: list[str], order: str = "ts", end: int = 0) -> DataFrame:
+    """df with the sum of each term over a frame of its size that ends `end` rows from the row (0 or -1), as differences of running sums."""
+    at = ordered(keys, order)
+    running = at.rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumns({f"{k}_run": F.sum(F.coalesce(v, F.lit(0))).over(running) for k, v in terms.items()})
+    here = lambda k: F.col(f"{k}_run") if end == 0 else F.lag(f"{k}_run", -end).over(at)
+    cut = {k: F.coalesce(here(k), F.lit(0)) - F.coalesce(F.lag(f"{k}_run", sizes[k] - end).over(at), F.lit(0)) for k in terms}
+    return summed.withColumns(cut).drop(*(f"{k}_run" for k in terms))
+
+
 def rolling_ols(df: DataFrame, window: int, z_window: int, keys: list[str], order: str = "ts", null_z: str = "null") -> DataFrame:
     """beta, alpha, spread and z-score of log prices (close_a on close_b).  null_z: `null` keeps a missing z, `zero` makes it 0."""
     logs = df.withColumns({"la": F.ln("close_a"), "lb": F.ln("close_b")})
@@ -98,11 +108,16 @@ def rolling_adf(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: st
     """Dickey-Fuller statistic without lags over n - 1 pairs; they end before the row, or at it (current)."""
     at = ordered(keys, order)
     d, lagged = F.col(x) - F.lag(x).over(at), F.lag(x).over(at)
-    df2 = df.withColumns({"_d": d, "_l": F.when(d.isNotNull(), lagged)})
-    w = frame(keys, n - 1, order, 0 if current else -1)
-    total = lambda c: F.sum(c).over(w)
-    c = F.count("_d").over(w)
-    df3 = df2.withColumns({"_c": c, "_sd": total(F.col("_d")), "_sl": total(F.col("_l")), "_sdl": total(F.col("_d") * F.col("_l")), "_sll": total(F.col("_l") * F.col("_l")), "_sdd": total(F.col("_d") * F.col("_d"))})
+    level = F.avg(x).over(Window.partitionBy(*keys))  # the statistic does not change with the level, its sums of squares do
+    df2 = df.withColumns({"_d": d, "_l": F.when(d.isNotNull(), lagged - level)})
+    end = 0 if current else -1
+    terms = {"_sd": F.col("_d"), "_sl": F.col("_l"), "_sdl": F.col("_d") * F.col("_l"), "_sll": F.col("_l") * F.col("_l"), "_sdd": F.col("_d") * F.col("_d")}
+    if n - 1 > DIRECT:
+        terms["_c"] = F.col("_d").isNotNull().cast("int")
+        df3 = framed(df2, terms, dict.fromkeys(terms, n - 1), keys, order, end)
+    else:
+        w = frame(keys, n - 1, order, end)
+        df3 = df2.withColumns({"_c": F.count("_d").over(w)} | {k: F.sum(v).over(w) for k, v in terms.items()})
     sxx = F.col("_sll") - F.col("_sl") * F.col("_sl") / F.nullif(F.col("_c"), F.lit(0))
     sxy = F.col("_sdl") - F.col("_sd") * F.col("_sl") / F.nullif(F.col("_c"), F.lit(0))
     syy = F.col("_sdd") - F.col("_sd") * F.col("_sd") / F.nullif(F.col("_c"), F.lit(0))
@@ -140,8 +155,13 @@ def rolling_hurst(df: DataFrame, n: int, keys: list[str], order: str = "ts", x:
         return df.withColumn(out, F.lit(None).cast("double"))
     at = ordered(keys, order)
     diffs = df.withColumns({f"_d{k}": F.col(x) - F.lag(x, k).over(at) for k in lags})
-    taus = {f"_t{k}": full(F.stddev_samp(f"_d{k}").over(frame(keys, n - k, order)), F.col(f"_d{k}"), frame(keys, n - k, order), n - k) for k in lags}
-    logs = diffs.withColumns(taus).withColumns({f"_y{k}": F.when(F.col(f"_t{k}") > 1e-12, F.ln(f"_t{k}")) for k in lags})
+    if n > DIRECT:  # differences lie about zero, so their running sums need no centring
+        terms = {f"_{t}{k}": v for k in lags for t, v in (("c", F.col(f"_d{k}").isNotNull().cast("int")), ("s", F.col(f"_d{k}")), ("q", F.col(f"_d{k}") * F.col(f"_d{k}")))}
+        cut = framed(diffs, terms, {t: n - int(t[2:]) for t in terms}, keys, order)
+        var = {k: (F.col(f"_q{k}") - F.col(f"_s{k}") * F.col(f"_s{k}") / (n - k)) / (n - k - 1) for k in lags}
+        diffs = cut.withColumns({f"_t{k}": F.when(F.col(f"_c{k}") == n - k, F.sqrt(F.greatest(var[k], F.lit(0.0)))) for k in lags})
+    taus = {} if n > DIRECT else {f"_t{k}": full(F.stddev_samp(f"_d{k}").over(frame(keys, n - k, order)), F.col(f"_d{k}"), frame(keys, n - k, order), n - k) for k in lags}
+    logs = (diffs.withColumns(taus) if taus else diffs).withColumns({f"_y{k}": F.when(F.col(f"_t{k}") > 1e-12, F.ln(f"_t{k}")) for k in lags})
     made = logs.withColumn("_raw", _slope([math.log(k) for k in lags], [F.col(f"_y{k}") for k in lags]))
     made = made.withColumn("_h", every(F.when(F.col("_raw").isNotNull(), clip(F.col("_raw"), 0.01, 0.99)), n, step, keys, order))
     return made.withColumn(out, ffill(F.col("_h"), keys, order)).select(*df.columns, out)

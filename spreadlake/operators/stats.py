@@ -138,14 +138,15 @@ def adf_full(df: DataFrame, keys: list[str], x: str, order: str = "ts") -> DataF
 def adf_rolling(df: DataFrame, n: int, keys: list[str], x: str, order: str = "ts", step: int = 1) -> DataFrame:
     """p_value of the full test over the n rows before each step-th row, carried forward."""
     w = ordered(keys, order).rowsBetween(-n, -1)
-    rows = df.withColumns({"_w": F.collect_list(x).over(w), "_rn": F.row_number().over(ordered(keys, order)) - 1})
+    numbered = df.withColumn("_rn", F.row_number().over(ordered(keys, order)) - 1)
+    due = (F.col("_rn") >= n) & ((F.col("_rn") - n) % step == 0)
+    rows = numbered.withColumn("_w", F.when(due, F.collect_list(x).over(w)))
 
     @F.pandas_udf("double")
     def p(windows: pd.Series) -> pd.Series:
         return windows.map(lambda v: adf_test(np.asarray(v))[1] if v is not None and len(v) >= 10 else None)
 
-    at = (F.col("_rn") >= n) & ((F.col("_rn") - n) % step == 0)
-    made = rows.withColumn("_p", p(F.when(at, F.col("_w"))))
+    made = rows.withColumn("_p", p(F.col("_w")))
     made = made.withColumn("_p", F.when(F.isnan("_p"), None).otherwise(F.col("_p")))
     return made.withColumn("p_value", F.last("_p", ignorenulls=True).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))).select(*df.columns, "p_value")
 

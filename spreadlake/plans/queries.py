@@ -77,7 +77,7 @@ def _(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet").withColumn("k", F.lit(1))
     left = e.filter("event_type = 'click'").select("k", "event_id", "ts", F.col("value").alias("click_value"))
     right = e.filter("event_type = 'view'").select("k", "ts", F.col("value").alias("view_value"))
-    return bars.asof(left, right, ["k"], ["view_value"]).drop("k")
+    return bars.asof(left, right, ["k"], ["view_value"], block="day").drop("k")
 
 
 @register("union_ffill", query("""SELECT * FROM (SELECT ts, last_value(a IGNORE NULLS) OVER w AS click_close, last_value(b IGNORE NULLS) OVER w AS view_close FROM

@@ -160,6 +160,14 @@ def _(spark, d):
     return step.groupBy(F.date_format("ts", "yyyy-MM").alias("period")).agg(F.sum("step").alias("pnl")).filter(F.abs("pnl") > 0.01).select("period", *r6("pnl"))
 
 
+@register("equity_daily_pnl", query("SELECT day::VARCHAR AS day, round(close - coalesce(lag(close) OVER (ORDER BY day), 100000.0), 6) AS pnl FROM (SELECT ts::DATE AS day, arg_max(equity, bar_idx) AS close FROM equity GROUP BY 1)", "equity"))
+def _(spark, d):
+    """What the equity's last value of a day gained on the day before's; the first day on the capital."""
+    days = _equity(spark, d).groupBy("pair", F.to_date("ts").alias("day")).agg(F.max_by("equity", "bar_idx").alias("close"))
+    before = F.coalesce(F.lag("close").over(Window.partitionBy("pair").orderBy("day")), F.lit(100_000.0))
+    return days.select(F.col("day").cast("string").alias("day"), F.round(F.col("close") - before, 6).alias("pnl"))
+
+
 @register("equity_yearly_pnl", query("SELECT year(ts)::INT AS year, round(arg_max(equity, bar_idx) - arg_min(equity, bar_idx), 6) AS pnl FROM equity GROUP BY 1 HAVING count(*) >= 10", "equity"))
 def _(spark, d):
     e = _equity(spark, d).groupBy(F.year("ts").alias("year")).agg((F.max_by("equity", "bar_idx") - F.min_by("equity", "bar_idx")).alias("pnl"), F.count("*").alias("n"))

@@ -167,6 +167,13 @@ def _(spark, d):
     return t.groupBy("year", "quarter", "month").agg(F.count("*").alias("trades"), F.round(F.sum("pnl_net"), 6).alias("pnl"), F.round(F.avg("pnl_net"), 6).alias("avg_pnl"), F.round(100 * F.avg((F.col("pnl_net") > 0).cast("double")), 6).alias("win_rate"))
 
 
+@register("iso_week_breakdown", query("SELECT isoyear(entry_time)::INT AS iso_year, weekofyear(entry_time)::INT AS iso_week, hour(entry_time)::INT AS entry_hour, count(*) AS trades, round(sum(pnl_net), 6) AS pnl FROM trades GROUP BY 1, 2, 3", "trades"))
+def _(spark, d):
+    t = inputs.traded(spark, d)
+    week = [F.expr("extract(YEAROFWEEK FROM entry_time)").cast("int").alias("iso_year"), F.weekofyear("entry_time").alias("iso_week"), F.hour("entry_time").alias("entry_hour")]
+    return t.groupBy(*week).agg(F.count("*").alias("trades"), F.round(F.sum("pnl_net"), 6).alias("pnl"))
+
+
 @register("side_weekday_heatmap", query("SELECT side, " + ", ".join(f"round(sum(pnl_net) FILTER (isodow(entry_time) = {i + 1}), 6) AS d{i}" for i in range(7)) + " FROM trades GROUP BY side", "trades"))
 def _(spark, d):
     t = inputs.traded(spark, d).withColumn("day", F.concat(F.lit("d"), F.weekday("entry_time")))
@@ -486,6 +493,39 @@ def _(spark, d):
     return out.select("pair", "entry_time", "exit_time", "side", "n_b", *r6("pnl_gross", "costs", "pnl_net", "mfe", "mae"), "exit_reason")
 
 
+@register("hybrid_summary")
+def _(spark, d):
+    """The two-speed back-test as a report, with its largest drawdown."""
+    return tick_ops.hybrid_summary(_two_speed(spark, d)[1], KEYS)
+
+
+cte("g_exits", f"SELECT t.config_id, CASE WHEN time_stop > 0 AND exit_bar - entry_bar >= time_stop THEN 'TIME_STOP' WHEN abs(zscore) > stop THEN 'Z_STOP' ELSE 'Z_EXIT' END AS exit_type, pnl_net FROM g_trades t JOIN configs USING (config_id) JOIN hedged ON bar_idx = exit_bar", "g_trades", "configs", "hedged")
+
+
+@register("grid_exit_types", query("SELECT config_id, exit_type, count(*) AS trades, round(avg(pnl_net), 6) AS avg_pnl FROM g_exits GROUP BY 1, 2", "g_exits"))
+def _(spark, d):
+    """How the trades of every configuration of a grid ended."""
+    h, c = inputs.hedged(spark, d), grid.axes(spark, **AXES)
+    done = grid.run(h, c, KEYS)[0].join(F.broadcast(c.select("config_id", "stop", "time_stop")), "config_id")
+    met = done.join(h.select("pair", F.col("bar_idx").alias("exit_bar"), "zscore"), ["pair", "exit_bar"])
+    timed = (F.col("time_stop") > 0) & (F.col("exit_bar") - F.col("entry_bar") >= F.col("time_stop"))
+    kind = F.when(timed, "TIME_STOP").when(F.abs("zscore") > F.col("stop"), "Z_STOP").otherwise("Z_EXIT")
+    return met.groupBy("config_id", kind.alias("exit_type")).agg(F.count("*").alias("trades"), F.round(F.avg("pnl_net"), 6).alias("avg_pnl"))
+
+
+@register("in_out_rebuilt")
+def _(spark, d):
+    """Back-tests of the first 70 % of the bars and of the rest, each with estimators of its own."""
+    from ..operators import rolling
+
+    n = n_bars(spark, d)
+    keys = [*KEYS, "slice"]
+    parts = bars.sliced(inputs.aligned(spark, d), KEYS, {"in": (0, 7 * n // 10), "out": (7 * n // 10, n)})
+    hedged = rolling.rolling_ols(parts, inputs.OLS, inputs.ZW, keys, "bar_idx")
+    done = trades.backtest(signals.state_machine(hedged, inputs.ENTRY, LEAVE, STOP, keys, "bar_idx"), keys)
+    return trades.summary(done, keys).select("slice", "trades", *r6("win_rate", "pnl", "profit_factor", "avg_pnl"))
+
+
 _TRADE = ["pair", "entry_time", "exit_time", "side", "n_a", "n_b", "pnl_net"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spreadlake import catalog
 from spreadlake.functions import exprs
-from spreadlake.operators import kalman, rolling, signals, stats, ticks, trades, validation
+from spreadlake.operators import bars, kalman, rolling, signals, stats, ticks, trades, validation
 from spreadlake.plans import estimators, grid
 from spreadlake.streaming import online
 
@@ -325,6 +325,65 @@ def test_runs_of_equal_single_machines():
         assert sig.tolist() == _walk(z, *level)
 
 
+def test_long_frames_equal_direct_ones(spark, monkeypatch):
+    df = as_rows(spark, np.cumsum(np.random.default_rng(5).normal(size=700)) * 0.01 + 5.0)
+    runs = {}
+    for direct in (64, 1000):
+        monkeypatch.setattr(rolling, "DIRECT", direct)
+        plans = [("hurst", rolling.rolling_hurst(df, 256, K)), ("adf_stat", rolling.rolling_adf(df, 200, K)), ("adf_stat", rolling.rolling_adf(df, 150, K, current=True))]
+        runs[direct] = [[r[name] for r in out.orderBy("ts").collect()] for name, out in plans]
+    for a, b in zip(runs[64], runs[1000], strict=True):
+        assert sum(x is not None for x in a) > 300
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-6) for x, y in zip(a, b, strict=True))
+
+
+def test_steps_carry_values_forward(spark):
+    df = as_rows(spark, np.cumsum(np.random.default_rng(6).normal(size=200)))
+    each, stepped = ([r["hurst"] for r in rolling.rolling_hurst(df, 40, K, step=s).orderBy("ts").collect()] for s in (1, 7))
+    assert stepped == [None if i < 40 else each[i - (i - 40) % 7] for i in range(200)]
+    p = [r["p_value"] for r in stats.adf_rolling(df, 60, K, "spread", step=50).orderBy("ts").collect()]
+    x = np.array([r["spread"] for r in df.orderBy("ts").collect()])
+    assert p[59] is None and all(abs(p[i] - stats.adf_test(x[i - 60 : i])[1]) < 1e-9 for i in (60, 110, 160)) and p[109] == p[60]
+
+
+def test_asof_by_blocks(spark):
+    rng = np.random.default_rng(7)
+    t0 = datetime(2024, 1, 1)
+    at = lambda n, days: sorted({t0 + timedelta(minutes=int(m)) for m in rng.integers(0, 1440 * days, n)})
+    left = spark.createDataFrame([(k, t, i) for k in "pq" for i, t in enumerate(at(80, 12))], "pair string, ts timestamp_ntz, n int")
+    right = spark.createDataFrame([(k, t, float(i)) for k in "pq" for i, t in enumerate(at(9, 12))], "pair string, ts timestamp_ntz, v double")
+    one, two = (sorted(map(tuple, bars.asof(left, right, K, ["v"], block=b).collect()), key=repr) for b in (None, "day"))
+    assert one == two and any(r[3] is not None for r in one)
+
+
+def test_slices_start_anew(spark):
+    df = aligned(spark, 400)
+    parts = bars.sliced(df, K, {"in": (0, 300), "out": (300, 400)})
+    got = rolling.rolling_ols(parts, 50, 20, [*K, "slice"], "bar_idx").filter("slice = 'out'").orderBy("bar_idx").collect()
+    alone = rolling.rolling_ols(df.filter("bar_idx >= 300").withColumn("bar_idx", F.col("bar_idx") - 300), 50, 20, K, "bar_idx").orderBy("bar_idx").collect()
+    assert [(r["bar_idx"], r["zscore"]) for r in got] == [(r["bar_idx"], r["zscore"]) for r in alone] and sum(r["beta"] is not None for r in got) == 51
+
+
+def test_watermarked_bars_of_a_stream(spark, tmp_path):
+    """Bars of ticks that come in two files; a tick behind the watermark is dropped."""
+    t0 = datetime(2024, 1, 2, 9)
+    ddl = "pair string, ts timestamp, open double, high double, low double, close double, volume double"
+    tick = lambda m, x: ("p", t0 + timedelta(minutes=m), x, x, x, x, 1.0)
+    for i, part in enumerate(([tick(0, 1.0), tick(3, 5.0), tick(4, 2.0), tick(40, 7.0)], [tick(1, 99.0), tick(41, 6.0), tick(90, 1.0)])):
+        spark.createDataFrame(part, ddl).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in{i}")
+    import shutil
+
+    (tmp_path / "in").mkdir()
+    for i in (0, 1):
+        for f in (tmp_path / f"in{i}").glob("part-*"):
+            shutil.copy(f, tmp_path / "in" / f"{i}-{f.name}")
+        stream = spark.readStream.schema(ddl).parquet(f"{tmp_path}/in")
+        out = online.ohlcv(stream, "5 minutes", K).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        out.awaitTermination()
+    got = [(r["ts"], r["open"], r["high"], r["low"], r["close"], r["volume"]) for r in spark.read.parquet(f"{tmp_path}/out").orderBy("ts").collect()]
+    assert got == [(t0, 1.0, 5.0, 1.0, 2.0, 3.0), (t0 + timedelta(minutes=40), 7.0, 7.0, 6.0, 6.0, 2.0)]
+
+
 def test_every_query_has_columns(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 70
