@@ -174,6 +174,24 @@ def test_op4(spark, place, texts):
     assert not got
 
 
+def test_pieces_of_a_small_table(monkeypatch):
+    """A table that is full all the time, and texts that come one by one, change nothing."""
+    import public_tokenizers
+    import sentencepiece
+
+    from spreadlake.llm import pieces
+
+    path = str(public_tokenizers.path("piece_bpe_32k.model"))
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(pieces, "TOGETHER", 40)
+    table = pieces.PieceTable(path, 5)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("ab \n\u2581\u00e9,1"), int(rng.integers(0, 60)))) for _ in range(300)]
+    for t, (ids, decoded) in zip(texts, table.encode(texts), strict=True):
+        want = sp.encode(t)
+        assert (ids, decoded) == (",".join(map(str, want)), sp.decode(want)), repr(t)
+
+
 def test_op5(spark, place, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
