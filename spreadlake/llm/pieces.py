@@ -34,7 +34,7 @@ class PieceTable(dict):
     that are met again come back; the half before is forgotten.
     """
 
-    def __init__(self, model_file: str, max_entries: int = 100_000) -> None:
+    def __init__(self, model_file: str, max_entries: int = 300_000) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
@@ -100,13 +100,13 @@ def _apply(df: DataFrame, model_file: str, id_col: str, text_col: str, fields: l
     return df.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", max_entries: int = 100_000) -> DataFrame:
+def encode_decode(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", max_entries: int = 300_000) -> DataFrame:
     """id_col, ids (array<int>), decoded (string) of every text."""
     fields = [("ids", "array<int>", pa.list_(pa.int32())), ("decoded", "string", pa.string())]
     return _apply(df, model_file, id_col, text_col, fields, lambda ids, text: (list(map(int, ids.split(","))) if ids else [], text), max_entries)
 
 
-def encode_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", max_entries: int = 100_000) -> DataFrame:
+def encode_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text", max_entries: int = 300_000) -> DataFrame:
     """id_col, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256 of every text.
 
     The same rows as encode_decode(), digested in the worker that made them, so ids and texts do not travel.
