@@ -58,7 +58,7 @@ class ChunkIds(dict):
 
     TAIL = b".,;:!?*$%&#"
 
-    def __init__(self, tokenizer_file: str, half: int = 300_000) -> None:
+    def __init__(self, tokenizer_file: str, half: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(tokenizer_file)
