@@ -5,7 +5,6 @@ import sys
 from datetime import datetime, timedelta
 
 import numpy as np
-import pandas as pd
 import pytest
 
 from spreadlake import catalog
@@ -26,11 +25,16 @@ def test_hybrid_walk():
     t0 = datetime(2024, 1, 3, 10)
     b = [100.0] * 8
     a = [100.0, 97.0, 97.5, 100.0, 97.0, 97.0, 90.0, 97.0]
-    frame = pd.DataFrame({"ts": [t0 + timedelta(seconds=i) for i in range(8)], "a": a, "b": b, "beta": 1.0, "alpha": 0.0, "mean": 0.0, "std": 0.01, "gate": True, "bar": [1, 1, 1, 1, 1, 2, 2, 3], "prev_z": 0.0})
     cfg = ticks.HybridConfig(entry=2.0, leave=0.5, stop=99.0, dollar_stop=5.0, mult_a=1.0, mult_b=1.0, slippage=0.0, commission=0.0)
-    got = [(pd.Timestamp(m[0]).second, pd.Timestamp(m[1]).second, m[2], m[11], m[-1]) for m in ticks._walk_ticks(frame, cfg)]
-    # after the exit at second 3 the machine cools down; |z before| < leave frees it one tick later
-    assert got == [(1, 3, 1, 3.0, "Z_EXIT"), (5, 6, 1, -7.0, "DOLLAR_STOP")]
+    desk, made, number = ticks.HybridDesk(cfg), [], 0
+    for i, bar in enumerate([1, 1, 1, 1, 1, 2, 2, 3]):
+        if bar != number:
+            number = bar
+            desk.begin({"beta": 1.0, "alpha": 0.0, "mean": 0.0, "std": 0.01, "prev_z": 0.0, "gate": True, "number": bar, "end": None})
+        made.append(desk.tick(t0 + timedelta(seconds=i), a[i], b[i], 600))
+    got = [(m[0].second, m[1].second, m[2], m[11], m[-1]) for m in made if m]
+    # after the exit at second 3 it cools down, until the next bar begins with |z before| inside its level
+    assert got == [(1, 3, 1, 3.0, "TP_ZSCORE"), (5, 6, 1, -7.0, "SL_DOLLAR")]
 
 
 def test_diverse_topk(spark):
