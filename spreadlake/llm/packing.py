@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
+from .textcore import give_back
 
 CAPACITY, END_ID, OPEN_BINS, PIECES_A_TASK = 2048, 0, 4096, 60_000
 
@@ -102,18 +103,14 @@ class ChunkIds(dict):
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 
-_held: dict[str, ChunkIds] = {}
-
-
 def pieces(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """id_col, piece, start, length, ids_crc32 of every piece of every whole text."""
     names = [id_col, "piece", "start", "length", "ids_crc32"]
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_file not in _held:
-            _held[tokenizer_file] = ChunkIds(tokenizer_file)
-        get = _held[tokenizer_file].ids
+        held = ChunkIds(tokenizer_file)  # a task's own: workers live on, and would keep the table
+        get = held.ids
         for batch in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -127,6 +124,8 @@ def pieces(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
                     crc.append(zlib.crc32(part))
             cols = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
             yield pa.RecordBatch.from_arrays(cols, names)
+        del held, get
+        give_back()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")

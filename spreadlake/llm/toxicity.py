@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_table, maybe_in, table
-from .textcore import mix
+from .textcore import give_back, mix
 
 U = np.uint64
 SLOTS = 1 << 18
@@ -118,6 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = [("sum", i, y, sums[y, i * PIECE : (i + 1) * PIECE].tobytes()) for y in (0, 1) for i in range(SLOTS // PIECE)]
             rows.append(("n", 0, 0, np.array(total, np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names)
+        give_back()
 
     made = table(spark, known.mapInArrow(count, "kind string, key bigint, label int, body binary"), "toxicity-counts")
 
