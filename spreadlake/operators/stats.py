@@ -46,6 +46,50 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.select(*keys, "n", (F.col("_c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))).alias("rho"))
 
 
+def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """n and r of the rows that have both; null without variance."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    out = both.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop(x, y).alias("_c"), (F.stddev_pop(x) * F.stddev_pop(y)).alias("_s"))
+    return out.select(*keys, "n", (F.col("_c") / F.nullif(F.col("_s"), F.lit(0.0))).alias("r"))
+
+
+def beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction (evaluated by Lentz's method)."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - beta_share(b, a, 1 - x)
+    tiny, c, d = 1e-300, 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    total = d
+    for m in range(1, 10_000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        before = total
+        for term in (even, odd):
+            d = 1 + term * d
+            c = 1 + term / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            total *= c * d
+        if abs(total - before) <= 1e-14 * abs(total):
+            break
+    front = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
+    return math.exp(front) * total / a
+
+
+def correlation_p(r: str, n: str) -> Column:
+    """Two-sided p-value of a correlation by Student's t with n - 2 degrees of freedom; null for n < 3 or without r.
+
+    It works on one row a group, so the Python function sees results, not data.
+    """
+
+    def p(rs: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or k < 3 else beta_share((k - 2) / 2, 0.5, max(0.0, 1 - x * x)) for x, k in zip(rs, ns, strict=True)], dtype=float)
+
+    return F.pandas_udf(p, "double")(F.col(r).cast("double"), F.col(n).cast("double"))
+
+
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, given: str) -> DataFrame:
     """Rank correlation of what is left of x and y behind a regression of their ranks on the rank of a third column."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(given).isNotNull())

@@ -150,3 +150,21 @@ def exit_type(z: Column, signal: Column, leave: float, stop: float, bars: Column
     if bars is not None and time_stop > 0:
         out = out.when(bars >= time_stop, "TIME_STOP")
     return out.when(F.abs(z) > stop, "Z_STOP").otherwise("Z_EXIT")
+
+
+def auto_exit(side: Column, z: Column, pnl: Column, minute: Column, leave: float, dollar_stop: float, flat: int, session: tuple[int, int]) -> Column:
+    """Why an open position is closed now: Z_EXIT before DOLLAR_STOP before TIME_STOP, else null.
+
+    A long position leaves at z >= -leave, a short one at z <= leave; levels of 0 are off.  minute is the
+    bar's minute of the day.  In a session over midnight the evening belongs to the next day, so only
+    minutes before its start count as flat time.  Null z and pnl fire nothing, and neither does side 0.
+    """
+    late = minute >= flat
+    if session[0] > session[1]:
+        late = late & (minute < session[0])
+    out = F.when(F.coalesce(side, F.lit(0)) == 0, F.lit(None).cast("string"))
+    if leave > 0:
+        out = out.when(side * z >= -leave, "Z_EXIT")
+    if dollar_stop > 0:
+        out = out.when(pnl <= -dollar_stop, "DOLLAR_STOP")
+    return out.when(late, "TIME_STOP")

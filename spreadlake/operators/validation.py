@@ -178,6 +178,25 @@ def slippage_sweep(raw: DataFrame, keys: list[str], spec: dict, most: int = 3) -
     return both.groupBy(*keys, "ticks").agg(F.count("*").alias("trades"), F.sum("pnl_net").alias("pnl"), profit_factor(F.col("pnl_net")).alias("profit_factor"))
 
 
+def parameters(axes: list[str]) -> Column:
+    """A map from the name of each parameter to its value, as a double."""
+    return F.create_map(*(x for a in axes for x in (F.lit(a), F.col(a).cast("double"))))
+
+
+def exit_breakdown(trades: DataFrame, keys: list[str], kinds: list[str], kind: str = "exit_type") -> DataFrame:
+    """exits: a map from each of kinds to count, pct of all trades and avg_pnl (0 for kinds without trades).
+
+    keys may hold maps, which can't be grouped by: they must depend on the other keys, and are carried along.
+    """
+    maps = [k for k in keys if trades.schema[k].dataType.typeName() == "map"]
+    plain = [k for k in keys if k not in maps]
+    one = [F.count(F.when(F.col(kind) == k, 1)).alias(f"_n{i}") for i, k in enumerate(kinds)]
+    one += [F.avg(F.when(F.col(kind) == k, F.col("pnl_net"))).alias(f"_p{i}") for i, k in enumerate(kinds)]
+    got = trades.groupBy(*plain).agg(F.count("*").alias("_n"), *one, *(F.first(m).alias(m) for m in maps))
+    cell = lambda i: F.struct(F.col(f"_n{i}").alias("count"), (100.0 * F.col(f"_n{i}") / F.col("_n")).alias("pct"), F.coalesce(f"_p{i}", F.lit(0.0)).alias("avg_pnl"))
+    return got.select(*keys, F.create_map(*(x for i, k in enumerate(kinds) for x in (F.lit(k), cell(i)))).alias("exits"))
+
+
 def grade(value: Column, go: float, warn: float) -> Column:
     return F.when(value >= go, "GO").when(value >= warn, "WARN").otherwise("KILL")
 

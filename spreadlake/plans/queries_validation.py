@@ -442,29 +442,51 @@ def _(spark, d):
     return k.select("bar_idx", *(F.round(c, n).alias(c) for c, n in (("beta", 3), ("zscore", 3), ("spread", 2))))
 
 
-# --- ticks inside trades ----------------------------------------------------------------------
-# A sample that SQL can follow: of the events only every 200th opens a trade, for two days.
-# mfe_mae_trades and dollar_tpsl_trades below run on all trades of a back-test.
-cte("t_trades", "SELECT event_id AS trade_id, ts AS entry_time, ts + INTERVAL '2 days' AS exit_time, value AS entry_price, CASE WHEN event_id % 400 = 0 THEN 1 ELSE -1 END AS side FROM events WHERE event_id % 200 = 0")
-cte("t_curve", "SELECT trade_id, e.ts, e.event_id, side * (e.value - entry_price) AS pnl, row_number() OVER (PARTITION BY trade_id ORDER BY e.ts, e.event_id) AS i FROM t_trades JOIN events e ON e.event_type = 'view' AND e.ts BETWEEN entry_time AND exit_time", "t_trades")
+# --- inside trades ----------------------------------------------------------------------------
+# All bars of all trades of the back-test; mfe_mae_trades and dollar_tpsl_trades below run on ticks.
+_PNL = f"side * (n_a * (a.close_a - entry_price_a) * {trades.SPEC['mult_a']} - n_b * (a.close_b - entry_price_b) * {trades.SPEC['mult_b']})"
+cte(
+    "t_curve",
+    f"""SELECT entry_bar, t.pair, side, exit_bar, a.bar_idx, a.ts, a.zscore, {_PNL} AS pnl, row_number() OVER (PARTITION BY entry_bar ORDER BY a.ts) AS i
+FROM (SELECT *, 'A_N' AS pair FROM trades) t JOIN hedged a ON a.ts BETWEEN entry_time AND exit_time""",
+    "trades",
+    "hedged",
+)
+_T_KEYS = ["pair", "entry_bar"]
 
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
-    made = e.filter("event_id % 200 = 0").select(F.col("event_id").alias("trade_id"), F.col("ts").alias("entry_time"), (F.col("ts") + F.expr("interval 2 days")).alias("exit_time"), F.col("value").alias("entry_price"), F.when(F.col("event_id") % 400 == 0, 1).otherwise(-1).alias("side"))
-    met = bars.interval_join(e.filter("event_type = 'view'").select("ts", "event_id", "value"), made, "entry_time", "exit_time")
-    return met.withColumn("pnl", F.col("side") * (F.col("value") - F.col("entry_price")))
+    """Unrealized PnL at every bar of every trade of the back-test, from the entry to the exit."""
+    made = inputs.traded(spark, d).select(*_T_KEYS, "exit_bar", "entry_time", "exit_time", "side", "n_a", "n_b", "entry_price_a", "entry_price_b")
+    bar = inputs.hedged(spark, d).select("bar_idx", "ts", "close_a", "close_b", "zscore")
+    met = bars.interval_join(bar, made, "entry_time", "exit_time")
+    return met.withColumn("pnl", trades.pnl_gross(*(F.col(c) for c in ("side", "n_a", "n_b", "entry_price_a", "entry_price_b", "close_a", "close_b")), trades.SPEC))
+
+
+@register(
+    "mfe_mae",
+    query("SELECT entry_bar, round(max(pnl), 6) AS mfe, round(min(pnl), 6) AS mae, arg_max(ts, pnl) AS mfe_ts, arg_min(ts, pnl) AS mae_ts, count(*) AS ticks FROM t_curve GROUP BY entry_bar", "t_curve"),
+)
+def _(spark, d):
+    return tick_ops.excursions(_curve(spark, d), _T_KEYS).select("entry_bar", *r6("mfe", "mae"), "mfe_ts", "mae_ts", "ticks")
 
 
-@register("mfe_mae", query("SELECT trade_id, round(max(pnl), 6) AS mfe, round(min(pnl), 6) AS mae, arg_max(ts, pnl) AS mfe_ts, arg_min(ts, pnl) AS mae_ts, count(*) AS ticks FROM t_curve GROUP BY trade_id", "t_curve"))
+@register("dollar_tpsl", query("""SELECT entry_bar, CASE WHEN tp IS NULL AND sl IS NULL THEN 'NONE' WHEN sl IS NULL OR tp < sl THEN 'TP' ELSE 'SL' END AS touch,
+ round(CASE WHEN tp IS NULL AND sl IS NULL THEN final WHEN sl IS NULL OR tp < sl THEN tp_pnl ELSE sl_pnl END, 6) AS pnl
+FROM (SELECT entry_bar, min(i) FILTER (pnl >= 150) AS tp, min(i) FILTER (pnl <= -100) AS sl, arg_min(pnl, i) FILTER (pnl >= 150) AS tp_pnl,
+ arg_min(pnl, i) FILTER (pnl <= -100) AS sl_pnl, arg_max(pnl, i) AS final FROM t_curve GROUP BY entry_bar)""", "t_curve"))
 def _(spark, d):
-    return tick_ops.excursions(_curve(spark, d), ["trade_id"]).select("trade_id", *r6("mfe", "mae"), "mfe_ts", "mae_ts", "ticks")
+    return tick_ops.first_touch(_curve(spark, d), _T_KEYS, 150.0, 100.0, order=["ts"]).select("entry_bar", "touch", *r6("pnl"))
 
 
-@register("dollar_tpsl", query("""SELECT trade_id, CASE WHEN tp IS NULL AND sl IS NULL THEN 'NONE' WHEN sl IS NULL OR tp < sl THEN 'TP' ELSE 'SL' END AS touch,
- round(CASE WHEN tp IS NULL AND sl IS NULL THEN final WHEN sl IS NULL OR tp < sl THEN tp_pnl ELSE sl_pnl END, 6) AS pnl FROM (SELECT trade_id, min(i) FILTER (pnl >= 150) AS tp, min(i) FILTER (pnl <= -100) AS sl, arg_min(pnl, i) FILTER (pnl >= 150) AS tp_pnl, arg_min(pnl, i) FILTER (pnl <= -100) AS sl_pnl, arg_max(pnl, i) AS final FROM t_curve GROUP BY trade_id)""", "t_curve"))
+@register("auto_exit", query("""SELECT entry_bar, min(bar_idx) AS exit_bar, arg_min(why, bar_idx) AS reason
+FROM (SELECT *, CASE WHEN side * zscore >= -0.25 THEN 'Z_EXIT' WHEN pnl <= -100 THEN 'DOLLAR_STOP' WHEN bar_idx * 60 % 1440 < 1080 AND bar_idx * 60 % 1440 >= 930 THEN 'TIME_STOP' END AS why
+ FROM t_curve WHERE bar_idx > entry_bar) WHERE why IS NOT NULL GROUP BY entry_bar""", "t_curve"))
 def _(spark, d):
-    return tick_ops.first_touch(_curve(spark, d), ["trade_id"], 150.0, 100.0, order=["ts", "event_id"]).select("trade_id", "touch", *r6("pnl"))
+    """The first bar behind its entry at which a live exit rule would close each trade, and which; bars stand for hours of an overnight session."""
+    why = trades.auto_exit(F.col("side"), F.col("zscore"), F.col("pnl"), F.col("bar_idx") * 60 % 1440, 0.25, 100.0, 930, (1080, 1020))
+    fired = _curve(spark, d).filter("bar_idx > entry_bar").withColumn("reason", why).filter("reason is not null")
+    return fired.groupBy(*_T_KEYS).agg(F.min("bar_idx").alias("exit_bar"), F.min_by("reason", "bar_idx").alias("reason")).select("entry_bar", "exit_bar", "reason")
 
 
 _HYBRID = tick_ops.HybridConfig(entry=1.5, leave=0.5, stop=3.0)
@@ -513,6 +535,37 @@ def _(spark, d):
     return met.groupBy("config_id", kind.alias("exit_type")).agg(F.count("*").alias("trades"), F.round(F.avg("pnl_net"), 6).alias("avg_pnl"))
 
 
+_KINDS = ["Z_EXIT", "Z_STOP", "TIME_STOP"]
+_SHARES = ", ".join(
+    f"count(*) FILTER (exit_type = '{k}') AS {k.lower()}_count, round(100.0 * count(*) FILTER (exit_type = '{k}') / count(*), 6) AS {k.lower()}_pct,"
+    f" coalesce(round(avg(pnl_net) FILTER (exit_type = '{k}'), 4), 0.0) AS {k.lower()}_avg"
+    for k in _KINDS
+)
+
+
+@register("exit_breakdown", query(f"SELECT config_id, any_value(entry) AS entry, any_value(stop) AS stop, {_SHARES} FROM g_exits JOIN configs USING (config_id) GROUP BY config_id", "g_exits", "configs"))
+def _(spark, d):
+    """The maps of every configuration's parameters and exits, read by key."""
+    h, c = inputs.hedged(spark, d), grid.axes(spark, **AXES)
+    done = grid.run(h, c, KEYS)[0].join(F.broadcast(c.select("config_id", *AXES)), "config_id")
+    met = done.join(h.select("pair", F.col("bar_idx").alias("exit_bar"), "zscore"), ["pair", "exit_bar"])
+    timed = (F.col("time_stop") > 0) & (F.col("exit_bar") - F.col("entry_bar") >= F.col("time_stop"))
+    kind = F.when(timed, "TIME_STOP").when(F.abs("zscore") > F.col("stop"), "Z_STOP").otherwise("Z_EXIT")
+    made = validation.exit_breakdown(met.withColumns({"exit_type": kind, "parameters": validation.parameters(["entry", "leave", "stop", "time_stop"])}), ["config_id", "parameters"], _KINDS)
+    read = [F.col("exits")[k][f].alias(f"{k.lower()}_{n}") for k in _KINDS for f, n in (("count", "count"), ("pct", "pct"), ("avg_pnl", "avg"))]
+    flat = made.select("config_id", F.col("parameters")["entry"].alias("entry"), F.col("parameters")["stop"].alias("stop"), *read)
+    return flat.select("config_id", "entry", "stop", *(F.round(c, 4 if c.endswith("avg") else 6).alias(c) if c.endswith(("pct", "avg")) else c for c in flat.columns[3:]))
+
+
+@register("correlation_p")
+def _(spark, d):
+    """Linear and rank correlation of two columns with their two-sided p-values."""
+    items = _items(spark, d)
+    rank = stats.spearman(items, ["k"], "l_quantity", "l_tax").select(F.lit("spearman").alias("kind"), "n", F.col("rho").alias("r"))
+    line = stats.pearson(items, ["k"], "l_quantity", "l_tax").select(F.lit("pearson").alias("kind"), "n", "r")
+    return rank.unionByName(line).withColumn("p_value", stats.correlation_p("r", "n"))
+
+
 @register("in_out_rebuilt")
 def _(spark, d):
     """Back-tests of the first 70 % of the bars and of the rest, each with estimators of its own."""

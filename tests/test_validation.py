@@ -384,6 +384,42 @@ def test_watermarked_bars_of_a_stream(spark, tmp_path):
     assert got == [(t0, 1.0, 5.0, 1.0, 2.0, 3.0), (t0 + timedelta(minutes=40), 7.0, 7.0, 6.0, 6.0, 2.0)]
 
 
+def test_auto_exit(spark):
+    rows = [(1, -0.2, 0.0, 600), (1, -0.3, -100.0, 600), (1, -0.3, 0.0, 930), (1, -0.3, 0.0, 1100), (-1, 0.2, 0.0, 600), (-1, 0.3, 0.0, 600), (0, 0.0, -500.0, 940), (1, None, None, 940), (1, None, None, 600)]
+    df = spark.createDataFrame(rows, "side int, z double, pnl double, minute int").coalesce(1)
+    cols = [F.col(c) for c in ("side", "z", "pnl", "minute")]
+    night, day = (df.select(trades.auto_exit(*cols, 0.25, 100.0, 930, s).alias("why")).toPandas()["why"].tolist() for s in ((1080, 1020), (570, 960)))
+    assert night == ["Z_EXIT", "DOLLAR_STOP", "TIME_STOP", None, "Z_EXIT", None, None, "TIME_STOP", None]
+    assert day == [*night[:3], "TIME_STOP", *night[4:]]
+    off = df.select(trades.auto_exit(*cols, 0.0, 0.0, 1440, (570, 960)).alias("why")).toPandas()["why"].tolist()
+    assert off == [None] * len(rows)
+
+
+def test_exit_breakdown_maps(spark):
+    df = spark.createDataFrame([(1, 0.5, "A", 2.0), (1, 0.5, "A", 4.0), (1, 0.5, "B", -1.0), (1, 0.5, "X", 9.0), (2, 0.7, None, 1.0)], "id int, entry double, exit_type string, pnl_net double")
+    got = validation.exit_breakdown(df.withColumn("parameters", validation.parameters(["entry"])), ["id", "parameters"], ["A", "B", "C"]).orderBy("id").collect()
+    assert got[0]["parameters"] == {"entry": 0.5} and {k: tuple(v) for k, v in got[0]["exits"].items()} == {"A": (2, 50.0, 3.0), "B": (1, 25.0, -1.0), "C": (0, 0.0, 0.0)}
+    assert {tuple(v) for v in got[1]["exits"].values()} == {(0, 0.0, 0.0)}
+
+
+@pytest.mark.parametrize(("r", "n"), [(0.0, 10), (0.3, 12), (-0.7, 5), (0.05, 2000), (0.999, 4), (0.02, 60_000)])
+def test_correlation_p_by_integration(r, n):
+    """Twice the tail of Student's t, summed by Simpson's rule over the angle whose tangent is t / sqrt(df)."""
+    df = n - 2
+    lo = math.asin(abs(r))
+    at = np.linspace(lo, math.pi / 2, 200_001)
+    f = np.cos(at) ** (df - 1)
+    area = (f[0] + f[-1] + 4 * f[1:-1:2].sum() + 2 * f[2:-1:2].sum()) * (at[1] - at[0]) / 3
+    want = 2 * area * math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(math.pi)
+    assert stats.beta_share(df / 2, 0.5, 1 - r * r) == pytest.approx(want, rel=1e-6, abs=1e-12)
+
+
+def test_correlation_p_edges(spark):
+    df = spark.createDataFrame([(1.0, 10), (0.5, 2), (None, 10), (0.0, 10)], "r double, n long").coalesce(1)
+    got = df.select(stats.correlation_p("r", "n").alias("p")).toPandas()["p"].tolist()
+    assert got[0] == 0.0 and np.isnan(got[1]) and np.isnan(got[2]) and got[3] == pytest.approx(1.0)
+
+
 def test_every_query_has_columns(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 70
