@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import input_bytes
-from .textcore import chunks, mix, range_hashes, runs
+from .textcore import chunks, give_back, mix, range_hashes, runs
 
 U = np.uint64
 WINDOW, SEED = 13, 5
@@ -78,6 +78,7 @@ class Block:
             return
         ids, tags = np.concatenate(self.ids), np.concatenate(self.tags)
         keys, anchors, doc, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts.clear()
         rank = np.unique(ids, return_inverse=True)[1]
         repeat = _later(keys, rank[doc])
         gap = np.ones(len(keys), bool)
@@ -190,9 +191,13 @@ def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
                     yield done()
                     block = Block()
         yield done()
+        block = Block()
+        give_back()
 
     def meet(bodies: pa.Table) -> pa.Table:
-        return settle(bodies.column("body").to_pylist())
+        found = settle(bodies.column("body").to_pylist())
+        give_back()
+        return found
 
     keyed = _keyed(df, id_col, text_col).select("_id", "_tag", F.col(text_col).alias("_text"))
     return keyed.mapInArrow(cut, "bucket int, body binary").groupBy("bucket").applyInArrow(meet, "id bigint, tag int, start int, n int")
@@ -245,6 +250,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             cols = list(batch.columns[3:])
             cols[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(cols, names)
+        give_back()
 
     joined = _joined(df, id_col, text_col)
     return joined.select(F.col(text_col).alias("_text"), "_starts", "_counts", *names).mapInArrow(run, df.schema)
