@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, langid, ngram_join, packing, pieces, quality, secrets, substrings, toxicity, warc
+from . import fingerprints, infill, langid, ngram_join, packing, pieces, quality, secrets, substrings, toxicity, urls, warc
 from .common import crc_mod4, held_out, read, shared_dir, table, tune
 
 
@@ -117,10 +117,38 @@ FROM d LEFT JOIN lists ON lists.doc_id = d.doc_id
 """
 
 
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    model = urls.train(spark.createDataFrame(urls.labelled_urls(), "url string, label int"))
+    return urls.judge(read(spark, sf_dir, "pages"), model).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return infill.transform(read(spark, sf_dir, "documents"), digests=True).withColumnRenamed("id", "doc_id")
+
+
+OP13_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, ('0x' || x[1:8])::BIGINT % (n + 1) AS c1, ('0x' || x[9:16])::BIGINT % (n + 1) AS c2,
+             ('0x' || x[17:24])::BIGINT % 100 AS d3, ('0x' || x[25:32])::BIGINT % 100 AS d4 FROM d),
+f AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+             CASE WHEN t = '' OR t LIKE '%<P>%' OR t LIKE '%<S>%' OR t LIKE '%<M>%' OR d3 >= 90 THEN 'plain'
+                  WHEN d4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, left(t, a) AS pre, substring(t, a + 1, b - a) AS mid, substring(t, b + 1) AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup]
+    own = [op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup, op12_url_filters, op13_fill_in_middle]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op2_warc": OP2_SQL, "op10_substring_dedup": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
