@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, infill, langid, ngram_join, packing, pieces, quality, secrets, substrings, toxicity, urls, warc
+from . import fingerprints, infill, langid, negatives, ngram_join, packing, pieces, quality, secrets, substrings, toxicity, urls, warc
 from .common import crc_mod4, held_out, read, shared_dir, table, tune
 
 
@@ -117,6 +117,29 @@ FROM d LEFT JOIN lists ON lists.doc_id = d.doc_id
 """
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    vec_id, label = F.col("vec_id"), F.col("label").cast("bigint")
+    moved = F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.mine(read(spark, sf_dir, "embeddings"), vec_id % 100 == 0, moved)
+
+
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score
+      FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INT AS rank,
+       id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= 5
+"""
+
+
 def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     model = urls.train(spark.createDataFrame(urls.labelled_urls(), "url string, label int"))
@@ -146,9 +169,9 @@ FROM p
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup, op12_url_filters, op13_fill_in_middle]
+    own = [op1_ngram_jaccard_join, op2_warc, op3_toxicity, op4_sentencepiece, op5_best_fit_packing, op6_fingerprints, op7_quality_rules, op8_secret_scans, op9_language_id, op10_substring_dedup, op11_hard_negatives, op12_url_filters, op13_fill_in_middle]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL, "op10_substring_dedup": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op2_warc": OP2_SQL, "op10_substring_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
