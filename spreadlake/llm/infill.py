@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .textcore import buffers
 
-PIECE = 1000  # the most that one repetition of the expression language takes
+PIECE = 64  # longer repetitions leave the fast path of the expression library
 SLICE_BYTES = 2 << 20
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 
