@@ -8,9 +8,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where it is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir of the session, else the context's checkpoint folder; where neither is set a temporary one in local mode (tests), and an error on a cluster."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="spreadlake-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spreadlake-"))
+        where = spark.sparkContext.getCheckpointDir()
     return where.rstrip("/")
