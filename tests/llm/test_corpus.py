@@ -63,10 +63,45 @@ def test_remove_keeps_columns_and_untouched_texts(spark):
     assert got[2]["tag"] == "x" and got[2]["start"] == 5
 
 
+def test_remove_with_names_of_its_own(spark):
+    """Columns named like those that the operator uses inside come back as they were."""
+    p = " ".join(f"p{i}" for i in range(20))
+    names = ["_starts", "_counts", "_id", "_tag", "_row", "_text", "id", "tag", "bucket"]
+    df = spark.createDataFrame([(i, p, *[f"{n}{i}" for n in names]) for i in (1, 2)], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = {r["doc_id"]: r for r in rows(substrings.remove(df))}
+    assert [got[i]["text"] for i in (1, 2)] == [p, ""] and all(got[i][n] == f"{n}{i}" for i in (1, 2) for n in names)
+    assert substrings.remove(df).columns == df.columns and [r["n_removed"] for r in sorted(rows(substrings.digests(df)), key=lambda r: r["doc_id"])] == [0, 20]
+
+
 def test_least():
-    x = np.random.default_rng(1).integers(0, 1000, 100)
+    x = np.random.default_rng(1).integers(0, 60, 100)
     for w in (1, 2, 5, 9, 13):
-        assert (substrings._least(x, w) == [x[i : i + w].min() for i in range(101 - w)]).all()
+        least, at = substrings._least(x, w)
+        assert (least == [x[i : i + w].min() for i in range(101 - w)]).all() and (at == [i + x[i : i + w].argmin() for i in range(101 - w)]).all()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_extend(seed):
+    """Extension against all pairs: few words and few anchors, so classes split late and partners differ by reach."""
+    rng = np.random.default_rng(seed)
+    n, side = 200, substrings.SIDE
+    words = rng.integers(0, 2, n * 30).astype(np.uint32)
+    left = np.arange(n) * 30 + 10
+    words.reshape(n, 30)[:, 3:18] = words.reshape(n, 30)[rng.integers(0, 5, n), 3:18]
+    flip = rng.random(words.shape) < 0.03
+    words[flip] += 7
+    anchor, rank = rng.integers(0, 3, n), rng.integers(0, 60, n)
+    least = rng.integers(0, side + 1, n)
+    most = np.array([rng.integers(x, side + 1) for x in least])
+    got = substrings.extend(anchor, words, left, left + 5, least, most, rank)
+    for i in range(n):
+        for a in range(side + 1):
+            own = (anchor[i], *words[left[i] - a : left[i]], *words[left[i] + 5 : left[i] + 5 + side - a])
+            want = least[i] <= a <= most[i] and any(
+                rank[j] < rank[i] and least[j] <= a <= most[j] and own == (anchor[j], *words[left[j] - a : left[j]], *words[left[j] + 5 : left[j] + 5 + side - a]) for j in range(n)
+            )
+            assert got[i, a] == want
+    assert got.any()
 
 
 def near_components(texts):
