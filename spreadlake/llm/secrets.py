@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import maybe_in
+
 #: kind -> (pattern, group that is measured, least length).  The first three are the base kinds, in this order.
 RULES: dict[str, tuple[re.Pattern, int, int]] = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII), 2, 12),
@@ -77,14 +79,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, path_col: str = "doc_id", content_col: str = "text") -> DataFrame:
     """New ledger rows: one for each blob of versions whose pair with RULE_VERSION the ledger lacks.
 
-    Copies meet under their blob id; the map-side half of the aggregation leaves one content of each
-    blob and task, so a blob that a third of all rows hold costs a row a task.
+    With a ledger, blob ids alone are compared first, and only the contents of unseen blobs travel (but for a few
+    that a bitmap lets through).  Copies meet under their blob id; the map-side half of the aggregation leaves one
+    content of each blob and task, so a blob that a third of all rows hold costs a row a task.
     """
     content = F.coalesce(content_col, F.lit(""))
     todo = versions.select(F.sha2(content, 256).alias("blob"), content.alias("content"))
-    if ledger is not None:
-        todo = todo.join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
-    return todo.groupBy("blob").agg(F.first("content").alias("content")).mapInArrow(_scan, LEDGER)
+    if ledger is None:
+        return todo.groupBy("blob").agg(F.first("content").alias("content")).mapInArrow(_scan, LEDGER)
+    unseen = todo.select("blob").distinct().join(ledger.filter(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti")
+    some = maybe_in(todo, unseen, "blob").groupBy("blob").agg(F.first("content").alias("content"))
+    return some.join(unseen, "blob", "left_semi").mapInArrow(_scan, LEDGER)
 
 
 def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
@@ -98,7 +103,8 @@ def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
 def update(versions: DataFrame, folder: str, path_col: str = "doc_id", content_col: str = "text") -> DataFrame:
     """Scans the blobs of versions that the ledger in the folder lacks, appends them to it, and returns all of it.
 
-    The folder is Parquet that only grows.  An append that failed half-way is not seen, so it is done again by the next call.
+    The folder is Parquet that only grows.  An append that failed half-way is not seen, so it is done again by the next
+    call.  Two writers at once may both add a pair; the rows are equal, and readers (hits, scan_unseen) take a blob once.
     """
     spark = versions.sparkSession
     scan_unseen(versions, ledger_at(spark, folder), path_col, content_col).write.mode("append").parquet(folder)
@@ -106,8 +112,8 @@ def update(versions: DataFrame, folder: str, path_col: str = "doc_id", content_c
 
 
 def hits(ledger: DataFrame) -> DataFrame:
-    """blob, spans of the blobs with spans under RULE_VERSION."""
-    return ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans")
+    """blob, spans of the blobs with spans under RULE_VERSION, each once, however often the ledger holds it."""
+    return ledger.filter((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select("blob", "spans").dropDuplicates(["blob"])
 
 
 def findings(versions: DataFrame, ledger: DataFrame, path_col: str = "doc_id", content_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
