@@ -50,7 +50,7 @@ class ChunkIds(dict):
     """chunk of non-space bytes -> its ids as little-endian unsigned 32-bit.
 
     When it is full, it becomes the older half, from which chunks that are met again come back; the half
-    before is forgotten.
+    before is forgotten.  Chunks of over LONG bytes rarely come back, and are not kept, so its bytes are bounded.
 
     Right for tokenizers that drop ASCII white space before anything else looks at a text, lower-case it,
     and cut between a letter and the punctuation in TAIL: then a word and its tail have entries of their own.
@@ -58,6 +58,7 @@ class ChunkIds(dict):
     """
 
     TAIL = b".,;:!?*$%&#"
+    LONG = 64
 
     def __init__(self, tokenizer_file: str, half: int = 200_000) -> None:
         from tokenizers import Tokenizer
@@ -86,17 +87,23 @@ class ChunkIds(dict):
             return got
         core = chunk.rstrip(self.TAIL)
         if core and core != chunk and (core.isalpha() or unicodedata.normalize("NFC", core.decode()).lower()[-1].isalpha()):  # bytes: ASCII letters only
-            self[chunk] = got = self[core] + self[chunk[len(core) :]]
+            got = self[core] + self[chunk[len(core) :]]
+            if len(chunk) <= self.LONG:
+                self[chunk] = got
             return got
         if chunk.isalpha() and chunk != chunk.lower():  # bytes: ASCII letters only
-            self[chunk] = got = self[chunk.lower()]
+            got = self[chunk.lower()]
+            if len(chunk) <= self.LONG:
+                self[chunk] = got
             return got
         text = chunk.decode()
         if self.plain(text):  # one word to the model: no normalising, no cutting
             ids = [t.id for t in self.model.tokenize(text.translate(self.form))]
         else:
             ids = self.encode_one(text, add_special_tokens=False).ids
-        self[chunk] = got = _packed(ids)
+        got = _packed(ids)
+        if len(chunk) <= self.LONG:
+            self[chunk] = got
         return got
 
     def ids(self, text: str | None) -> bytes:
@@ -174,15 +181,18 @@ def pack(parts: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, ope
     tasks = max(1, -(-parts.count() // pieces_a_task))
     names = [*parts.columns, "sequence_id", "offset"]
     # which task: by content and not by arrival, so that a task that is run again gets the same pieces
-    dealt = parts.withColumn("_task", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(tasks)).cast("int"))
+    own = "_task"
+    while own in parts.columns:
+        own += "_"
+    dealt = parts.withColumn(own, F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(tasks)).cast("int"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="_task").sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
+        pdf = pdf.drop(columns=own).sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
         bins, offsets = best_fit(pdf["length"].to_numpy(np.int64), capacity, open_bins)
         return pdf.assign(sequence_id=bins + (int(key[0]) << 40), offset=offsets)[names]
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema)
-    return dealt.groupBy("_task").applyInPandas(run, f"{schema}, sequence_id bigint, offset bigint")
+    return dealt.groupBy(own).applyInPandas(run, f"{schema}, sequence_id bigint, offset bigint")
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

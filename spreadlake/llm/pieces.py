@@ -31,14 +31,17 @@ class PieceTable(dict):
 
     Each distinct chunk of a batch of texts is segmented once, unless the table has it, and its ids are
     joined back at all its positions.  A table of max_entries becomes the older half, from which chunks
-    that are met again come back; the half before is forgotten.
+    that are met again come back; the half before is forgotten.  Chunks of over LONG characters rarely come back,
+    and are held for their batch only, so the bytes of the table are bounded.
     """
 
+    LONG = 64
+
     def __init__(self, model_file: str, max_entries: int = 300_000) -> None:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.max_entries, self.older = max_entries, {}
+        self.max_entries, self.older, self.now = max_entries, {}, {}
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         if any(re.search(f"[^{MARK}]{MARK}", p) or ("\n" in p and p != "\n") for p in pieces):
             raise ValueError("pieces of this model lie across markers or line feeds; chunks are not independent")
@@ -52,13 +55,17 @@ class PieceTable(dict):
         if len(self) >= self.max_entries:
             self.older = dict(self)
             self.clear()
+        self.now.clear()
         for chunk in distinct.difference(self):
             got = self.older.get(chunk)
             if got is None:
                 # A line feed in front keeps the chunk apart from the marker that the model puts before any text.
                 ids = self.model.encode("\n" + chunk)
                 got = (",".join(map(str, ids[2:])), self.model.decode(ids)[1:])
-            self[chunk] = got
+            (self if len(chunk) <= self.LONG else self.now)[chunk] = got
+
+    def __missing__(self, chunk: str) -> tuple[str, str]:
+        return self.now[chunk]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[str, str]]:
         """(comma-joined ids, decoded text) of each whole text, TOGETHER characters or so at a time."""

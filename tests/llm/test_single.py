@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
-from spreadlake.llm import fingerprints, packing, quality, queries, secrets, toxicity, warc
+from spreadlake.llm import fingerprints, packing, pieces, quality, queries, secrets, toxicity, warc
 
 from .conftest import SF, rows
 
@@ -548,3 +548,30 @@ def test_null_and_repeated_ids(spark, tmp_path, name):
     pq.write_table(pa.table({"doc_id": pa.array([1, 1, 3, None], pa.int64()), "quality": pa.array([1] * 4, pa.int32()), "toxic": pa.array([0, 1, 0, 1], pa.int32())}), tmp_path / "labels.parquet")
     got = rows(queries.queries()[name](spark, str(tmp_path)))
     assert sorted((r["doc_id"] for r in got), key=repr) == sorted(ids, key=repr)
+
+
+def test_long_chunks_are_not_kept():
+    """Words of thousands of characters, as in base64: right, and the tables stay small."""
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(2)
+    words = ["".join(map(chr, rng.integers(97, 123, 3000))) + end for end in ("", ".", "=") for _ in range(5)]
+    words += [w.upper() for w in words]
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    table, whole = packing.ChunkIds(path), Tokenizer.from_file(path)
+    for w in words:
+        assert np.frombuffer(table.ids(w), "<u4").tolist() == whole.encode(w, add_special_tokens=False).ids
+    assert all(len(k) <= table.LONG for k in table)
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    table, whole = pieces.PieceTable(path), SentencePieceProcessor(model_file=path)
+    texts = [" ".join(words[:4]), words[5], words[0], words[0] + " short"]
+    for t, (ids, _) in zip(texts, table.encode(texts), strict=True):
+        assert ids == ",".join(map(str, whole.encode(t)))
+    assert all(len(k) <= table.LONG for k in table) and len(table) == 1
+
+
+def test_pack_with_a_column_named_task(spark):
+    df = spark.createDataFrame([(i, 0, 0, 1 + i % 7, i, f"t{i}") for i in range(50)], "doc_id long, piece int, start long, length long, ids_crc32 long, _task string")
+    got = rows(packing.pack(df))
+    assert len(got) == 50 and all(r["_task"] == f"t{r['doc_id']}" for r in got)
