@@ -89,11 +89,25 @@ def union_ffill(a: DataFrame, b: DataFrame, key: str, col_a: str, col_b: str) ->
     return both.select(key, "ts", ffill(F.col(col_a), [key]).alias(col_a), ffill(F.col(col_b), [key]).alias(col_b)).filter(F.col(col_a).isNotNull() & F.col(col_b).isNotNull())
 
 
-def interval_join(ticks: DataFrame, spans: DataFrame, start: str, end: str, tick_ts: str = "ts") -> DataFrame:
-    """Ticks inside [start, end] of each span.  A day key makes it an equi-join, so no nested loop is planned."""
-    days = spans.withColumn("_day", F.explode(F.sequence(F.to_date(start), F.to_date(end))))
-    keyed = ticks.withColumn("_day", F.to_date(tick_ts))
-    return keyed.join(days, "_day").filter(F.col(tick_ts).between(F.col(start), F.col(end))).drop("_day")
+MINUTE = 60_000_000  # microseconds
+WIDEST = 18
+
+
+def interval_join(ticks: DataFrame, spans: DataFrame, start: str, end: str, keys: list[str], tick_ts: str = "ts") -> DataFrame:
+    """Ticks of a key inside [start, end] of each of its spans, as an equi-join on keys, class and bin.
+
+    Spans fall into classes by length, each with bins four times as wide as the class before (from a minute on), so a
+    span, however long, lies in two bins of its class or so; a tick is looked up once in each class that occurs (at most
+    WIDEST + 1, a table that is broadcast).  Null keys and times join nothing.
+    """
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    width = F.expr(f"shiftleft({MINUTE}L, 2 * _class)")
+    steps = F.greatest(micros(end) - micros(start), F.lit(MINUTE)) / MINUTE
+    known = spans.filter(F.col(start) <= F.col(end)).withColumn("_class", F.least(F.ceil(F.log(4.0, steps)), F.lit(WIDEST)).cast("int"))
+    binned = known.withColumn("_bin", F.explode(F.sequence(F.floor(micros(start) / width), F.floor(micros(end) / width))))
+    classes = F.broadcast(known.select("_class").distinct())
+    looked = ticks.crossJoin(classes).withColumn("_bin", F.floor(micros(tick_ts) / width))
+    return looked.join(binned, [*keys, "_class", "_bin"]).filter(F.col(tick_ts).between(F.col(start), F.col(end))).drop("_class", "_bin")
 
 
 def sliced(df: DataFrame, keys: list[str], cuts: dict[str, tuple[int, int]], order: str = "bar_idx") -> DataFrame:

@@ -1,102 +1,180 @@
 """Rolling statistics over rows of a key, in time order.
 
-Frames give a value only when all their rows hold one.  Short frames are window aggregates; frames of
-more than DIRECT rows become differences of running sums of centred values, whose cost does not grow
-with the frame.
+A frame gives a value only when all its rows hold one: missing and non-finite values are counted, never
+summed, so they void the frames that hold them and no others.  All frames take one path: a series is cut into
+blocks of rows, each with the rows before it that its frames reach back to (its halo), and in a block frames are
+differences of running sums of values about the block's mean.  So the cost doesn't grow with the frame, the
+error doesn't grow with the series, and one series spreads over as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import clip, div
 
-DIRECT = 64
+BLOCK = 4096
+NOISE = 2e-15  # of the running sum of squares: what is left of a sum of squares below that is rounding
 
 
 def ordered(keys: list[str], order: str = "ts"):
     return Window.partitionBy(*keys).orderBy(order)
 
 
-def frame(keys: list[str], n: int, order: str = "ts", end: int = 0):
-    return ordered(keys, order).rowsBetween(end - (n - 1), end)
+def finite(x: Column) -> Column:
+    """x, or NULL where it is NaN or infinite."""
+    return F.when(F.abs(x) < float("inf"), x)  # NaN counts as larger than all numbers
 
 
-def full(value: Column, x: Column, w, n: int) -> Column:
-    return F.when(F.count(x).over(w) == n, value)
+def numbered(df: DataFrame, keys: list[str], order: str = "ts", out: str = "_rn", unit: str = "month") -> DataFrame:
+    """df with the number of each row of its key, from 0.
 
+    A time order is counted by units of time: a window is one of a key and unit, and what lies before a unit
+    comes from a table of one row a key and unit.  Other orders are numbered in one window a key.
+    """
+    if not isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return df.withColumn(out, F.row_number().over(ordered(keys, order)).cast("long") - 1)
+    cut = df.withColumn("_unit", F.date_trunc(unit, F.col(order).cast("timestamp")))
+    counts = cut.groupBy(*keys, "_unit").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(ordered(keys, "_unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_unit").alias("_u"), before.alias("_before"))
+    same = F.col("_unit").eqNullSafe(F.col("_u"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = F.row_number().over(ordered([*keys, "_unit"], order)) - 1
+    return cut.withColumn(out, inside).join(starts, same).withColumn(out, F.col("_before") + F.col(out)).select(*df.columns, out)
 
-def moments(df: DataFrame, x: str, y: str | None, n: int, keys: list[str], order: str = "ts", prefix: str = "m_") -> DataFrame:
-    """df with mean_x, var_x (and mean_y, var_y, cov) of the last n rows, names behind prefix; NULL unless the frame is full."""
-    xs = [x] if y is None else [x, y]
+
+def blocked(df: DataFrame, keys: list[str], order: str, halo: int, make: Callable[[DataFrame, list[str]], DataFrame], index: str | None = None) -> DataFrame:
+    """make(rows, keys) on blocks of rows, each with at least the `halo` rows before it; df's rows once, with make's columns.
+
+    index: a column that numbers the rows of a key from 0 without gaps (such as bar_idx of aligned legs);
+    without one they are numbered first.  make finds that number in _rn.
+    """
+    size = max(BLOCK, 4 * halo)
+    rows = df.withColumn("_rn", F.col(index).cast("long")) if index else numbered(df, keys, order)
+    own = F.expr(f"_rn div {size}")
+    copies = F.when(F.col("_rn") % size >= size - halo, F.array(own, own + 1)).otherwise(F.array(own))
+    dealt = rows.withColumn("_block", F.explode(copies)).withColumn("_own", own == F.col("_block"))
+    return make(dealt, [*keys, "_block"]).filter("_own")
+
+
+HELPERS = ("_rn", "_block", "_own")
+
+
+def _held(df: DataFrame, columns: list[str], keys: list[str], order: str) -> DataFrame:
+    """df, made by blocked(), with the last value that is not NULL of each column carried forward, over blocks, too.
+
+    What the blocks before end with comes from a table of one row a block.
+    """
+    at = [*keys, "_block"]
+    ends = df.groupBy(*at).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}") for c in columns))
+    upto = ordered(keys, "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select(*at, *(F.last(f"_e_{c}", ignorenulls=True).over(upto).alias(f"_b_{c}") for c in columns))
+    inside = ordered(at, order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = df.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).join(before, at, "left")
+    return filled.withColumns({c: F.coalesce(c, f"_b_{c}") for c in columns}).drop(*(f"_b_{c}" for c in columns))
+
+
+def framed(df: DataFrame, terms: dict[str, Column], sizes: dict[str, int], keys: list[str], order: str = "ts", end: int = 0) -> DataFrame:
+    """df with the sum of each term over a frame of its size that ends `end` rows from the row (0 or -1), as differences
+    of running sums, which stay in <term>_run."""
+    at = ordered(keys, order)
+    running = at.rowsBetween(Window.unboundedPreceding, 0)
+    summed = df.withColumns({f"{k}_run": F.sum(F.coalesce(v, F.lit(0))).over(running) for k, v in terms.items()})
+    here = lambda k: F.col(f"{k}_run") if end == 0 else F.lag(f"{k}_run", -end).over(at)
+    return summed.withColumns({k: F.coalesce(here(k), F.lit(0)) - F.coalesce(F.lag(f"{k}_run", sizes[k] - end).over(at), F.lit(0)) for k in terms})
+
+
+def _spread_of(sum_sq: Column, total: Column, n, run: Column) -> Column:
+    """Sum of squares about the mean of a frame; 0 where only rounding is left."""
+    q = sum_sq - total * total / n
+    return F.when(q > NOISE * run, q).otherwise(F.when(q.isNotNull(), 0.0))
+
+
+def _moments(df: DataFrame, x: str, y: str | None, n: int, keys: list[str], order: str, prefix: str) -> DataFrame:
+    names = [x] if y is None else [x, y]
+    clean = df.withColumns({f"_v{i}": finite(F.col(c)) for i, c in enumerate(names)})
     both = F.lit(True)
-    for c in xs:
-        both = both & F.col(c).isNotNull()
-    if n <= DIRECT:
-        w = frame(keys, n, order)
-        got = F.count(F.when(both, 1)).over(w) == n
-        out = {f"{prefix}mean_{c}": F.when(got, F.avg(c).over(w)) for c in xs} | {f"{prefix}var_{c}": F.when(got, F.var_samp(c).over(w)) for c in xs}
-        if y is not None:
-            out[f"{prefix}cov"] = F.when(got, F.covar_samp(x, y).over(w))
-        return df.withColumns(out)
+    for i in range(len(names)):
+        both = both & F.col(f"_v{i}").isNotNull()
     whole = Window.partitionBy(*keys)
-    centred = df.withColumns({f"_{i}": F.when(both, F.col(c) - F.avg(c).over(whole)) for i, c in enumerate(xs)} | {f"_mean{i}": F.avg(c).over(whole) for i, c in enumerate(xs)})
-    running = ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
-    terms = {"n": F.when(both, 1).otherwise(0), "0": F.col("_0"), "00": F.col("_0") * F.col("_0")}
+    clean = clean.withColumns({f"_mean{i}": F.avg(f"_v{i}").over(whole) for i in range(len(names))})
+    about = clean.withColumns({f"_c{i}": F.when(both, F.col(f"_v{i}") - F.col(f"_mean{i}")) for i in range(len(names))})
+    terms = {"_fn": F.when(both, 1).otherwise(0)}
+    for i in range(len(names)):
+        terms |= {f"_f{i}": F.col(f"_c{i}"), f"_f{i}{i}": F.col(f"_c{i}") * F.col(f"_c{i}")}
     if y is not None:
-        terms |= {"1": F.col("_1"), "11": F.col("_1") * F.col("_1"), "01": F.col("_0") * F.col("_1")}
-    summed = centred.withColumns({f"_s{k}": F.sum(F.coalesce(v, F.lit(0))).over(running) for k, v in terms.items()})
-    at = ordered(keys, order)
-    cut = summed.withColumns({f"_f{k}": F.col(f"_s{k}") - F.coalesce(F.lag(f"_s{k}", n).over(at), F.lit(0)) for k in terms})
+        terms["_f01"] = F.col("_c0") * F.col("_c1")
+    cut = framed(about, terms, dict.fromkeys(terms, n), keys, order)
     got = F.col("_fn") == n
     out = {}
-    for i, c in enumerate(xs):
+    for i, c in enumerate(names):
         out[f"{prefix}mean_{c}"] = F.when(got, F.col(f"_mean{i}") + F.col(f"_f{i}") / n)
-        out[f"{prefix}var_{c}"] = F.when(got, (F.col(f"_f{i}{i}") - F.col(f"_f{i}") * F.col(f"_f{i}") / n) / (n - 1))
+        out[f"{prefix}var_{c}"] = F.when(got, _spread_of(F.col(f"_f{i}{i}"), F.col(f"_f{i}"), n, F.col(f"_f{i}{i}_run")) / (n - 1))
     if y is not None:
         out[f"{prefix}cov"] = F.when(got, (F.col("_f01") - F.col("_f0") * F.col("_f1") / n) / (n - 1))
     return cut.withColumns(out).select(*df.columns, *out)
 
 
-def framed(df: DataFrame, terms: dict[str, Column], sizes: dict[str, int], keys: list[str], order: str = "ts", end: int = 0) -> DataFrame:
-    """df with the sum of each term over a frame of its size that ends `end` rows from the row (0 or -1), as differences of running sums."""
-    at = ordered(keys, order)
-    running = at.rowsBetween(Window.unboundedPreceding, 0)
-    summed = df.withColumns({f"{k}_run": F.sum(F.coalesce(v, F.lit(0))).over(running) for k, v in terms.items()})
-    here = lambda k: F.col(f"{k}_run") if end == 0 else F.lag(f"{k}_run", -end).over(at)
-    cut = {k: F.coalesce(here(k), F.lit(0)) - F.coalesce(F.lag(f"{k}_run", sizes[k] - end).over(at), F.lit(0)) for k in terms}
-    return summed.withColumns(cut).drop(*(f"{k}_run" for k in terms))
+def moments(df: DataFrame, x: str, y: str | None, n: int, keys: list[str], order: str = "ts", prefix: str = "m_", index: str | None = None) -> DataFrame:
+    """df with mean_x, var_x (and mean_y, var_y, cov) of the last n rows, names behind prefix; NULL unless all n rows hold finite values."""
+    return blocked(df, keys, order, n, lambda d, k: _moments(d, x, y, n, k, order, prefix), index).drop(*HELPERS)
 
 
-def rolling_ols(df: DataFrame, window: int, z_window: int, keys: list[str], order: str = "ts", null_z: str = "null") -> DataFrame:
-    """beta, alpha, spread and z-score of log prices (close_a on close_b).  null_z: `null` keeps a missing z, `zero` makes it 0."""
-    logs = df.withColumns({"la": F.ln("close_a"), "lb": F.ln("close_b")})
-    m = moments(logs, "la", "lb", window, keys, order)
+def _ols(df: DataFrame, window: int, z_window: int, keys: list[str], order: str, null_z: str) -> DataFrame:
+    logs = df.withColumns({"la": finite(F.ln("close_a")), "lb": finite(F.ln("close_b"))})
+    m = _moments(logs, "la", "lb", window, keys, order, "m_")
     beta = div(F.col("m_cov"), F.col("m_var_lb"))
     out = m.withColumn("beta", beta).withColumn("alpha", F.col("m_mean_la") - F.col("beta") * F.col("m_mean_lb"))
     out = out.withColumn("spread", F.col("la") - F.col("beta") * F.col("lb") - F.col("alpha"))
-    return rolling_z(out.select(*logs.columns, "beta", "alpha", "spread"), z_window, keys, order, null_z=null_z)
+    return _z(out.select(*logs.columns, "beta", "alpha", "spread"), z_window, keys, order, "spread", "zscore", null_z)
+
 
+def rolling_ols(df: DataFrame, window: int, z_window: int, keys: list[str], order: str = "ts", null_z: str = "null", index: str | None = None) -> DataFrame:
+    """beta, alpha, spread and z-score of log prices (close_a on close_b).  null_z: `null` keeps a missing z, `zero` makes it 0."""
+    return blocked(df, keys, order, window + z_window, lambda d, k: _ols(d, window, z_window, k, order, null_z), index).drop(*HELPERS)
+
+
+def rolling_ols_windows(df: DataFrame, window: int, z_windows: list[int], keys: list[str], order: str = "ts", index: str | None = None) -> DataFrame:
+    """As rolling_ols, with a z-score for each of the z_windows, in _z<window>; one set of blocks serves all."""
+
+    def make(d: DataFrame, k: list[str]) -> DataFrame:
+        out = _ols(d, window, z_windows[0], k, order, "null").withColumnRenamed("zscore", f"_z{z_windows[0]}")
+        for z in z_windows[1:]:
+            out = _z(out, z, k, order, "spread", f"_z{z}", "null")
+        return out
 
-def rolling_z(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", out: str = "zscore", null_z: str = "null") -> DataFrame:
-    m = moments(df, x, None, n, keys, order, "_z_")
-    z = div(F.col(x) - F.col(f"_z_mean_{x}"), F.sqrt(F.greatest(F.col(f"_z_var_{x}"), F.lit(0.0))))
+    return blocked(df, keys, order, window + max(z_windows), make, index).drop(*HELPERS)
+
+
+def _z(df: DataFrame, n: int, keys: list[str], order: str, x: str, out: str, null_z: str) -> DataFrame:
+    m = _moments(df, x, None, n, keys, order, "_z_")
+    z = div(F.col(x) - F.col(f"_z_mean_{x}"), F.sqrt(F.col(f"_z_var_{x}")))
     return m.withColumn(out, F.coalesce(z, F.lit(0.0)) if null_z == "zero" else z).select(*df.columns, out)
 
 
-def rolling_corr(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "la", y: str = "lb", out: str = "correlation") -> DataFrame:
-    m = moments(df, x, y, n, keys, order, "_c_")
-    r = div(F.col("_c_cov"), F.sqrt(F.greatest(F.col(f"_c_var_{x}") * F.col(f"_c_var_{y}"), F.lit(0.0))))
-    return m.withColumn(out, r).select(*df.columns, out)
+def rolling_z(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", out: str = "zscore", null_z: str = "null", index: str | None = None) -> DataFrame:
+    return blocked(df, keys, order, n, lambda d, k: _z(d, n, k, order, x, out, null_z), index).drop(*HELPERS)
+
 
+def _corr(df: DataFrame, n: int, keys: list[str], order: str, x: str, y: str, out: str) -> DataFrame:
+    m = _moments(df, x, y, n, keys, order, "_c_")
+    return m.withColumn(out, div(F.col("_c_cov"), F.sqrt(F.col(f"_c_var_{x}") * F.col(f"_c_var_{y}")))).select(*df.columns, out)
 
-def every(value: Column, n: int, step: int, keys: list[str], order: str = "ts") -> Column:
-    """value on every step-th row from row n on."""
-    rn = F.row_number().over(ordered(keys, order)) - 1
-    return F.when((rn >= n) & ((rn - n) % step == 0), value)
+
+def rolling_corr(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "la", y: str = "lb", out: str = "correlation", index: str | None = None) -> DataFrame:
+    return blocked(df, keys, order, n, lambda d, k: _corr(d, n, k, order, x, y, out), index).drop(*HELPERS)
+
+
+def every(value: Column, n: int, step: int) -> Column:
+    """value on every step-th row of a series from row n on (rows made by blocked())."""
+    return F.when((F.col("_rn") >= n) & ((F.col("_rn") - n) % step == 0), value)
 
 
 def ffill(value: Column, keys: list[str], order: str = "ts", most: int | None = None) -> Column:
@@ -104,32 +182,28 @@ def ffill(value: Column, keys: list[str], order: str = "ts", most: int | None =
     return F.last(value, ignorenulls=True).over(ordered(keys, order).rowsBetween(lo, 0))
 
 
-def rolling_adf(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, current: bool = False, out: str = "adf_stat") -> DataFrame:
-    """Dickey-Fuller statistic without lags over n - 1 pairs; they end before the row, or at it (current)."""
+def _adf(df: DataFrame, n: int, keys: list[str], order: str, x: str, step: int, current: bool, out: str) -> DataFrame:
     at = ordered(keys, order)
-    d, lagged = F.col(x) - F.lag(x).over(at), F.lag(x).over(at)
-    level = F.avg(x).over(Window.partitionBy(*keys))  # the statistic does not change with the level, its sums of squares do
-    df2 = df.withColumns({"_d": d, "_l": F.when(d.isNotNull(), lagged - level)})
-    end = 0 if current else -1
-    terms = {"_sd": F.col("_d"), "_sl": F.col("_l"), "_sdl": F.col("_d") * F.col("_l"), "_sll": F.col("_l") * F.col("_l"), "_sdd": F.col("_d") * F.col("_d")}
-    if n - 1 > DIRECT:
-        terms["_c"] = F.col("_d").isNotNull().cast("int")
-        df3 = framed(df2, terms, dict.fromkeys(terms, n - 1), keys, order, end)
-    else:
-        w = frame(keys, n - 1, order, end)
-        df3 = df2.withColumns({"_c": F.count("_d").over(w)} | {k: F.sum(v).over(w) for k, v in terms.items()})
-    sxx = F.col("_sll") - F.col("_sl") * F.col("_sl") / F.nullif(F.col("_c"), F.lit(0))
-    sxy = F.col("_sdl") - F.col("_sd") * F.col("_sl") / F.nullif(F.col("_c"), F.lit(0))
-    syy = F.col("_sdd") - F.col("_sd") * F.col("_sd") / F.nullif(F.col("_c"), F.lit(0))
-    df4 = df3.withColumns({"_sxx": F.when(sxx > 0, sxx), "_sxy": sxy, "_syy": syy})
+    clean = df.withColumn("_x", finite(F.col(x)))
+    level = F.avg("_x").over(Window.partitionBy(*keys))  # the statistic does not change with the level, its sums of squares do
+    d, lagged = F.col("_x") - F.lag("_x").over(at), F.lag("_x").over(at)
+    pairs = clean.withColumns({"_d": d, "_l": F.when(d.isNotNull(), lagged - level)})
+    terms = {"_c": F.col("_d").isNotNull().cast("int"), "_sd": F.col("_d"), "_sl": F.col("_l"), "_sdl": F.col("_d") * F.col("_l"), "_sll": F.col("_l") * F.col("_l"), "_sdd": F.col("_d") * F.col("_d")}
+    cut = framed(pairs, terms, dict.fromkeys(terms, n - 1), keys, order, 0 if current else -1)
+    some = F.nullif(F.col("_c"), F.lit(0))
+    sxx = _spread_of(F.col("_sll"), F.col("_sl"), some, F.col("_sll_run"))
+    syy = _spread_of(F.col("_sdd"), F.col("_sd"), some, F.col("_sdd_run"))
+    sums = cut.withColumns({"_sxx": F.when(sxx > 0, sxx), "_sxy": F.col("_sdl") - F.col("_sd") * F.col("_sl") / some, "_syy": syy})
     gamma = F.col("_sxy") / F.col("_sxx")
     var = (F.col("_syy") - gamma * F.col("_sxy")) / F.nullif(F.col("_c") - 2, F.lit(0))
     stat = F.when((F.col("_c") >= 10) & (var > 0), gamma / F.sqrt(F.when(var > 0, var) / F.col("_sxx")))
-    value = every(stat, n, step, keys, order)
-    df5 = df4.withColumn(out, value)
-    if step > 1:
-        df5 = df5.withColumn(out, ffill(F.col(out), keys, order))
-    return df5.select(*df.columns, out)
+    return sums.withColumn(out, every(stat, n, step)).select(*df.columns, out)
+
+
+def rolling_adf(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, current: bool = False, out: str = "adf_stat", index: str | None = None) -> DataFrame:
+    """Dickey-Fuller statistic without lags over n - 1 pairs; they end before the row, or at it (current)."""
+    made = blocked(df, keys, order, n + 2, lambda d, k: _adf(d, n, k, order, x, step, current, out), index)
+    return (_held(made, [out], keys, order) if step > 1 else made).drop(*HELPERS)
 
 
 def hurst_lags(n: int, most: int = 50) -> list[int]:
@@ -148,37 +222,51 @@ def _slope(x: list[float], y: list[Column], at_least: int = 3) -> Column:
     return F.when(n >= at_least, div(n * sxy - sx * sy, n * sxx - sx * sx))
 
 
-def rolling_hurst(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, out: str = "hurst") -> DataFrame:
-    """Hurst exponent from the growth of the spread's lagged differences, kept in 0.01 to 0.99, carried forward."""
+def _hurst(df: DataFrame, n: int, keys: list[str], order: str, x: str, step: int, out: str) -> DataFrame:
+    """Values on their own rows, not carried forward."""
     lags = hurst_lags(n)
-    if len(lags) < 2:
-        return df.withColumn(out, F.lit(None).cast("double"))
     at = ordered(keys, order)
-    diffs = df.withColumns({f"_d{k}": F.col(x) - F.lag(x, k).over(at) for k in lags})
-    if n > DIRECT:  # differences lie about zero, so their running sums need no centring
-        terms = {f"_{t}{k}": v for k in lags for t, v in (("c", F.col(f"_d{k}").isNotNull().cast("int")), ("s", F.col(f"_d{k}")), ("q", F.col(f"_d{k}") * F.col(f"_d{k}")))}
-        cut = framed(diffs, terms, {t: n - int(t[2:]) for t in terms}, keys, order)
-        var = {k: (F.col(f"_q{k}") - F.col(f"_s{k}") * F.col(f"_s{k}") / (n - k)) / (n - k - 1) for k in lags}
-        diffs = cut.withColumns({f"_t{k}": F.when(F.col(f"_c{k}") == n - k, F.sqrt(F.greatest(var[k], F.lit(0.0)))) for k in lags})
-    taus = {} if n > DIRECT else {f"_t{k}": full(F.stddev_samp(f"_d{k}").over(frame(keys, n - k, order)), F.col(f"_d{k}"), frame(keys, n - k, order), n - k) for k in lags}
-    logs = (diffs.withColumns(taus) if taus else diffs).withColumns({f"_y{k}": F.when(F.col(f"_t{k}") > 1e-12, F.ln(f"_t{k}")) for k in lags})
+    clean = df.withColumn("_x", finite(F.col(x)))
+    diffs = clean.withColumns({f"_d{k}": F.col("_x") - F.lag("_x", k).over(at) for k in lags})  # they lie about zero
+    terms = {f"_{t}{k}": v for k in lags for t, v in (("c", F.col(f"_d{k}").isNotNull().cast("int")), ("s", F.col(f"_d{k}")), ("q", F.col(f"_d{k}") * F.col(f"_d{k}")))}
+    cut = framed(diffs, terms, {t: n - int(t[2:]) for t in terms}, keys, order)
+    var = {k: _spread_of(F.col(f"_q{k}"), F.col(f"_s{k}"), n - k, F.col(f"_q{k}_run")) / (n - k - 1) for k in lags}
+    taus = cut.withColumns({f"_t{k}": F.when(F.col(f"_c{k}") == n - k, F.sqrt(var[k])) for k in lags})
+    logs = taus.withColumns({f"_y{k}": F.when(F.col(f"_t{k}") > 1e-12, F.ln(f"_t{k}")) for k in lags})
     made = logs.withColumn("_raw", _slope([math.log(k) for k in lags], [F.col(f"_y{k}") for k in lags]))
-    made = made.withColumn("_h", every(F.when(F.col("_raw").isNotNull(), clip(F.col("_raw"), 0.01, 0.99)), n, step, keys, order))
-    return made.withColumn(out, ffill(F.col("_h"), keys, order)).select(*df.columns, out)
+    return made.withColumn(out, every(F.when(F.col("_raw").isNotNull(), clip(F.col("_raw"), 0.01, 0.99)), n, step)).select(*df.columns, out)
 
 
-def rolling_halflife(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, out: str = "half_life") -> DataFrame:
-    """-ln 2 / ln b of the lag-one regression coefficient b in (0, 1), carried forward."""
+def rolling_hurst(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, out: str = "hurst", index: str | None = None) -> DataFrame:
+    """Hurst exponent from the growth of the spread's lagged differences, kept in 0.01 to 0.99, carried forward."""
+    if len(hurst_lags(n)) < 2:
+        return df.withColumn(out, F.lit(None).cast("double"))
+    made = blocked(df, keys, order, n + 2, lambda d, k: _hurst(d, n, k, order, x, step, out), index)
+    return _held(made, [out], keys, order).drop(*HELPERS)
+
+
+def _halflife(df: DataFrame, n: int, keys: list[str], order: str, x: str, step: int, out: str) -> DataFrame:
+    """Values on their own rows, not carried forward."""
     lagged = df.withColumn("_l", F.lag(x).over(ordered(keys, order)))
-    m = moments(lagged, x, "_l", n - 1, keys, order, "_h_")
+    m = _moments(lagged, x, "_l", n - 1, keys, order, "_h_")
     made = m.withColumn("_b", div(F.col("_h_cov"), F.col("_h_var__l")))
     ok = (F.col("_b") > 0) & (F.col("_b") < 1)
-    made = made.withColumn("_hl", every(F.when(ok, -math.log(2) / F.ln(F.when(ok, F.col("_b")))), 0, step, keys, order))
-    return made.withColumn(out, ffill(F.col("_hl"), keys, order)).select(*df.columns, out)
+    return made.withColumn(out, every(F.when(ok, -math.log(2) / F.ln(F.when(ok, F.col("_b")))), 0, step)).select(*df.columns, out)
+
+
+def rolling_halflife(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, out: str = "half_life", index: str | None = None) -> DataFrame:
+    """-ln 2 / ln b of the lag-one regression coefficient b in (0, 1), carried forward."""
+    made = blocked(df, keys, order, n + 2, lambda d, k: _halflife(d, n, k, order, x, step, out), index)
+    return _held(made, [out], keys, order).drop(*HELPERS)
+
+
+def all_metrics(df: DataFrame, keys: list[str], order: str = "ts", adf: int = 24, hurst: int = 64, halflife: int = 24, corr: int = 12, step: int = 1, index: str | None = None) -> DataFrame:
+    """adf_stat, hurst, half_life and correlation, all from one set of blocks."""
 
+    def make(d: DataFrame, k: list[str]) -> DataFrame:
+        out = _adf(d, adf, k, order, "spread", step, False, "adf_stat")
+        out = _hurst(out, hurst, k, order, "spread", step, "hurst") if len(hurst_lags(hurst)) > 1 else out.withColumn("hurst", F.lit(None).cast("double"))
+        return _corr(_halflife(out, halflife, k, order, "spread", step, "half_life"), corr, k, order, "la", "lb", "correlation")
 
-def all_metrics(df: DataFrame, keys: list[str], order: str = "ts", adf: int = 24, hurst: int = 64, halflife: int = 24, corr: int = 12, step: int = 1) -> DataFrame:
-    out = rolling_adf(df, adf, keys, order, step=step)
-    out = rolling_hurst(out, hurst, keys, order, step=step)
-    out = rolling_halflife(out, halflife, keys, order, step=step)
-    return rolling_corr(out, corr, keys, order)
+    made = blocked(df, keys, order, max(adf, hurst, halflife, corr) + 2, make, index)
+    return _held(made, ["hurst", "half_life", *(["adf_stat"] if step > 1 else [])], keys, order).drop(*HELPERS).select(*df.columns, "adf_stat", "hurst", "half_life", "correlation")

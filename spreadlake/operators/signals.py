@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.exprs import linear_score, minute_of_day, trapezoid_score
 from .rolling import ordered
@@ -26,45 +27,88 @@ def advance(state: int, z: float, entry: float, leave: float, stop: float, gate:
     return 0 if inward > -leave else 3 if inward < -stop else state
 
 
-def _walk(z, entry: float, leave: float, stop: float, gate=None) -> list[int]:
-    """Signals of a whole series."""
-    out, state = [], 0
-    for i, x in enumerate(z):
-        state = advance(state, math.nan if x is None else x, entry, leave, stop, gate is None or bool(gate[i]))
-        out.append((0, 1, -1, 0)[state])
+BLOCK = 1 << 14
+
+
+def steps_of(z: np.ndarray, entry: np.ndarray, leave: np.ndarray, stop: np.ndarray, gate: np.ndarray) -> np.ndarray:
+    """What each bar does, as a map: [i, state before] is the state after it (see advance)."""
+    out = np.zeros((len(z), 4), np.int8)  # a missing z leads to FLAT from everywhere
+    known = ~np.isnan(z)
+    with np.errstate(invalid="ignore"):
+        out[:, 0] = np.where(known & gate, np.where(z < -entry, 1, np.where(z > entry, 2, 0)), 0)
+        out[:, 1] = np.where(known & ~(z > -leave), np.where(z < -stop, 3, 1), 0)
+        out[:, 2] = np.where(known & ~(-z > -leave), np.where(-z < -stop, 3, 2), 0)
+        out[:, 3] = np.where(known & ~(np.abs(z) < leave), 3, 0)
+    return out
+
+
+def composed(steps: np.ndarray) -> np.ndarray:
+    """[i, state before the first bar] -> state after bar i: all prefixes of a block, in log2 passes over it."""
+    out, far = steps, 1
+    while far < len(out):
+        out = np.concatenate([out[:far], np.take_along_axis(out[far:], out[:-far], axis=1)])
+        far *= 2
     return out
 
 
-def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: float | str, keys: list[str], order: str = "ts", z: str = "zscore", gate: str | None = None) -> DataFrame:
+_PLACES = np.array([1, 4, 16, 64], np.int16)  # a map of four states, two bits each
+
+
+def state_machine(df: DataFrame, entry: float | str, leave: float | str, stop: float | str, keys: list[str], order: str = "ts", z: str = "zscore", gate: str | None = None, block: int | str | None = None) -> DataFrame:
     """df with signal in -1, 0, 1.  gate: a boolean column that FLAT needs to open (the machine's own gate,
-    which asks for |z| beyond the entry level on the bar that opens).  A level is a number, or the name of a column that is constant within the keys.
+    which asks for |z| beyond the entry level on the bar that opens).  A level is a number, or the name of a column.
 
-    The state passes from row to row, so each key's rows stream in order through one walker: one
-    exchange and one sort, whatever the length of a series.
+    A bar maps four states to four states, and maps compose, so a series is walked in blocks, each on its own:
+    all states that a block can start in are carried through it at once.  A table of one row a block gives each
+    block's start, and a row's state is then a look-up in its map.  block: rows of `order` that make a block, or for
+    times a unit of date_trunc; by default 16,384 or a month.
     """
     if not isinstance(leave, str) and not isinstance(entry, str) and leave > entry:
         raise ValueError("the exit level must not exceed the entry level")
-    levels = {"_entry": entry, "_leave": leave, "_stop": stop}
-    rows = df.withColumns({k: F.col(v).cast("double") if isinstance(v, str) else F.lit(float(v)) for k, v in levels.items()})
-    rows = rows.withColumns({"_z": F.coalesce(F.col(z).cast("double"), F.lit(math.nan)), "_open": F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(True)})
+    times = isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+    part = F.date_trunc(block or "month", F.col(order).cast("timestamp")) if times else F.floor(F.col(order) / (block or BLOCK))
+    levels = {k: F.col(v).cast("double") if isinstance(v, str) else F.lit(float(v)) for k, v in (("_entry", entry), ("_leave", leave), ("_stop", stop))}
+    rows = df.withColumns({**levels, "_z": F.coalesce(F.col(z).cast("double"), F.lit(math.nan)), "_open": F.coalesce(F.col(gate), F.lit(False)) if gate else F.lit(True), "_part": part})
     names = df.columns
 
     def start():
+        before = np.arange(4, dtype=np.int8)[None]  # what the block's rows so far do
+
+        def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+            nonlocal before
+            z, a, b, c, ok = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_z", "_entry", "_leave", "_stop", "_open"))
+            made = composed(steps_of(z, a, b, c, ok))
+            made = np.take_along_axis(made, np.repeat(before, len(made), axis=0), axis=1)
+            before = made[-1:]
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*names, "_part"]), pa.array((made * _PLACES).sum(axis=1).astype(np.int16))], [*names, "_part", "_map"])
+
+        return walk
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    kind = rows.schema["_part"].dataType.simpleString()
+    mapped = in_order(rows, [*keys, "_part"], [order], start, f"{schema}, _part {kind}, _map smallint")
+    whole = mapped.groupBy(*keys, "_part").agg(F.max_by("_map", order).alias("_map"))
+
+    def chain():
         state = 0
 
         def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal state
-            level = [batch.column(k)[0].as_py() for k in levels]
-            made = np.empty(batch.num_rows, np.int8)
-            for i, (x, ok) in enumerate(zip(batch.column("_z").to_pylist(), batch.column("_open").to_pylist(), strict=True)):
-                state = advance(state, x, *level, ok)
-                made[i] = (0, 1, -1, 0)[state]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made)], [*names, "signal"])
+            begins = []
+            for m in batch.column("_map").to_pylist():
+                begins.append(state)
+                state = m >> 2 * state & 3
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in [*keys, "_part"]), pa.array(begins, pa.int32())], [*(f"_k{i}" for i in range(len(keys))), "_p", "_begin"])
 
         return walk
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return in_order(rows, keys, [order], start, f"{schema}, signal tinyint")
+    key_kinds = ", ".join(f"_k{i} {df.schema[k].dataType.simpleString()}" for i, k in enumerate(keys))
+    begins = in_order(whole, keys, ["_part"], chain, f"{key_kinds}, _p {kind}, _begin int")
+    same = F.col("_part").eqNullSafe(F.col("_p"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    state = F.expr("shiftright(_map, 2 * _begin) & 3")
+    return mapped.join(begins, same).select(*names, F.when(state == 1, 1).when(state == 2, -1).otherwise(0).cast("tinyint").alias("signal"))
 
 
 def with_runs(df: DataFrame, keys: list[str], order: str = "ts", signal: str = "signal", split_on_flip: bool = False) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 
@@ -13,8 +14,9 @@ def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     """Positions at which another key begins, behind the first row."""
     new = np.zeros(max(batch.num_rows - 1, 0), bool)
     for k in keys:
-        values = batch.column(k).to_pylist()
-        new |= np.fromiter((a != b for a, b in zip(values, values[1:], strict=False)), bool, len(new))
+        a, b = batch.column(k)[:-1], batch.column(k)[1:]
+        other = pc.fill_null(pc.not_equal(a, b), False)  # not known where either is null
+        new |= pc.or_(other, pc.xor(pc.is_null(a), pc.is_null(b))).to_numpy(zero_copy_only=False)
     return np.flatnonzero(new) + 1
 
 

@@ -32,7 +32,7 @@ def create(name: str, keys: list[str], order: str = "bar_idx", **options) -> Est
 
 @register("ols_rolling")
 def _ols(keys: list[str], order: str, window: int = 3300, z_window: int = 30, null_z: str = "null") -> Estimator:
-    return lambda df: rolling.rolling_ols(df, window, z_window, keys, order, null_z)
+    return lambda df: rolling.rolling_ols(df, window, z_window, keys, order, null_z, index="bar_idx" if order == "bar_idx" else None)
 
 
 @register("kalman")

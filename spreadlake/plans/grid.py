@@ -40,13 +40,10 @@ def hedges(aligned: DataFrame, windows: list[int], z_windows: list[int], keys: l
     """
     parts = []
     for w in windows:
-        hedged = rolling.rolling_ols(aligned, w, z_windows[0], keys, order)
-        scored = hedged.withColumnRenamed("zscore", f"_z{z_windows[0]}")
-        for z in z_windows[1:]:
-            scored = rolling.rolling_z(scored, z, keys, order, out=f"_z{z}")
+        scored = rolling.rolling_ols_windows(aligned, w, z_windows, keys, order, index=order if order == "bar_idx" else None)
         each = F.explode(F.array(*(F.struct(F.lit(z).alias("z_window"), F.col(f"_z{z}").alias("zscore")) for z in z_windows)))
         wide = scored.withColumn("_each", each)
-        parts.append(wide.select(*(c for c in hedged.columns if c != "zscore"), F.col("_each.zscore").alias("zscore"), F.lit(w).alias("window"), F.col("_each.z_window").alias("z_window")))
+        parts.append(wide.select(*(c for c in scored.columns if not c.startswith("_z")), F.col("_each.zscore").alias("zscore"), F.lit(w).alias("window"), F.col("_each.z_window").alias("z_window")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -31,11 +31,11 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hedged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.rolling_ols(aligned(spark, sf_dir), OLS, ZW, KEYS, "bar_idx")
+    return rolling.rolling_ols(aligned(spark, sf_dir), OLS, ZW, KEYS, "bar_idx", index="bar_idx")
 
 
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rolling.all_metrics(hedged(spark, sf_dir), KEYS, "bar_idx", ADF, HURST, HL, CORR)
+    return rolling.all_metrics(hedged(spark, sf_dir), KEYS, "bar_idx", ADF, HURST, HL, CORR, index="bar_idx")
 
 
 def signalled(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,11 +111,19 @@ cte("long_ols", f"SELECT bar_idx, CASE WHEN count(*) OVER {_W} = 300 THEN covar_
 
 @register("rolling_ols_long", query(f"SELECT bar_idx, {s6('beta')} FROM long_ols", "long_ols"))
 def _(spark, d):
-    return rolling.rolling_ols(inputs.aligned(spark, d), 300, 30, KEYS, "bar_idx").select("bar_idx", *r6("beta"))
+    return rolling.rolling_ols(inputs.aligned(spark, d), 300, 30, KEYS, "bar_idx", index="bar_idx").select("bar_idx", *r6("beta"))
 
 
-for _name, _col in (("rolling_corr", "correlation"), ("rolling_adf", "adf_stat"), ("rolling_hurst", "hurst"), ("rolling_halflife", "half_life")):
-    register(_name, query(f"SELECT bar_idx, {s6(_col)} FROM measured", "measured"))(lambda spark, d, c=_col: inputs.measured(spark, d).select("bar_idx", *r6(c)))
+def _one_metric(name: str, col: str, make) -> None:
+    register(name, query(f"SELECT bar_idx, {s6(col)} FROM measured", "measured"))(
+        lambda spark, d: make(inputs.hedged(spark, d)).select("bar_idx", *r6(col))
+    )
+
+
+_one_metric("rolling_corr", "correlation", lambda h: rolling.rolling_corr(h, inputs.CORR, KEYS, "bar_idx", index="bar_idx"))
+_one_metric("rolling_adf", "adf_stat", lambda h: rolling.rolling_adf(h, inputs.ADF, KEYS, "bar_idx", index="bar_idx"))
+_one_metric("rolling_hurst", "hurst", lambda h: rolling.rolling_hurst(h, inputs.HURST, KEYS, "bar_idx", index="bar_idx"))
+_one_metric("rolling_halflife", "half_life", lambda h: rolling.rolling_halflife(h, inputs.HL, KEYS, "bar_idx", index="bar_idx"))
 
 
 cte("masks", "SELECT *, coalesce(hurst < 0.45, false) AND coalesce(correlation > 0.20, false) AND coalesce(adf_stat < -2.0, false) AND coalesce(half_life BETWEEN 0.5 AND 120, false) AS regime, coalesce(adf_stat < -2.0 AND hurst < 0.5 AND correlation > 0.20, false) AS gate FROM measured", "measured")

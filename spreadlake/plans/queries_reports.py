@@ -104,7 +104,7 @@ def _(spark, d):
     """The back-test under a correlation gate, run again for each window of the correlation."""
     s = inputs.signalled(spark, d)
     s = s if "la" in s.columns else s.withColumns({"la": F.ln("close_a"), "lb": F.ln("close_b")})
-    parts = [rolling.rolling_corr(s, n, KEYS, "bar_idx").withColumn("frame_bars", F.lit(n)) for n in _windows]
+    parts = [rolling.rolling_corr(s, n, KEYS, "bar_idx", index="bar_idx").withColumn("frame_bars", F.lit(n)) for n in _windows]
     gated = signals.entry_filter(reduce(DataFrame.unionByName, parts), F.col("correlation") > 0.1, [*KEYS, "frame_bars"], "bar_idx")
     done = trades.backtest(gated, [*KEYS, "frame_bars"])
     return done.groupBy("frame_bars").agg(F.count("*").alias("trades"), F.round(F.sum("pnl_net"), 6).alias("pnl"))
@@ -183,7 +183,7 @@ def _(spark, d):
 # --- policies and matches ---------------------------------------------------------------------
 @register("zscore_zero_policy", query("SELECT bar_idx, round(coalesce(zscore, 0), 6) AS zscore FROM hedged", "hedged"))
 def _(spark, d):
-    return rolling.rolling_ols(inputs.aligned(spark, d), inputs.OLS, inputs.ZW, KEYS, "bar_idx", null_z="zero").select("bar_idx", *r6("zscore"))
+    return rolling.rolling_ols(inputs.aligned(spark, d), inputs.OLS, inputs.ZW, KEYS, "bar_idx", null_z="zero", index="bar_idx").select("bar_idx", *r6("zscore"))
 
 
 cte(

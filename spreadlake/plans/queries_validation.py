@@ -458,8 +458,8 @@ _T_KEYS = ["pair", "entry_bar"]
 def _curve(spark: SparkSession, d: str) -> DataFrame:
     """Unrealized PnL at every bar of every trade of the back-test, from the entry to the exit."""
     made = inputs.traded(spark, d).select(*_T_KEYS, "exit_bar", "entry_time", "exit_time", "side", "n_a", "n_b", "entry_price_a", "entry_price_b")
-    bar = inputs.hedged(spark, d).select("bar_idx", "ts", "close_a", "close_b", "zscore")
-    met = bars.interval_join(bar, made, "entry_time", "exit_time")
+    bar = inputs.hedged(spark, d).select("pair", "bar_idx", "ts", "close_a", "close_b", "zscore")
+    met = bars.interval_join(bar, made, "entry_time", "exit_time", ["pair"])
     return met.withColumn("pnl", trades.pnl_gross(*(F.col(c) for c in ("side", "n_a", "n_b", "entry_price_a", "entry_price_b", "close_a", "close_b")), trades.SPEC))
 
 
@@ -574,7 +574,7 @@ def _(spark, d):
     n = n_bars(spark, d)
     keys = [*KEYS, "slice"]
     parts = bars.sliced(inputs.aligned(spark, d), KEYS, {"in": (0, 7 * n // 10), "out": (7 * n // 10, n)})
-    hedged = rolling.rolling_ols(parts, inputs.OLS, inputs.ZW, keys, "bar_idx")
+    hedged = rolling.rolling_ols(parts, inputs.OLS, inputs.ZW, keys, "bar_idx", index="bar_idx")
     done = trades.backtest(signals.state_machine(hedged, inputs.ENTRY, LEAVE, STOP, keys, "bar_idx"), keys)
     return trades.summary(done, keys).select("slice", "trades", *r6("win_rate", "pnl", "profit_factor", "avg_pnl"))
 
@@ -585,7 +585,7 @@ _TRADE = ["pair", "entry_time", "exit_time", "side", "n_a", "n_b", "pnl_net"]
 def _trade_curve(spark: SparkSession, d: str) -> DataFrame:
     """Unrealized PnL at every tick of every trade of the two-speed back-test, from the entry to the exit."""
     both, made = _two_speed(spark, d)
-    met = bars.interval_join(both.drop("pair"), made.select(*_TRADE, "entry_price_a", "entry_price_b"), "entry_time", "exit_time")
+    met = bars.interval_join(both, made.select(*_TRADE, "entry_price_a", "entry_price_b"), "entry_time", "exit_time", KEYS)
     spec = {"mult_a": _HYBRID.mult_a, "mult_b": _HYBRID.mult_b}
     return met.withColumn("pnl", trades.pnl_gross(F.col("side"), F.col("n_a"), F.col("n_b"), F.col("entry_price_a"), F.col("entry_price_b"), F.col("a"), F.col("b"), spec))
 

@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,13 +53,61 @@ def test_align_numbers_in_time_order(spark):
     assert bars.null_legs(bars.align(a, b, "p")).count() == 0
 
 
-def test_prefix_sums_equal_frames(spark, monkeypatch):
-    df = spark.createDataFrame([("p", i, None if i == 37 else 10 + (i * 7919 % 101) / 100, (i * 104729 % 97) / 50) for i in range(300)], "pair string, ts int, x double, y double")
-    direct = rolling.moments(df, "x", "y", 20, ["pair"]).orderBy("ts").collect()
-    monkeypatch.setattr(rolling, "DIRECT", 5)
-    for a, b in zip(direct, rolling.moments(df, "x", "y", 20, ["pair"]).orderBy("ts").collect(), strict=True):
-        for c in ("m_mean_x", "m_var_x", "m_var_y", "m_cov"):
-            assert (a[c] is None) == (b[c] is None) and (a[c] is None or abs(a[c] - b[c]) < 1e-9)
+def by_frames(x, y, n):
+    """mean, variance and covariance of each full frame of finite values."""
+    out = []
+    for i in range(len(x)):
+        a, b = x[max(0, i - n + 1) : i + 1], y[max(0, i - n + 1) : i + 1]
+        ok = len(a) == n and np.isfinite(a).all() and np.isfinite(b).all()
+        out.append((a.mean(), a.var(ddof=1), b.var(ddof=1), np.cov(a, b)[0, 1]) if ok else None)
+    return out
+
+
+@pytest.mark.parametrize("block", [64, 4096])
+@pytest.mark.parametrize("n", [2, 20, 64, 65, 150])
+def test_frames_with_missing_and_non_finite_values(spark, monkeypatch, block, n):
+    """Any length of frame, on one path: a null, a NaN and an infinity void the frames that hold them, and no others."""
+    monkeypatch.setattr(rolling, "BLOCK", block)
+    rng = np.random.default_rng(n)
+    x, y = 1e4 + np.cumsum(rng.normal(size=900)), 50 + np.cumsum(rng.normal(size=900))
+    x[217], x[218], y[600] = np.nan, np.inf, -np.inf
+    given = [("p", i, None if i in (37, 38) else float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))]
+    x[37:39] = np.nan
+    df = spark.createDataFrame(given, "pair string, ts int, x double, y double")
+    for index in (None, "ts"):
+        got = rolling.moments(df, "x", "y", n, ["pair"], index=index).orderBy("ts").collect()
+        for r, want in zip(got, by_frames(x, y, n), strict=True):
+            made = tuple(r[c] for c in ("m_mean_x", "m_var_x", "m_var_y", "m_cov"))
+            assert made == (None,) * 4 if want is None else np.allclose(made, want, rtol=1e-7, atol=1e-9)
+    assert sum(w is not None for w in by_frames(x, y, n)) > 200
+
+
+def test_error_does_not_grow_with_the_series(spark):
+    """The last frames of a long series far from where it began, against the same rows alone."""
+    n = 60_000
+    x = np.linspace(0, 1e6, n) + np.random.default_rng(1).normal(size=n) * 1e-3
+    df = spark.range(n).selectExpr("'p' AS pair", "id AS ts")
+    df = df.join(spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "ts long, x double"), "ts")
+    got = rolling.moments(df, "x", None, 30, ["pair"], index="ts").filter(f"ts >= {n - 50}").orderBy("ts").collect()
+    for i, r in enumerate(got):
+        assert abs(r["m_var_x"] / x[n - 50 + i - 29 : n - 50 + i + 1].var(ddof=1) - 1) < 1e-6
+
+
+def test_a_series_is_several_tasks(spark):
+    df = spark.range(50_000).selectExpr("'p' AS pair", "id AS ts", "sin(id) AS x")
+    made = rolling.moments(df, "x", None, 30, ["pair"], index="ts")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_rows_are_numbered_by_units_of_time(spark):
+    t = [datetime(2024, 1, 30) + timedelta(hours=7 * i) for i in range(200)]
+    df = spark.createDataFrame([(k, x) for k in ("a", None) for x in t], "k string, ts timestamp_ntz").repartition(3)
+    got = {(r["k"], r["ts"]): r["n"] for r in rolling.numbered(df, ["k"], out="n").collect()}
+    assert got == {(k, x): i for k in ("a", None) for i, x in enumerate(t)}
 
 
 def test_constant_window_has_no_value(spark):
@@ -67,6 +116,29 @@ def test_constant_window_has_no_value(spark):
     assert all(r["beta"] is None and r["zscore"] is None and r["correlation"] is None for r in got)
 
 
+def test_interval_join_keeps_keys_apart(spark):
+    """Two pairs at the same times, spans from a second to 300 days, bounds that are met exactly, null keys and times."""
+    rng = np.random.default_rng(2)
+    t = [T0 + timedelta(minutes=7 * i) for i in range(3000)]
+    ticks = [(k, x) for k in ("p", "q", None) for x in t]
+    spans = []
+    for i, k in enumerate(["p", "q"] * 12):
+        lo = T0 + timedelta(seconds=int(rng.integers(-10**5, 10**6)))
+        spans.append((i, k, lo, lo + timedelta(seconds=int(4.0 ** rng.integers(0, 11)))))
+    spans += [(90, "p", t[5], t[5]), (91, "q", t[9], t[10]), (92, "p", T0 - timedelta(days=100), T0 + timedelta(days=200)), (93, None, t[0], t[9]), (94, "p", t[9], t[3]), (95, "p", None, t[3])]
+    got = bars.interval_join(spark.createDataFrame(ticks, "pair string, ts timestamp_ntz"), spark.createDataFrame(spans, "i int, pair string, lo timestamp_ntz, hi timestamp_ntz"), "lo", "hi", ["pair"])
+    want = sorted((i, k, x) for i, k, lo, hi in spans if lo and k for x in t if lo <= x <= hi)
+    assert sorted((r["i"], r["pair"], r["ts"]) for r in got.collect()) == want and len(want) > 3000
+
+
+def test_a_long_span_lies_in_few_bins(spark):
+    one = spark.createDataFrame([("p", T0, T0 + timedelta(days=300))], "pair string, lo timestamp_ntz, hi timestamp_ntz")
+    seen = bars.interval_join(spark.createDataFrame([("p", T0)], "pair string, ts timestamp_ntz"), one, "lo", "hi", ["pair"])
+    assert seen.count() == 1
+    width = F.expr("shiftleft(60000000L, 2 * cast(ceil(log(4, 300 * 1440)) as int))")
+    assert one.select((F.floor(F.unix_micros(F.col("hi").cast("timestamp")) / width) - F.floor(F.unix_micros(F.col("lo").cast("timestamp")) / width)).alias("n")).first()["n"] <= 1
+
+
 def test_vendor_csv(spark, tmp_path):
     (tmp_path / "NQ_data.csv").write_text("Date, Time, Open, High, Low, Last, Volume, NumberOfTrades\n2024/1/3, 9:05:00, 1, 2, 0.5, 1.5, 10, 3\n2024/01/03, 09:06:00, x, 2, 1, , 5, 1\nbad, 1, 1, 1, 1, 1, 1, 1\n")
     got = files.vendor_csv(spark, str(tmp_path / "NQ_data.csv")).orderBy("ts").collect()

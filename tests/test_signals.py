@@ -28,6 +28,15 @@ def out(df, col="signal"):
 nan = math.nan
 
 
+def walked(z, entry, leave, stop, gate=None):
+    """Signals by a loop over bars."""
+    got, state = [], 0
+    for i, x in enumerate(z):
+        state = signals.advance(state, float(x), entry, leave, stop, gate is None or bool(gate[i]))
+        got.append((0, 1, -1, 0)[state])
+    return got
+
+
 @pytest.mark.parametrize(("z", "want"), [
     ([0.0, -1, -2.5, -2.3, -1, -0.3, 0], [0, 0, 1, 1, 1, 0, 0]),
     ([0.0, -2.5, -3, -4.5, -2.5, -1, 0.3, -2.5], [0, 1, 1, 0, 0, 0, 0, 1]),
@@ -38,13 +47,36 @@ def test_machine(spark, z, want):
     assert out(signals.state_machine(series(spark, zscore=[float(x) for x in z]), 2.0, 0.5, 4.0, K, "bar_idx")) == want
 
 
-def test_machine_random(spark):
+@pytest.mark.parametrize("block", [None, 1, 7, 64])
+def test_machine_random(spark, block):
+    """Equal to the loop, whatever the blocks: missing values, a gate, two keys at the same bars, levels by column."""
     rng = np.random.default_rng(3)
     for leave in (0.0, 0.5, 1.0):
         z = np.cumsum(rng.normal(0, 0.7, 400)) * 0.5
         z[rng.random(400) < 0.03] = nan
-        df = series(spark, zscore=[float(x) for x in z])
-        assert out(signals.state_machine(df, 1.0, leave, 2.5, K, "bar_idx")) == signals._walk(z, 1.0, leave, 2.5)
+        ok = rng.random(400) < 0.6
+        df = series(spark, zscore=[float(x) for x in z], ok=[bool(x) for x in ok])
+        assert out(signals.state_machine(df, 1.0, leave, 2.5, K, "bar_idx", block=block)) == walked(z, 1.0, leave, 2.5)
+        assert out(signals.state_machine(df, 1.0, leave, 2.5, K, "bar_idx", gate="ok", block=block)) == walked(z, 1.0, leave, 2.5, ok)
+    two = df.unionByName(df.withColumn("pair", F.lit(None).cast("string")).withColumn("zscore", -F.col("zscore"))).withColumn("e", F.when(F.col("pair").isNull(), 0.8).otherwise(1.0))
+    got = signals.state_machine(two, "e", 0.5, 2.5, K, "bar_idx", block=block)
+    assert out(got.filter("pair = 'p'")) == walked(z, 1.0, 0.5, 2.5) and out(got.filter("pair is null")) == walked(-z, 0.8, 0.5, 2.5)
+
+
+def test_machine_in_blocks_of_time(spark):
+    z = np.cumsum(np.random.default_rng(4).normal(0, 0.7, 700)) * 0.5
+    df = series(spark, zscore=[float(x) for x in z])
+    for block in ("hour", "day", None):
+        got = [r["signal"] for r in signals.state_machine(df, 1.0, 0.5, 2.5, K, "ts", block=block).orderBy("ts").collect()]
+        assert got == walked(z, 1.0, 0.5, 2.5)
+
+
+def test_prefixes_of_maps():
+    steps = np.random.default_rng(1).integers(0, 4, (100, 4)).astype(np.int8)
+    got, at = signals.composed(steps), np.arange(4)
+    for i in range(100):
+        at = steps[i][at]
+        assert (got[i] == at).all()
 
 
 def test_machine_rejects_wide_exit(spark):

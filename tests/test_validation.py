@@ -145,14 +145,14 @@ def test_grid_of_one_is_the_single_run(spark):
 
 
 def test_stream_advances_like_the_batch_machine():
-    from spreadlake.operators.signals import _walk
+    from .test_signals import walked
 
     z = np.cumsum(np.random.default_rng(2).normal(0, 0.6, 500)) * 0.6
     state, got = 0, []
     for x in z:
         state = signals.advance(state, float(x), 1.0, 0.5, 2.5)
         got.append((0, 1, -1, 0)[state])
-    assert got == _walk(z, 1.0, 0.5, 2.5)
+    assert got == walked(z, 1.0, 0.5, 2.5)
 
 
 def test_replay_of_a_stream(spark, tmp_path):
@@ -311,7 +311,7 @@ def test_greedy_match_in_order(spark):
 
 
 def test_runs_of_equal_single_machines():
-    from spreadlake.operators.signals import _walk
+    from .test_signals import walked
 
     rng = np.random.default_rng(8)
     z = np.cumsum(rng.normal(0, 0.6, 600)) * 0.6
@@ -322,19 +322,22 @@ def test_runs_of_equal_single_machines():
         sig = np.zeros(600, int)
         for a, b, s in zip(first[config == k], behind[config == k], side[config == k], strict=True):
             sig[a:b] = s
-        assert sig.tolist() == _walk(z, *level)
+        assert sig.tolist() == walked(z, *level)
 
 
-def test_long_frames_equal_direct_ones(spark, monkeypatch):
-    df = as_rows(spark, np.cumsum(np.random.default_rng(5).normal(size=700)) * 0.01 + 5.0)
+def test_blocks_do_not_show(spark, monkeypatch):
+    """Statistics, and what is carried forward, are the same whether a series is one block or many; a NaN stays local."""
+    x = np.cumsum(np.random.default_rng(5).normal(size=3000)) * 0.01 + 5.0
+    x[900] = np.nan
+    df = as_rows(spark, x)
     runs = {}
-    for direct in (64, 1000):
-        monkeypatch.setattr(rolling, "DIRECT", direct)
-        plans = [("hurst", rolling.rolling_hurst(df, 256, K)), ("adf_stat", rolling.rolling_adf(df, 200, K)), ("adf_stat", rolling.rolling_adf(df, 150, K, current=True))]
-        runs[direct] = [[r[name] for r in out.orderBy("ts").collect()] for name, out in plans]
-    for a, b in zip(runs[64], runs[1000], strict=True):
-        assert sum(x is not None for x in a) > 300
-        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-6) for x, y in zip(a, b, strict=True))
+    for block in (64, 4096):
+        monkeypatch.setattr(rolling, "BLOCK", block)
+        plans = [("hurst", rolling.rolling_hurst(df, 256, K)), ("adf_stat", rolling.rolling_adf(df, 200, K)), ("adf_stat", rolling.rolling_adf(df, 150, K, current=True, step=40)), ("half_life", rolling.rolling_halflife(df, 65, K, step=9)), ("half_life", rolling.rolling_halflife(df, 64, K))]
+        runs[block] = [[r[name] for r in out.orderBy("ts").collect()] for name, out in plans]
+    for a, b in zip(runs[64], runs[4096], strict=True):
+        assert sum(x is not None for x in a) > 2000
+        assert all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-5 * max(1, abs(x))) for x, y in zip(a, b, strict=True))
 
 
 def test_steps_carry_values_forward(spark):
