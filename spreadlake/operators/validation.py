@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import deflated_sharpe, expected_max_sharpe
+from ..functions.exprs import deflated_sharpe, dollar_neutral, expected_max_sharpe
 from .rolling import ordered
 
 
@@ -111,25 +114,96 @@ def recency(found: DataFrame, keys: list[str], last: int = 6) -> DataFrame:
     return found.withColumn("_n", nth).filter(F.col("_n") <= last).groupBy(*keys).agg((100 * F.avg(F.col("go").cast("double"))).alias("pct_go"), F.count("*").alias("folds"))
 
 
+TASKS = 32
+CELLS = 1 << 21  # numbers of a matrix that a task works on at a time
+WORD, MIX, STEP, SEED_STEP = 0xFFFFFFFF, 73244475, 10368889, 2654435
+
+
+def stream(sims: np.ndarray, at: np.ndarray, seed: int) -> np.ndarray:
+    """32 random bits for each simulation (a row) and place: a function of simulation, place and seed alone, so no
+    number depends on how simulations are dealt to tasks."""
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        for _ in range(2):
+            x = ((x ^ (x >> np.uint64(16))) * np.uint64(MIX)) & np.uint64(WORD)
+        return x ^ (x >> np.uint64(16))
+
+    own = mixed((sims.astype(np.uint64) + np.uint64(seed * SEED_STEP)) & np.uint64(WORD))
+    return mixed((own[:, None] + at.astype(np.uint64)[None, :] * np.uint64(STEP)) & np.uint64(WORD)).astype(np.uint32)
+
+
+def resampled(rows: DataFrame, values: list[str], order: str, n_sims: int, keys: list[str], simulate: Callable[[np.ndarray, dict[str, np.ndarray]], list[np.ndarray]], out: str, first: int = 0) -> DataFrame:
+    """keys, sim and the columns of out for the simulations first to n_sims - 1 of each key.
+
+    A key's rows (the trades of a back-test, or the bars of a series: they must fit a worker) are packed once, in
+    order, and go to TASKS tasks with a share of the simulations each; simulate(sims, columns) works on as many
+    simulations at a time as have CELLS values.
+    """
+    spark = rows.sparkSession
+    taken = rows.select(*keys, F.struct(F.col(order).alias("_o"), *(F.col(v).alias(f"_v{i}") for i, v in enumerate(values))).alias("_s"))
+    whole = taken.groupBy(*keys).agg(F.sort_array(F.collect_list("_s")).alias("_s"))
+    part = -(-(n_sims - first) // TASKS)
+    dealt = whole.crossJoin(F.broadcast(spark.range(TASKS).select(F.col("id").alias("_task")))).repartition(TASKS, "_task")
+    names = [f.split()[0] for f in out.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                packed = batch.column("_s")[i].values
+                cols = {n: packed.field(j).to_numpy(zero_copy_only=False) for j, n in enumerate([order, *values])}
+                task = batch.column("_task")[i].as_py()
+                lo, hi = first + task * part, min(n_sims, first + (task + 1) * part)
+                step = max(1, CELLS // max(len(packed), 1))
+                for at in range(lo, hi, step):
+                    sims = np.arange(at, min(hi, at + step), dtype=np.int64)
+                    made = [pa.array(x) for x in simulate(sims, cols)]
+                    held = [pa.repeat(batch.column(k)[i], len(sims)) for k in keys]
+                    yield pa.RecordBatch.from_arrays([*held, pa.array(sims), *made], [*keys, "sim", *names])
+
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return dealt.mapInArrow(run, f"{kinds}, sim bigint, {out}")
+
+
 def permutation(measured: DataFrame, metric: str, allowed: Column, n_sims: int, keys: list[str], order: str = "bar_idx", seed: int = 7) -> DataFrame:
     """Back-tests of the signals under a gate on the metric (sim NULL) and on n_sims orders of it: trades, pnl, profit factor.
 
-    The gate delays entries, so every order makes trades of its own.
+    The gate delays entries, so every order makes trades of its own: of each run of signals, from the first bar that is
+    open to the run's end.  What a trade from each bar of a run would pay is priced once; a simulation picks the bars.
     """
     from . import signals
     from . import trades as t
 
-    rows = measured.withColumn("_i", F.row_number().over(ordered(keys, order)))
-    sims = F.broadcast(measured.sparkSession.range(-1, n_sims).select(F.col("id").alias("sim")))  # a stated number
-    each = rows.crossJoin(sims)
-    by_hash = [F.when(F.col("sim") >= 0, F.md5(F.concat_ws(":", "sim", F.lit(seed), order))), F.col(order)]
-    mixed = each.select(*keys, "sim", F.row_number().over(Window.partitionBy(*keys, "sim").orderBy(*by_hash)).alias("_i"), metric)
-    met = each.drop(metric).join(mixed, [*keys, "sim", "_i"])
-    gated = signals.entry_filter(met, allowed, [*keys, "sim"], order)
-    found = t.summary(t.backtest(gated, [*keys, "sim"], order), [*keys, "sim"])
-    every = measured.select(*keys).distinct().crossJoin(sims).join(found, [*keys, "sim"], "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return every.select(*keys, F.when(F.col("sim") >= 0, F.col("sim")).alias("sim"), zero("trades").alias("trades"), zero("pnl").alias("pnl"), zero("profit_factor").alias("profit_factor"))
+    at = ordered(keys, order)
+    runs = signals.with_runs(measured.withColumn("_ok", F.coalesce(allowed, F.lit(False))), keys, order)
+    ahead = runs.withColumns({f"_n{c}": F.lead(f"close_{c}").over(at) for c in "ab"}).withColumn("_more", F.lead(order).over(at).isNotNull())
+    whole = Window.partitionBy(*keys, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ended = ahead.withColumns({f"raw_exit_{c}": F.last(f"_n{c}").over(whole) for c in "ab"} | {"_trade": F.col("_run").isNotNull() & F.last("_more").over(whole)})
+    size = dollar_neutral(F.col("close_a"), t.SPEC["mult_a"], F.col("close_b"), t.SPEC["mult_b"], F.col("beta"), F.lit(1))
+    raw = ended.withColumns({"side": F.col("signal"), "raw_entry_a": F.col("close_a"), "raw_entry_b": F.col("close_b"), "n_a": F.lit(1), "n_b": size})
+    bars = t.price(raw).select(*keys, order, "_ok", F.when(F.col("_trade"), F.col("_run")).otherwise(0).alias("_run"), F.coalesce("pnl_net", F.lit(float("nan"))).alias("_pnl"))
+
+    def simulate(sims: np.ndarray, cols: dict[str, np.ndarray]) -> list[np.ndarray]:
+        ok, run, pnl = cols["_ok"].astype(bool), cols["_run"], cols["_pnl"]
+        inside = np.flatnonzero(run > 0)
+        starts = np.flatnonzero(np.append(True, run[inside][1:] != run[inside][:-1])) if len(inside) else inside
+        stops = np.append(starts[1:], len(inside))
+        trades, total, factor = np.zeros(len(sims), np.int64), np.zeros(len(sims)), np.zeros(len(sims))
+        for i, sim in enumerate(sims.tolist()):
+            gate = ok if sim < 0 else ok[np.argsort(stream(np.array([sim]), cols[order], seed)[0], kind="stable")]
+            met = np.flatnonzero(gate[inside])
+            if not len(met):
+                continue
+            first = np.searchsorted(met, starts)
+            taken = met[first[first < len(met)]]
+            taken = taken[taken < stops[: len(taken)]]
+            paid = pnl[inside[taken]]
+            gain, loss = paid[paid > 0].sum(), -paid[paid <= 0].sum()
+            trades[i], total[i] = len(taken), np.nansum(paid)
+            factor[i] = gain / loss if loss > 0 else np.inf if gain > 0 else 0.0
+        return [trades, total, factor]
+
+    found = resampled(bars, ["_ok", "_run", "_pnl"], order, n_sims, keys, simulate, "trades bigint, pnl double, profit_factor double", first=-1)
+    return found.withColumn("sim", F.when(F.col("sim") >= 0, F.col("sim")))
 
 
 def permutation_p(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,31 +214,34 @@ def permutation_p(found: DataFrame, keys: list[str]) -> DataFrame:
     return sims.groupBy(*keys, "profit_factor").agg(F.count("*").alias("sims"), F.avg((F.col("_pf") >= F.col("profit_factor")).cast("double")).alias("p_value"))
 
 
-def shuffled(trades: DataFrame, n_sims: int, keys: list[str], seed: int = 42, key: str = "entry_bar") -> DataFrame:
-    """Every trade in each of n_sims orders; the order comes from a hash of simulation, seed and trade, so any run repeats it."""
-    sims = F.broadcast(trades.sparkSession.range(n_sims).select(F.col("id").alias("sim")))
-    place = F.md5(F.concat_ws(":", F.col("sim"), F.lit(seed), F.col(key)))
-    return trades.crossJoin(sims).withColumn("place", F.row_number().over(Window.partitionBy(*keys, "sim").orderBy(place, key)))
+def monte_carlo_drawdown(trades: DataFrame, n_sims: int, keys: list[str], seed: int = 42, key: str = "entry_bar") -> DataFrame:
+    """max_dd of each of n_sims orders of the trades; an order sorts them by the random stream of simulation and trade."""
 
+    def simulate(sims: np.ndarray, cols: dict[str, np.ndarray]) -> list[np.ndarray]:
+        pnl = np.nan_to_num(cols["pnl_net"].astype(float))
+        cum = np.cumsum(pnl[np.argsort(stream(sims, cols[key], seed), axis=1, kind="stable")], axis=1)
+        return [(cum - np.maximum.accumulate(cum, axis=1)).min(axis=1)]
 
-def monte_carlo_drawdown(trades: DataFrame, n_sims: int, keys: list[str], seed: int = 42) -> DataFrame:
-    w = Window.partitionBy(*keys, "sim").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    run = shuffled(trades, n_sims, keys, seed).withColumn("_cum", F.sum("pnl_net").over(w))
-    run = run.withColumn("_peak", F.max("_cum").over(w))
-    return run.groupBy(*keys, "sim").agg(F.min(F.col("_cum") - F.col("_peak")).alias("max_dd"))
+    return resampled(trades, ["pnl_net"], key, n_sims, keys, simulate, "max_dd double")
 
 
-def bootstrap(trades: DataFrame, n_sims: int, n_draws: int, target: float, ruin: float, keys: list[str], seed: int = 42) -> DataFrame:
+def bootstrap(trades: DataFrame, n_sims: int, n_draws: int, target: float, ruin: float, keys: list[str], seed: int = 42, key: str = "entry_bar") -> DataFrame:
     """Draws with replacement until the sum reaches target or ruin: per simulation the outcome and how many trades it took."""
-    numbered = trades.withColumns({"_i": F.row_number().over(Window.partitionBy(*keys).orderBy("entry_bar")) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))}).select(*keys, "_i", "_n", "pnl_net")
-    spark = trades.sparkSession
-    draws = spark.range(n_sims).select(F.col("id").alias("sim")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))))
-    sizes = numbered.select(*keys, "_n").distinct()
-    picks = sizes.crossJoin(draws).withColumn("_i", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "sim", F.lit(seed), "draw")), 1, 12), 16, 10).cast("bigint"), F.col("_n")).cast("int"))
-    w = Window.partitionBy(*keys, "sim").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
-    run = picks.join(numbered.drop("_n"), [*keys, "_i"]).withColumn("_cum", F.sum("pnl_net").over(w))
-    hit = F.when(F.col("_cum") >= target, "target").when(F.col("_cum") <= -ruin, "ruin")
-    return run.withColumn("_hit", hit).groupBy(*keys, "sim").agg(F.coalesce(F.min_by("_hit", F.when(F.col("_hit").isNotNull(), F.col("draw"))), F.lit("open")).alias("outcome"), F.coalesce(F.min(F.when(F.col("_hit").isNotNull(), F.col("draw") + 1)), F.lit(n_draws)).cast("bigint").alias("trades"))
+
+    def simulate(sims: np.ndarray, cols: dict[str, np.ndarray]) -> list[np.ndarray]:
+        pnl = np.nan_to_num(cols["pnl_net"].astype(float))
+        outcome, took = [], []
+        for lo in range(0, len(sims), max(1, CELLS // n_draws)):
+            some = sims[lo : lo + max(1, CELLS // n_draws)]
+            cum = np.cumsum(pnl[stream(some, np.arange(n_draws), seed) % len(pnl)], axis=1)
+            hit = (cum >= target) | (cum <= -ruin)
+            first, any_ = hit.argmax(axis=1), hit.any(axis=1)
+            at = cum[np.arange(len(some)), first]
+            outcome.append(np.where(any_, np.where(at >= target, "target", "ruin"), "open"))
+            took.append(np.where(any_, first + 1, n_draws).astype(np.int64))
+        return [np.concatenate(outcome).astype(object), np.concatenate(took)]
+
+    return resampled(trades, ["pnl_net"], key, n_sims, keys, simulate, "outcome string, trades bigint")
 
 
 def slippage_sweep(raw: DataFrame, keys: list[str], spec: dict, most: int = 3) -> DataFrame:

@@ -110,7 +110,17 @@ def _(spark, d):
     return validation.slippage_sweep(raw, KEYS, trades.SPEC).select("ticks", "trades", *r6("pnl", "profit_factor"))
 
 
-cte("mc", "SELECT sim, pnl_net, row_number() OVER (PARTITION BY sim ORDER BY md5(sim::VARCHAR || ':42:' || entry_bar::VARCHAR), entry_bar) AS place FROM trades, (SELECT unnest(range(10000)) AS sim)", "trades")
+def stream_sql(sim: str, at: str, seed: int, source: str) -> str:
+    """source with h: the random stream of validation.stream in SQL."""
+    v, steps = validation, []
+    for name, begin in (("y", f"({sim} + {seed * v.SEED_STEP}) & {v.WORD}"), ("x", f"(y3 + {at} * {v.STEP}) & {v.WORD}")):
+        steps.append(f"{begin} AS {name}0")
+        steps += [f"(xor({name}{k}, {name}{k} >> 16) * {v.MIX}) & {v.WORD} AS {name}{k + 1}" for k in (0, 1)]
+        steps.append(f"xor({name}2, {name}2 >> 16) AS {name}3")
+    return f"SELECT * EXCLUDE (y0, y1, y2, y3, x0, x1, x2, x3), x3 AS h FROM (SELECT *, {', '.join(steps)} FROM {source})"
+
+
+cte("mc", "SELECT sim, pnl_net, row_number() OVER (PARTITION BY sim ORDER BY h, entry_bar) AS place FROM (" + stream_sql("sim", "entry_bar", 42, "(SELECT sim, entry_bar, pnl_net FROM trades, (SELECT unnest(range(10000)) AS sim))") + ")", "trades")
 cte("mc_cum", "SELECT *, sum(pnl_net) OVER (PARTITION BY sim ORDER BY place ROWS UNBOUNDED PRECEDING) AS cum FROM mc", "mc")
 
 
@@ -120,7 +130,7 @@ def _(spark, d):
 
 
 _NUM = "SELECT pnl_net, row_number() OVER (ORDER BY entry_bar) - 1 AS i, count(*) OVER () AS n FROM trades"
-cte("bs", f"SELECT sim, draw, sum(pnl_net) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT s.sim, d.draw, (('0x' || substr(md5(s.sim::VARCHAR || ':42:' || d.draw::VARCHAR), 1, 12))::BIGINT % (SELECT count(*) FROM trades)) AS i FROM (SELECT unnest(range(10000)) AS sim) s, (SELECT unnest(range(100)) AS draw) d) p JOIN ({_NUM}) USING (i)", "trades")
+cte("bs", "SELECT sim, draw, sum(pnl_net) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS cum FROM (SELECT sim, draw, h % (SELECT count(*) FROM trades) AS i FROM (" + stream_sql("sim", "draw", 42, "(SELECT s.sim, d.draw FROM (SELECT unnest(range(10000)) AS sim) s, (SELECT unnest(range(100)) AS draw) d)") + f")) p JOIN ({_NUM}) USING (i)", "trades")
 
 
 @register("bootstrap", query("SELECT sim, coalesce(arg_min(hit, draw) FILTER (hit IS NOT NULL), 'open') AS outcome, coalesce(min(draw + 1) FILTER (hit IS NOT NULL), 100)::BIGINT AS trades FROM (SELECT *, CASE WHEN cum >= 20000 THEN 'target' WHEN cum <= -20000 THEN 'ruin' END AS hit FROM bs) GROUP BY sim", "bs"))
@@ -129,7 +139,8 @@ def _(spark, d):
 
 
 cte("perm_sims", "SELECT unnest(range(-1, 20)) AS sim")
-cte("shuffle_z", "SELECT sim, b.bar_idx, s.correlation FROM (SELECT sim, bar_idx, row_number() OVER (PARTITION BY sim ORDER BY bar_idx) AS i FROM sig_m, perm_sims) b JOIN (SELECT sim, correlation, row_number() OVER (PARTITION BY sim ORDER BY CASE WHEN sim >= 0 THEN md5(sim::VARCHAR || ':7:' || bar_idx::VARCHAR) END, bar_idx) AS i FROM sig_m, perm_sims) s USING (sim, i)", "sig_m", "perm_sims")
+cte("perm_bars", stream_sql("sim", "bar_idx", 7, "(SELECT sim, bar_idx, correlation FROM sig_m, perm_sims WHERE sim >= 0)"), "sig_m", "perm_sims")
+cte("shuffle_z", "SELECT sim, b.bar_idx, s.correlation FROM (SELECT sim, bar_idx, row_number() OVER (PARTITION BY sim ORDER BY bar_idx) AS i FROM perm_bars) b JOIN (SELECT sim, correlation, row_number() OVER (PARTITION BY sim ORDER BY h, bar_idx) AS i FROM perm_bars) s USING (sim, i) UNION ALL SELECT -1, bar_idx, correlation FROM sig_m", "sig_m", "perm_bars")
 
 
 def gated_sql(gate: str, key: str) -> str:

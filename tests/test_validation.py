@@ -426,3 +426,64 @@ def test_correlation_p_edges(spark):
 def test_every_query_has_columns(spark):
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
     assert len(catalog.queries()) >= 70
+
+
+def stream_by_hand(sim, at, seed):
+    """The random stream in plain integers."""
+
+    def mixed(x):
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 73244475) % 2**32
+        return x ^ (x >> 16)
+
+    return mixed((mixed((sim + seed * 2654435) % 2**32) + at * 10368889) % 2**32)
+
+
+def test_streams_depend_on_simulation_and_place_alone(spark, monkeypatch):
+    sims, at = np.array([0, 5, 10**6]), np.array([0, 1, 2**31 - 1])
+    assert validation.stream(sims, at, 42).tolist() == [[stream_by_hand(int(s), int(a), 42) for a in at] for s in sims]
+    pnl = [5.0, -3.0, 2.0, -7.0, 4.0, None, -1.0]
+    trades = spark.createDataFrame([(k, 10 * i, x) for k in "ab" for i, x in enumerate(pnl)], "pair string, entry_bar long, pnl_net double")
+    want = {}
+    for sim in range(50):
+        total = peak = worst = None
+        for i in sorted(range(len(pnl)), key=lambda i: (stream_by_hand(sim, 10 * i, 42), i)):
+            total = (total or 0.0) + (pnl[i] or 0.0)
+            peak = total if peak is None else max(peak, total)
+            worst = min(worst if worst is not None else 0.0, total - peak)
+        want[sim] = worst
+    for tasks, cells in ((32, 1 << 21), (1, 10), (7, 1)):
+        monkeypatch.setattr(validation, "TASKS", tasks)
+        monkeypatch.setattr(validation, "CELLS", cells)
+        got = validation.monte_carlo_drawdown(trades, 50, ["pair"]).collect()
+        assert len(got) == 100 and all(abs(r["max_dd"] - want[r["sim"]]) < 1e-12 for r in got)
+    draws = validation.bootstrap(trades, 40, 30, 15.0, 15.0, ["pair"]).filter("pair = 'a'").collect()
+    for r in draws:
+        total, end = 0.0, ("open", 30)
+        for k in range(30):
+            total += pnl[stream_by_hand(r["sim"], k, 42) % 7] or 0.0
+            if total >= 15 or total <= -15:
+                end = ("target" if total >= 15 else "ruin", k + 1)
+                break
+        assert (r["outcome"], r["trades"]) == end
+
+
+def test_permutations_equal_back_tests_of_the_gated_signals(spark):
+    """Each order of the metric, put on the bars, gates the signals through the plain filter and the plain back-test."""
+    from pyspark.sql import functions as F
+
+    from spreadlake.operators import trades
+
+    rng = np.random.default_rng(9)
+    n = 300
+    sig = np.repeat(rng.choice([0, 1, -1], 60), 5)[:n]
+    rows = [("p", i, datetime(2024, 1, 1) + timedelta(hours=i), 100 + float(rng.normal()), 200 + float(rng.normal()), 1.1, int(sig[i]), None if i % 11 == 0 else float(rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "pair string, bar_idx long, ts timestamp_ntz, close_a double, close_b double, beta double, signal int, m double")
+    got = {r["sim"]: r for r in validation.permutation(df, "m", F.col("m") > 0.8, 6, ["pair"]).collect()}
+    assert set(got) == {None, *range(6)}
+    for sim, r in got.items():
+        order = range(n) if sim is None else sorted(range(n), key=lambda i: (stream_by_hand(sim, i, 7), i))
+        mixed = spark.createDataFrame([(i, rows[j][7]) for i, j in enumerate(order)], "bar_idx long, m double")
+        gated = signals.entry_filter(df.drop("m").join(mixed, "bar_idx"), F.col("m") > 0.8, ["pair"], "bar_idx")
+        want = trades.summary(trades.backtest(gated, ["pair"]), ["pair"]).first()
+        assert r["trades"] == want["trades"] and abs(r["pnl"] - want["pnl"]) < 1e-9 and abs(r["profit_factor"] - want["profit_factor"]) < 1e-9
