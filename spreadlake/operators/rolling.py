@@ -12,11 +12,15 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import clip, div
+from ..functions.exprs import div
+from .walk import in_order
 
 BLOCK = 4096
 NOISE = 2e-15  # of the running sum of squares: what is left of a sum of squares below that is rounding
@@ -70,15 +74,33 @@ HELPERS = ("_rn", "_block", "_own")
 def _held(df: DataFrame, columns: list[str], keys: list[str], order: str) -> DataFrame:
     """df, made by blocked(), with the last value that is not NULL of each column carried forward, over blocks, too.
 
-    What the blocks before end with comes from a table of one row a block.
+    A walker fills each block; what the blocks before end with comes from a table of one row a block.  Both read
+    one exchange, so what is above it runs once.
     """
     at = [*keys, "_block"]
-    ends = df.groupBy(*at).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_e_{c}") for c in columns))
+
+    def start():
+        last: dict[str, pa.Scalar] = {}
+
+        def walk(batch: pa.RecordBatch) -> pa.RecordBatch:
+            cols = dict(zip(batch.schema.names, batch.columns, strict=True))
+            for c in columns:
+                cols[c] = pc.fill_null_forward(cols[c])
+                if c in last:
+                    cols[c] = pc.fill_null(cols[c], last[c])
+                if cols[c][-1].is_valid:
+                    last[c] = cols[c][-1]
+            return pa.RecordBatch.from_arrays(list(cols.values()), batch.schema.names)
+
+        return walk
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    filled = in_order(df, at, [order], start, schema)
+    ends = filled.groupBy(*at).agg(*(F.max_by(c, order).alias(f"_e_{c}") for c in columns))
     upto = ordered(keys, "_block").rowsBetween(Window.unboundedPreceding, -1)
     before = ends.select(*at, *(F.last(f"_e_{c}", ignorenulls=True).over(upto).alias(f"_b_{c}") for c in columns))
-    inside = ordered(at, order).rowsBetween(Window.unboundedPreceding, 0)
-    filled = df.withColumns({c: F.last(c, ignorenulls=True).over(inside) for c in columns}).join(before, at, "left")
-    return filled.withColumns({c: F.coalesce(c, f"_b_{c}") for c in columns}).drop(*(f"_b_{c}" for c in columns))
+    joined = filled.join(before, at, "left")
+    return joined.withColumns({c: F.coalesce(c, f"_b_{c}") for c in columns}).drop(*(f"_b_{c}" for c in columns))
 
 
 def framed(df: DataFrame, terms: dict[str, Column], sizes: dict[str, int], keys: list[str], order: str = "ts", end: int = 0) -> DataFrame:
@@ -222,19 +244,45 @@ def _slope(x: list[float], y: list[Column], at_least: int = 3) -> Column:
     return F.when(n >= at_least, div(n * sxy - sx * sy, n * sxx - sx * sx))
 
 
-def _hurst(df: DataFrame, n: int, keys: list[str], order: str, x: str, step: int, out: str) -> DataFrame:
-    """Values on their own rows, not carried forward."""
+def hurst_of(v: np.ndarray, n: int) -> np.ndarray:
+    """Raw exponent of the n values up to each place (NaN where one is missing): slope of ln of the deviation of lagged differences on ln of the lag."""
     lags = hurst_lags(n)
-    at = ordered(keys, order)
-    clean = df.withColumn("_x", finite(F.col(x)))
-    diffs = clean.withColumns({f"_d{k}": F.col("_x") - F.lag("_x", k).over(at) for k in lags})  # they lie about zero
-    terms = {f"_{t}{k}": v for k in lags for t, v in (("c", F.col(f"_d{k}").isNotNull().cast("int")), ("s", F.col(f"_d{k}")), ("q", F.col(f"_d{k}") * F.col(f"_d{k}")))}
-    cut = framed(diffs, terms, {t: n - int(t[2:]) for t in terms}, keys, order)
-    var = {k: _spread_of(F.col(f"_q{k}"), F.col(f"_s{k}"), n - k, F.col(f"_q{k}_run")) / (n - k - 1) for k in lags}
-    taus = cut.withColumns({f"_t{k}": F.when(F.col(f"_c{k}") == n - k, F.sqrt(var[k])) for k in lags})
-    logs = taus.withColumns({f"_y{k}": F.when(F.col(f"_t{k}") > 1e-12, F.ln(f"_t{k}")) for k in lags})
-    made = logs.withColumn("_raw", _slope([math.log(k) for k in lags], [F.col(f"_y{k}") for k in lags]))
-    return made.withColumn(out, every(F.when(F.col("_raw").isNotNull(), clip(F.col("_raw"), 0.01, 0.99)), n, step)).select(*df.columns, out)
+    v = np.where(np.isfinite(v), v, np.nan)
+    if len(v) < n or np.isnan(v).all():
+        return np.full(len(v), np.nan)
+    whole = np.convolve(np.isnan(v), np.ones(n, int))[n - 1 : len(v)] == 0  # frames without a gap, from place n - 1 on
+    v = v - np.nanmean(v)
+    y = np.full((len(lags), len(whole)), np.nan)
+    for i, k in enumerate(lags):
+        d = np.nan_to_num(v[k:] - v[:-k])  # the difference that ends at place j is d[j - k]
+        sums, squares = (np.concatenate([[0.0], np.cumsum(x)]) for x in (d, d * d))
+        m = n - k
+        total, sq = sums[m:] - sums[:-m], squares[m:] - squares[:-m]
+        var = sq - total * total / m
+        var = np.where(var > NOISE * squares[m:], var, 0.0) / (m - 1)
+        with np.errstate(divide="ignore"):
+            y[i] = np.where(whole & (np.sqrt(var) > 1e-12), np.log(np.sqrt(var)), np.nan)
+    x, has = np.log(lags)[:, None], ~np.isnan(y)
+    count, sx, sxx = has.sum(0), (has * x).sum(0), (has * x * x).sum(0)
+    sy, sxy = np.nan_to_num(y).sum(0), (np.nan_to_num(y) * x).sum(0)
+    below = count * sxx - sx * sx
+    with np.errstate(divide="ignore", invalid="ignore"):
+        slope = np.where((count >= 3) & (below != 0), (count * sxy - sx * sy) / below, np.nan)
+    return np.concatenate([np.full(n - 1, np.nan), slope])
+
+
+def _hurst(df: DataFrame, n: int, keys: list[str], order: str, x: str, step: int, out: str) -> DataFrame:
+    """Values on their own rows, not carried forward; a block (of bounded size) at a time."""
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t[order]))
+        raw = hurst_of(t[x].to_numpy().astype(float), n)
+        rn = t["_rn"].to_numpy()
+        due = (rn >= n) & ((rn - n) % step == 0) & ~np.isnan(raw)
+        return t.append_column(out, pa.array(np.clip(raw, 0.01, 0.99), mask=~due))
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.groupBy(*keys).applyInArrow(run, f"{schema}, `{out}` double")
 
 
 def rolling_hurst(df: DataFrame, n: int, keys: list[str], order: str = "ts", x: str = "spread", step: int = 1, out: str = "hurst", index: str | None = None) -> DataFrame:
@@ -265,8 +313,8 @@ def all_metrics(df: DataFrame, keys: list[str], order: str = "ts", adf: int = 24
 
     def make(d: DataFrame, k: list[str]) -> DataFrame:
         out = _adf(d, adf, k, order, "spread", step, False, "adf_stat")
-        out = _hurst(out, hurst, k, order, "spread", step, "hurst") if len(hurst_lags(hurst)) > 1 else out.withColumn("hurst", F.lit(None).cast("double"))
-        return _corr(_halflife(out, halflife, k, order, "spread", step, "half_life"), corr, k, order, "la", "lb", "correlation")
+        out = _corr(_halflife(out, halflife, k, order, "spread", step, "half_life"), corr, k, order, "la", "lb", "correlation")
+        return _hurst(out, hurst, k, order, "spread", step, "hurst") if len(hurst_lags(hurst)) > 1 else out.withColumn("hurst", F.lit(None).cast("double"))
 
     made = blocked(df, keys, order, max(adf, hurst, halflife, corr) + 2, make, index)
     return _held(made, ["hurst", "half_life", *(["adf_stat"] if step > 1 else [])], keys, order).drop(*HELPERS).select(*df.columns, "adf_stat", "hurst", "half_life", "correlation")
