@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import normal_cdf
+from ..functions.exprs import div, normal_cdf
+from ..sources.storage import table
 from .rolling import _slope, ordered
 
 
@@ -33,19 +34,56 @@ def halflife_full(df: DataFrame, keys: list[str], x: str, order: str = "ts") ->
     return agg.select(*keys, F.when(ok, -math.log(2) / F.ln(F.when(ok, F.col("_b")))).alias("half_life"))
 
 
-def average_rank(x: str, keys: list[str]) -> Column:
-    """Rank from 1, equal values share the mean of theirs."""
-    w = Window.partitionBy(*keys).orderBy(x)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2
+PARTS = 64
+
+
+def _matched(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """df with the further columns of other, null keys alike."""
+    right = other.withColumnsRenamed({k: f"_on{i}" for i, k in enumerate(on)})
+    same = F.lit(True)
+    for i, k in enumerate(on):
+        same = same & F.col(k).eqNullSafe(F.col(f"_on{i}"))
+    return df.join(right, same).drop(*(f"_on{i}" for i in range(len(on))))
+
+
+def value_ranks(df: DataFrame, keys: list[str], x: str, parts: int = PARTS) -> DataFrame:
+    """keys, x, _n, _rank: each distinct value of a key, how many rows hold it, and their mean rank, from 1.
+
+    Values are counted first, so ties cost one row however many they are.  Approximate quantiles cut a key's values
+    into `parts` ranges; the rows before a range come from a table of one row a range, those inside it from a
+    window of a key and range.  So no task holds a key's values, and the ranks are exact wherever the cuts lie.
+    """
+    values = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
+    dealt = _matched(values, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    totals = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_total"))
+    ahead = F.coalesce(F.sum("_total").over(ordered(keys, "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("_n").over(ordered([*keys, "_range"], x).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
+    placed = _matched(dealt.withColumn("_inside", inside), totals.select(*keys, "_range", ahead.alias("_ahead")), [*keys, "_range"])
+    return placed.select(*keys, x, "_n", (F.col("_ahead") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("_rank"))
+
+
+def average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """df with the rank of each column's values in its key (new name -> column), from 1; equal values share the mean of theirs."""
+    out = df
+    for name, x in columns.items():
+        out = _matched(out, value_ranks(df, keys, x).select(*keys, x, F.col("_rank").alias(name)), [*keys, x])
+    return out
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranks = both.select(*keys, average_rank(x, keys).alias("_rx"), average_rank(y, keys).alias("_ry"))
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    ranks = average_ranks(both, keys, {"_rx": "_x", "_ry": "_y"})
     out = ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("_rx", "_ry").alias("_c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
     return out.select(*keys, "n", (F.col("_c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))).alias("rho"))
 
 
+def spearman_within(df: DataFrame, keys: list[str], period: str, x: str, y: str, least: int = 10) -> DataFrame:
+    """rho: the rank correlations inside each period (such as a year) of at least `least` rows, averaged by their rows; periods, n."""
+    inside = spearman(df, [*keys, period], x, y).filter((F.col("n") >= least) & F.col("rho").isNotNull())
+    return inside.groupBy(*keys).agg(F.count("*").alias("periods"), F.sum("n").alias("n"), (F.sum(F.col("rho") * F.col("n")) / F.sum("n")).alias("rho"))
+
+
 def pearson(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """n and r of the rows that have both; null without variance."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -91,21 +129,29 @@ def correlation_p(r: str, n: str) -> Column:
 
 
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, given: str) -> DataFrame:
-    """Rank correlation of what is left of x and y behind a regression of their ranks on the rank of a third column."""
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(given).isNotNull())
-    r = both.select(*keys, *(average_rank(c, keys).alias(f"_{n}") for n, c in (("x", x), ("y", y), ("t", given))))
-    fit = r.groupBy(*keys).agg(*(f(f"_{c}", "_t").alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))))
-    left = r.join(fit, keys).select(*keys, *((F.col(f"_{c}") - F.col(f"_i{c}") - F.col(f"_s{c}") * F.col("_t")).alias(f"_{c}") for c in ("x", "y")))
-    out = left.groupBy(*keys).agg(F.covar_pop("_x", "_y").alias("_c"), (F.stddev_pop("_x") * F.stddev_pop("_y")).alias("_s"))
-    return out.select(*keys, (F.col("_c") / F.nullif(F.col("_s"), F.lit(0.0))).alias("rho"))
+    """Rank correlation of what is left of the ranks of x and y behind their regressions on the rank of a third column.
+
+    What is left is rounded to 6 places before it is ranked, so equal pairs of ranks tie.  The first ranks are written
+    to the shared folder, since the regressions and the second ranks read them several times.
+    """
+    named = [F.col(c).alias(f"_{n}") for n, c in (("x", x), ("y", y), ("t", given))]
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(given).isNotNull()).select(*keys, *named)
+    r = table(average_ranks(both, keys, {"_rx": "_x", "_ry": "_y", "_rt": "_t"}).select(*keys, "_rx", "_ry", "_rt"), "ranks")
+    fit = r.groupBy(*keys).agg(*(f(f"_r{c}", "_rt").alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))))
+    left = _matched(r, fit, keys).select(*keys, *(F.round(F.col(f"_r{c}") - F.col(f"_i{c}") - F.col(f"_s{c}") * F.col("_rt"), 6).alias(f"_l{c}") for c in ("x", "y")))
+    return spearman(left, keys, "_lx", "_ly").select(*keys, "rho")
 
 
 def mann_whitney(df: DataFrame, keys: list[str], x: str, group: Column) -> DataFrame:
-    """U of the rows where group holds against the others, and the one-sided p-value (larger) by the normal approximation with continuity correction."""
-    r = df.filter(F.col(x).isNotNull()).select(*keys, average_rank(x, keys).alias("_r"), group.cast("int").alias("_g"))
-    agg = r.groupBy(*keys).agg(F.sum(F.when(F.col("_g") == 1, F.col("_r"))).alias("_rs"), F.sum("_g").alias("n1"), F.sum(1 - F.col("_g")).alias("n2"))
+    """U of the rows where group holds against the others, and the one-sided p-value (larger) by the normal approximation with corrections for continuity and ties."""
+    rows = df.filter(F.col(x).isNotNull() & group.isNotNull()).select(*keys, F.col(x).alias("_x"), group.cast("int").alias("_g"))
+    counts = rows.groupBy(*keys, "_x").agg(F.sum("_g").alias("_n1"))
+    ranks = _matched(counts, value_ranks(rows, keys, "_x"), [*keys, "_x"])
+    n, ties = F.col("_n").cast("double"), F.sum(F.col("_n").cast("double") * (F.col("_n").cast("double") * F.col("_n") - 1))
+    agg = ranks.groupBy(*keys).agg(F.sum(F.col("_n1") * F.col("_rank")).alias("_rs"), F.sum("_n1").alias("n1"), F.sum(F.col("_n") - F.col("_n1")).alias("n2"), ties.alias("_ties"), F.sum(n).alias("_all"))
     u = agg.withColumn("u", F.col("_rs") - F.col("n1") * (F.col("n1") + 1) / 2)
-    mean, sd = F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12)
+    spread = F.col("_all") + 1 - div(F.col("_ties"), F.col("_all") * (F.col("_all") - 1))
+    mean, sd = F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1").cast("double") * F.col("n2") * spread / 12)
     return u.select(*keys, "n1", "n2", "u", (1.0 - normal_cdf((F.col("u") - mean - 0.5) / F.nullif(sd, F.lit(0.0)))).alias("p_value"))
 
 

@@ -389,15 +389,27 @@ def _(spark, d):
     return stats.spearman(_items(spark, d), ["k"], "l_quantity", "l_extendedprice").select("n", *r6("rho"))
 
 
-@register("partial_spearman", query("SELECT round(corr(ra - sa * rt, rb - sb * rt), 6) AS rho FROM ranked, (SELECT regr_slope(ra, rt) AS sa, regr_slope(rb, rt) AS sb FROM ranked)", "ranked"))
+_residual = ", ".join(f"round(r{c} - i{c} - s{c} * rt, 6) AS {c}" for c in "ab")
+_fit = ", ".join(f"regr_slope(r{c}, rt) AS s{c}, regr_intercept(r{c}, rt) AS i{c}" for c in "ab")
+cte("residuals", f"SELECT {_residual} FROM ranked, (SELECT {_fit} FROM ranked)", "ranked")
+
+
+@register("partial_spearman", query(f"SELECT round(corr(a, b), 6) AS rho FROM (SELECT {_rank.format('a')} AS a, {_rank.format('b')} AS b FROM residuals)", "residuals"))
 def _(spark, d):
     return stats.partial_spearman(_items(spark, d), ["k"], "l_quantity", "l_extendedprice", "l_tax").select(*r6("rho"))
 
 
-_u = exprs.normal_cdf_sql("((u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 * (n1 + n2 + 1) / 12))")
+@register("spearman_within", query("SELECT count(*) AS periods, sum(n)::BIGINT AS n, round(sum(rho * n) / sum(n), 6) AS rho FROM (SELECT y, count(*) AS n, corr(ra, rb) AS rho FROM (SELECT y, " + ", ".join(f"rank() OVER (PARTITION BY y ORDER BY {c}) + (count(*) OVER (PARTITION BY y, {c}) - 1) / 2.0 AS r{k}" for k, c in (("a", "l_quantity"), ("b", "l_extendedprice"))) + " FROM (SELECT *, year(l_shipdate) AS y FROM lineitem)) GROUP BY y) WHERE n >= 10 AND rho IS NOT NULL"))
+def _(spark, d):
+    """Rank correlation inside each year, averaged by rows."""
+    items = spark.read.parquet(f"{d}/lineitem.parquet").select(F.lit(1).alias("k"), F.year("l_shipdate").alias("y"), "l_quantity", "l_extendedprice")
+    return stats.spearman_within(items, ["k"], "y", "l_quantity", "l_extendedprice").select("periods", "n", *r6("rho"))
+
+
+_u = exprs.normal_cdf_sql("((u - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) / 12))")
 
 
-@register("mann_whitney", query(f"SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS u, round(1.0 - {_u}, 6) AS p_value FROM (SELECT n1, n2, rs - n1 * (n1 + 1) / 2 AS u FROM (SELECT sum(rb) FILTER (flag = 'A') AS rs, count_if(flag = 'A')::DOUBLE AS n1, count_if(flag <> 'A')::DOUBLE AS n2 FROM ranked))", "ranked"))
+@register("mann_whitney", query(f"SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(u, 6) AS u, round(1.0 - {_u}, 6) AS p_value FROM (SELECT n1, n2, ties, rs - n1 * (n1 + 1) / 2 AS u FROM (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM lineitem GROUP BY l_extendedprice)), (SELECT sum(rb) FILTER (flag = 'A') AS rs, count_if(flag = 'A')::DOUBLE AS n1, count_if(flag <> 'A')::DOUBLE AS n2 FROM ranked))", "ranked"))
 def _(spark, d):
     return stats.mann_whitney(_items(spark, d), ["k"], "l_extendedprice", F.col("l_returnflag") == "A").select("n1", "n2", *r6("u", "p_value"))
 

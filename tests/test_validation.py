@@ -487,3 +487,47 @@ def test_permutations_equal_back_tests_of_the_gated_signals(spark):
         gated = signals.entry_filter(df.drop("m").join(mixed, "bar_idx"), F.col("m") > 0.8, ["pair"], "bar_idx")
         want = trades.summary(trades.backtest(gated, ["pair"]), ["pair"]).first()
         assert r["trades"] == want["trades"] and abs(r["pnl"] - want["pnl"]) < 1e-9 and abs(r["profit_factor"] - want["profit_factor"]) < 1e-9
+
+
+@pytest.mark.parametrize("parts", [2, 64])
+def test_ranks_are_exact_wherever_the_cuts_lie(spark, parts):
+    """Ties, a value that a third of all rows hold, NaN and infinity, null keys; against a sort."""
+    rng = np.random.default_rng(parts)
+    rows = [(k, float(v)) for k in ("a", None) for v in [*rng.normal(size=300), *rng.integers(-2, 3, 200), *[0.25] * 250, math.inf, math.nan, math.nan]]
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = stats.value_ranks(df, ["k"], "x", parts).collect()
+    for key in ("a", None):
+        x = [v for k, v in rows if k == key]
+        place = sorted(x, key=lambda v: (math.isnan(v), v))
+        for r in [r for r in got if r["k"] == key]:
+            at = [i + 1 for i, v in enumerate(place) if v == r["x"] or (math.isnan(v) and math.isnan(r["x"]))]
+            assert (r["_n"], r["_rank"]) == (len(at), sum(at) / len(at))
+        assert sum(r["_n"] for r in got if r["k"] == key) == len(x)
+
+
+def test_no_window_of_a_whole_key(spark):
+    df = spark.range(1000).selectExpr("id % 2 AS k", "id * 7919 % 97 AS x", "id * 104729 % 89 AS y")
+    plan = stats.spearman(df, ["k"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    for line in [x for x in plan.splitlines() if "Window [" in x]:
+        assert "_range" in line  # over ranges of values, or over the table of ranges
+
+
+def test_mann_whitney_corrects_for_ties(spark):
+    rng = np.random.default_rng(4)
+    x, g = rng.integers(0, 6, 80), rng.random(80) < 0.4
+    df = spark.createDataFrame([("p", float(a), bool(b)) for a, b in zip(x, g, strict=True)], "k string, x double, g boolean")
+    r = stats.mann_whitney(df, ["k"], "x", F.col("g")).first()
+    u = sum((a > b) + 0.5 * (a == b) for a in x[g] for b in x[~g])
+    t = np.unique(x, return_counts=True)[1].astype(float)
+    n1, n2, n = g.sum(), (~g).sum(), 80
+    sd = math.sqrt(n1 * n2 / 12 * (n + 1 - (t**3 - t).sum() / (n * (n - 1))))
+    assert r["u"] == u and abs(r["p_value"] - 0.5 * math.erfc((u - n1 * n2 / 2 - 0.5) / sd / math.sqrt(2))) < 1e-6
+
+
+def test_spearman_within_periods(spark):
+    rng = np.random.default_rng(6)
+    rows = [("p", y, float(a), float(a * s + b)) for y, s, n in ((1, 1, 40), (2, -1, 25), (3, 1, 9)) for a, b in rng.normal(size=(n, 2))]
+    got = stats.spearman_within(spark.createDataFrame(rows, "k string, y int, a double, b double"), ["k"], "y", "a", "b").first()
+    rank = lambda v: np.argsort(np.argsort(v)).astype(float)
+    rho = {y: np.corrcoef(rank([r[2] for r in rows if r[1] == y]), rank([r[3] for r in rows if r[1] == y]))[0, 1] for y in (1, 2)}
+    assert (got["periods"], got["n"]) == (2, 65) and abs(got["rho"] - (40 * rho[1] + 25 * rho[2]) / 65) < 1e-9
