@@ -38,7 +38,7 @@ groups AS (SELECT *, list_transform(range(0, 8), lambda i: ('0x' || substr(sha,
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
        list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
          ((g[(k // 4)::INT + 1] >> (15 - 5 * (k % 4))::BIGINT) & 31)::INT + 1, 1)), 'string_agg', '') AS payload_digest,
-       CASE WHEN page_id = lead_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = lead_id OR lead_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN page_id = lead_id THEN NULL ELSE lead_id END AS refers_to
 FROM groups
 """

@@ -212,15 +212,17 @@ def write_packages(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     """Writes a record for each row; returns the written list of packages (path, first, last record).
 
     Which rows revisit: payloads meet as SHA-1 digests, added up before the shuffle; only the repeats
-    join the rows again, so they are broadcast where Spark finds them small, and shuffled where not.
+    join the rows again, so they are broadcast where Spark finds them small, and shuffled where not.  A null id
+    counts as larger than all others: such a row revisits the one with the smallest id, if there is one.
     """
     spark = pages.sparkSession
     folder = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     keyed = pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("sha"))
     first = keyed.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    repeats = keyed.join(first, "sha").filter("id <> first").select("id", "sha", "first").distinct()
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha")).join(repeats, ["id", "sha"], "left")
+    later = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    repeats = keyed.join(first, "sha").filter(later).select(F.col("id").alias("_id"), F.col("sha").alias("_sha"), "first").distinct()
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha")).join(repeats, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)

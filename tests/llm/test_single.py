@@ -62,6 +62,14 @@ def test_pages_that_repeat_an_id_with_other_payloads(spark):
     assert got == [(1, "one", 0), (2, "two", 0), (3, "", 1), (3, "own", 0), (4, "", 1), (4, "", 2), (5, "", 1), (5, "", 1)]
 
 
+def test_pages_of_null_ids(spark):
+    """A null id is larger than all others; without any other id there is nothing to revisit."""
+    pages = [(1, "one"), (1, "one"), (None, "one"), (None, "one"), (None, "own"), (None, "two"), (None, "two")]
+    df = spark.createDataFrame([(i, "http://h/", h) for i, h in pages], "page_id long, url string, html string")
+    got = [(r["page_id"], r["record_type"], r["refers_to"]) for r in rows(warc.read_packages(warc.write_packages(df)))]
+    assert sorted(got, key=repr) == sorted([(1, "response", None)] * 2 + [(None, "revisit", 1)] * 2 + [(None, "response", None)] * 3, key=repr)
+
+
 def test_sort_keys():
     assert warc.sort_key("https://user@www.Example.com:80/a b?c=d", 1) == "com,example,www)/a%20b?c=d" and warc.sort_key(None, 7) == "urn:page:7" and " " not in warc.sort_key("no url\n", 1)
 
