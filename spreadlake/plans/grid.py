@@ -167,6 +167,15 @@ def best_of(grid: DataFrame, keys: list[str], metric: str = "pnl", tie: str = "c
     return grid.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= k).drop("_n")
 
 
+def diverse_best(grid: DataFrame, pattern: list[str], same: list[str], n: int, metric: str = "pnl", tie: str = "config_id") -> DataFrame:
+    """n rows (a top-n report): the best of each pattern, best patterns first; where there are fewer patterns, the best of
+    further values of `same`, each once and none that is there already."""
+    first = best_of(grid, pattern, metric, tie).orderBy(F.desc(metric), tie).limit(n)
+    fill = best_of(grid, same, metric, tie).join(first.select(*same), same, "left_anti")
+    both = first.withColumn("_turn", F.lit(0)).unionByName(fill.withColumn("_turn", F.lit(1)))
+    return both.orderBy("_turn", F.desc(metric), tie).limit(n).drop("_turn")
+
+
 def cross_validated(done: DataFrame, summary: DataFrame, n_bars: int, keys: list[str], **options) -> DataFrame:
     found = validation.cpcv_summary(validation.cpcv_paths(done, n_bars, [*keys, "config_id"], **options), [*keys, "config_id"])
     return summary.join(found, [*keys, "config_id"], "left")

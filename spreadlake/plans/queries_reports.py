@@ -15,13 +15,11 @@ from .queries import r6, register, s6
 from .queries_validation import _grid, _two, gated_sql
 
 
-@register("derived_levels", query("SELECT config_id, round(greatest(entry - leave, 0), 4) AS z_exit, round(entry + stop, 4) AS z_stop FROM configs", "configs"))
+@register("derived_levels", query("SELECT config_id, trades, round(greatest(entry - leave, 0), 4) AS z_exit, round(entry + stop, 4) AS z_stop FROM g_sum", "g_sum"))
 def _(spark, d):
-    """Exit and stop levels from steps off the entry level."""
-    from .queries_validation import AXES
-
-    c = grid.axes(spark, **AXES)
-    return c.select("config_id", F.round(F.greatest(F.col("entry") - F.col("leave"), F.lit(0.0)), 4).alias("z_exit"), F.round(F.col("entry") + F.col("stop"), 4).alias("z_stop"))
+    """Exit and stop levels, from steps off the entry level, of the configurations that traded."""
+    levels = F.round(F.greatest(F.col("entry") - F.col("leave"), F.lit(0.0)), 4).alias("z_exit"), F.round(F.col("entry") + F.col("stop"), 4).alias("z_stop")
+    return _grid(spark, d).select("config_id", "trades", *levels)
 
 
 @register("profile_filter", query("SELECT config_id FROM g_sum WHERE trades BETWEEN 50 AND 400 AND win_rate >= 50 AND profit_factor > 1 AND avg_pnl > 0 AND entry >= 1 AND leave <= 0.5 AND stop < 5", "g_sum"))
@@ -42,16 +40,22 @@ def _label():
     return F.when(F.col("entry") >= 1.7, "far").when((F.col("leave") <= 0.25) & (F.col("stop") > 2) | (F.col("time_stop") > 0), "patient").otherwise("plain")
 
 
-@register("config_label", query(f"SELECT {_LABEL} AS label, count(*) AS n FROM configs GROUP BY 1", "configs"))
+@register("config_label", query(f"SELECT {_LABEL} AS label, count(*) AS n, sum(trades)::BIGINT AS trades, round(max(pnl), 6) AS best_pnl FROM g_sum GROUP BY 1", "g_sum"))
 def _(spark, d):
-    from .queries_validation import AXES
+    """Configurations that traded by label, with their trades and best PnL."""
+    return _grid(spark, d).groupBy(_label().alias("label")).agg(F.count("*").alias("n"), F.sum("trades").alias("trades"), F.round(F.max("pnl"), 6).alias("best_pnl"))
+
 
-    return grid.axes(spark, **AXES).groupBy(_label().alias("label")).agg(F.count("*").alias("n"))
+_BEST = "ORDER BY pnl DESC, config_id"
+cte("topn_all", f"SELECT *, row_number() OVER (PARTITION BY label {_BEST}) AS by_label, row_number() OVER (PARTITION BY entry, leave {_BEST}) AS by_levels FROM (SELECT *, {_LABEL} AS label FROM g_sum)", "g_sum")
+cte("topn_first", f"SELECT * FROM topn_all WHERE by_label = 1 {_BEST} LIMIT 5", "topn_all")
+cte("topn_both", "SELECT 0 AS turn, * FROM topn_first UNION ALL SELECT 1, * FROM topn_all t WHERE by_levels = 1 AND NOT EXISTS (SELECT 1 FROM topn_first f WHERE f.entry = t.entry AND f.leave = t.leave)", "topn_all", "topn_first")
 
 
-@register("pattern_topn", query(f"SELECT label, config_id, round(pnl, 6) AS pnl FROM (SELECT *, {_LABEL} AS label, row_number() OVER (PARTITION BY {_LABEL} ORDER BY pnl DESC, config_id) AS n FROM g_sum) WHERE n = 1", "g_sum"))
+@register("pattern_topn", query("SELECT label, config_id, round(pnl, 6) AS pnl FROM topn_both ORDER BY turn, pnl DESC, config_id LIMIT 5", "topn_both"))
 def _(spark, d):
-    return grid.best_of(_grid(spark, d).withColumn("label", _label()), ["label"]).select("label", "config_id", *r6("pnl"))
+    """Five configurations: the best of each label, then the best of levels that none of them has."""
+    return grid.diverse_best(_grid(spark, d).withColumn("label", _label()), ["label"], ["entry", "leave"], 5).select("label", "config_id", *r6("pnl"))
 
 
 @register("dedup_best", query("SELECT entry, leave, config_id FROM (SELECT *, row_number() OVER (PARTITION BY entry, leave ORDER BY pnl DESC, config_id) AS n FROM (SELECT * FROM g_sum WHERE stop < 2 UNION ALL SELECT * FROM g_sum WHERE time_stop = 0)) WHERE n = 1", "g_sum"))

@@ -49,12 +49,6 @@ _root = math.sqrt(2 * math.log(_TRIALS))
 _SR0 = f"({_MEAN} + {_STD} * (sqrt(2 * ln({_TRIALS})) - (ln(pi()) + ln(ln({_TRIALS}))) / (2 * sqrt(2 * ln({_TRIALS})))))"
 
 
-@register("expected_max_sharpe", "SELECT n, round(CASE WHEN n <= 1 THEN 0.1 ELSE 0.1 + 0.2 * (sqrt(2 * ln(n)) - (ln(pi()) + ln(ln(n))) / (2 * sqrt(2 * ln(n)))) END, 6) AS sharpe FROM (SELECT unnest(range(2, 200))::DOUBLE AS n)")
-def _(spark, d):
-    n = spark.range(2, 200).select(F.col("id").cast("double").alias("n"))
-    return n.select("n", F.round(exprs.expected_max_sharpe(F.col("n"), F.lit(0.1), F.lit(0.2)), 6).alias("sharpe"))
-
-
 cte("moments", "SELECT count(*) AS n, avg(pnl_net) AS m, stddev_pop(pnl_net) AS s FROM trades", "trades")
 cte("shape", f"SELECT any_value(n) AS n, any_value(m / s) AS sharpe, avg(((pnl_net - m) / s) ** 3) AS skew, avg(((pnl_net - m) / s) ** 4) AS kurt, {_SR0} AS benchmark FROM trades, moments", "trades", "moments")
 _DSR = exprs.normal_cdf_sql("((sharpe - benchmark) / sqrt((1 - skew * sharpe + (kurt - 3) / 4 * sharpe * sharpe) / (n - 1)))")
@@ -260,6 +254,20 @@ def _grid(spark: SparkSession, d: str) -> DataFrame:
     return grid.run(inputs.hedged(spark, d), grid.axes(spark, **AXES), KEYS)[1]
 
 
+_MAX = "CASE WHEN n <= 1 THEN m ELSE m + s * (sqrt(2 * ln(n)) - (ln(pi()) + ln(ln(n))) / (2 * sqrt(2 * ln(n)))) END"
+cte("trials", "SELECT entry, count(*)::DOUBLE AS n, avg(sharpe) AS m, stddev_pop(sharpe) AS s FROM (SELECT config_id, avg(pnl_net) / nullif(stddev_pop(pnl_net), 0) AS sharpe FROM g_trades GROUP BY config_id) JOIN configs USING (config_id) WHERE sharpe IS NOT NULL GROUP BY entry", "g_trades", "configs")
+
+
+@register("expected_max_sharpe", query(f"SELECT entry, n, round({_MAX}, 6) AS sharpe FROM trials", "trials"))
+def _(spark, d):
+    """The best Sharpe ratio to expect by chance of as many trials as the grid has for each entry level, from the trials' mean and spread."""
+    done = grid.run(inputs.hedged(spark, d), grid.axes(spark, **AXES), KEYS)[0]
+    each = done.groupBy("config_id").agg((F.avg("pnl_net") / F.nullif(F.stddev_pop("pnl_net"), F.lit(0.0))).alias("sharpe"))
+    trials = each.filter("sharpe is not null").join(grid.axes(spark, **AXES).select("config_id", "entry"), "config_id")
+    found = trials.groupBy("entry").agg(F.count("*").cast("double").alias("n"), F.avg("sharpe").alias("m"), F.stddev_pop("sharpe").alias("s"))
+    return found.select("entry", "n", F.round(exprs.expected_max_sharpe(F.col("n"), F.col("m"), F.col("s")), 6).alias("sharpe"))
+
+
 @register("grid_summary", query(f"SELECT config_id, entry, leave, stop, time_stop, trades, {s6('win_rate', 'pnl', 'profit_factor', 'avg_pnl')} FROM g_sum", "g_sum"))
 def _(spark, d):
     return _grid(spark, d).select("config_id", *AXES, "trades", *r6("win_rate", "pnl", "profit_factor", "avg_pnl"))

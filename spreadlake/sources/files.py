@@ -9,12 +9,15 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rolling import finite
+
 #: The vendor's column names and ours.
 VENDOR = {"Open": "open", "High": "high", "Low": "low", "Last": "close", "Volume": "volume", "NumberOfTrades": "num_trades", "BidVolume": "bid_vol", "AskVolume": "ask_vol"}
 
 
 def _number(name: str) -> Column:
-    return F.expr(f"try_cast(trim(`{name}`) as double)")
+    """A column of text as numbers; what is no finite number (so NaN, too) is NULL."""
+    return finite(F.expr(f"try_cast(trim(`{name}`) as double)"))
 
 
 def _time(date: Column, time: Column) -> Column:

@@ -140,7 +140,7 @@ def test_a_long_span_lies_in_few_bins(spark):
 
 
 def test_vendor_csv(spark, tmp_path):
-    (tmp_path / "NQ_data.csv").write_text("Date, Time, Open, High, Low, Last, Volume, NumberOfTrades\n2024/1/3, 9:05:00, 1, 2, 0.5, 1.5, 10, 3\n2024/01/03, 09:06:00, x, 2, 1, , 5, 1\nbad, 1, 1, 1, 1, 1, 1, 1\n")
+    (tmp_path / "NQ_data.csv").write_text("Date, Time, Open, High, Low, Last, Volume, NumberOfTrades\n2024/1/3, 9:05:00, 1, 2, 0.5, 1.5, 10, 3\n2024/01/03, 09:06:00, x, NaN, 1, , 5, 1\nbad, 1, 1, 1, 1, 1, 1, 1\n")
     got = files.vendor_csv(spark, str(tmp_path / "NQ_data.csv")).orderBy("ts").collect()
     assert [(r["instrument"], r["ts"], r["open"], r["close"], r["num_trades"]) for r in got] == [("NQ", datetime(2024, 1, 3, 9, 5), 1.0, 1.5, 3.0), ("NQ", datetime(2024, 1, 3, 9, 6), None, None, 1.0)]
 
