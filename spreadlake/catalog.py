@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .plans import queries as _queries
-from .plans import queries_reports, queries_validation  # noqa: F401  they register their queries
+from .plans import queries_reports, queries_sources, queries_validation  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
