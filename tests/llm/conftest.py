@@ -39,6 +39,8 @@ def small(tmp_path_factory):
     pq.write_table(pa.table({"doc_id": pa.array(ids + [1, None], pa.int64()), "quality": pa.array([1] * len(ids) + [0, 0], pa.int32()), "toxic": pa.array([int(i % 3 == 0) for i in range(len(ids))] + [None, 1], pa.int32())}), d / "labels.parquet")
     html = [None, "", "<p>x</p>", "<p>x</p>", "é" * 1000, "", None, "<p>x</p>", "z" * 300_000]
     pq.write_table(pa.table({"page_id": pa.array(range(10, 10 + len(html)), pa.int64()), "url": pa.array([None] + [f"http://h/{i}\r\nX: y" for i in range(len(html) - 1)], pa.string()), "html": pa.array(html, pa.string()), "first": pa.array([1] * len(html))}), d / "pages.parquet")
+    vectors = [[0.5, -0.25], [0.5, -0.25], None, [None, 1.0], [], [float("nan"), 0.0], [0.25, 0.125]]
+    pq.write_table(pa.table({"vec_id": pa.array([0, 1, 2, 3, None, 5, 100], pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([1, 2, 1, None, 1, 1, 2], pa.int32()), "key": pa.array(["k"] * 7)}), d / "embeddings.parquet")
     return str(d)
 
 
@@ -46,7 +48,7 @@ def small(tmp_path_factory):
 def empty(tmp_path_factory, small):
     """The same tables without rows."""
     d = tmp_path_factory.mktemp("empty")
-    for t in ("documents", "labels", "pages"):
+    for t in ("documents", "labels", "pages", "embeddings"):
         pq.write_table(pq.read_table(f"{small}/{t}.parquet").slice(0, 0), d / f"{t}.parquet")
     return str(d)
 
