@@ -46,36 +46,73 @@ def _matched(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(right, same).drop(*(f"_on{i}" for i in range(len(on))))
 
 
-def value_ranks(df: DataFrame, keys: list[str], x: str, parts: int = PARTS) -> DataFrame:
-    """keys, x, _n, _rank: each distinct value of a key, how many rows hold it, and their mean rank, from 1.
+def value_ranks(df: DataFrame, keys: list[str], x: str, parts: int = PARTS, rows: Column | None = None, sums: dict[str, Column] | None = None) -> DataFrame:
+    """keys, x, _n, _rank, _off: each distinct value of a key, how many rows hold it, their mean rank, from 1, and that less the key's mean rank.
 
     Values are counted first, so ties cost one row however many they are.  Approximate quantiles cut a key's values
     into `parts` ranges; the rows before a range come from a table of one row a range, those inside it from a
     window of a key and range.  So no task holds a key's values, and the ranks are exact wherever the cuts lie.
+    rows: how many rows a row of df stands for (1); sums: further columns, summed by value.
+
+    Values, cuts and the table of ranges are written to the shared folder: values are read three times, and a
+    table that is known to be small is broadcast before the values are sent anywhere.
     """
-    values = df.groupBy(*keys, x).agg(F.count("*").alias("_n"))
-    cuts = values.groupBy(*keys).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 1000).alias("_cuts"))
-    dealt = _matched(values, cuts, keys).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(x)))).drop("_cuts")
+    sums = sums or {}
+    values = df.groupBy(*keys, x).agg((F.count("*") if rows is None else F.sum(rows)).alias("_n"), *(F.sum(c).alias(n) for n, c in sums.items()))
+    values = table(values, "values")
+    cuts = table(values.groupBy(*keys).agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 1000).alias("_cuts")), "cuts")
+    dealt = _matched(values, cuts, keys)
+    wide = math.isqrt(parts - 1) + 1  # a cut in every `wide` tells the run of cuts, those of the run the range
+    beyond = lambda at: F.coalesce(F.get("_cuts", at) < F.col(x), F.lit(False)).cast("int")
+    count = lambda places: sum((beyond(at) for at in places), F.lit(0))
+    dealt = dealt.withColumn("_run", count(F.lit(i) for i in range(wide - 1, parts - 1, wide)) * wide)
+    dealt = dealt.withColumn("_range", F.col("_run") + count(F.col("_run") + i for i in range(wide - 1))).drop("_cuts", "_run")
     totals = dealt.groupBy(*keys, "_range").agg(F.sum("_n").alias("_total"))
-    ahead = F.coalesce(F.sum("_total").over(ordered(keys, "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ordered(keys, "_range")
+    ahead = F.coalesce(F.sum("_total").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    every = F.sum("_total").over(ranges.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     inside = F.sum("_n").over(ordered([*keys, "_range"], x).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
-    placed = _matched(dealt.withColumn("_inside", inside), totals.select(*keys, "_range", ahead.alias("_ahead")), [*keys, "_range"])
-    return placed.select(*keys, x, "_n", (F.col("_ahead") + F.col("_inside") + (F.col("_n") + 1) / 2).alias("_rank"))
+    before = table(totals.select(*keys, "_range", ahead.alias("_ahead"), every.alias("_all")), "ranges")
+    placed = _matched(dealt.withColumn("_inside", inside), before, [*keys, "_range"])
+    rank = F.col("_ahead") + F.col("_inside") + (F.col("_n") + 1) / 2
+    return placed.select(*keys, x, "_n", *sums, rank.alias("_rank"), (rank - (F.col("_all") + 1) / 2).alias("_off"))
+
 
+def _ranked(cells: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """cells, which stand for _n rows each, with the centred rank of each column (new name -> column) in place of it.
 
-def average_ranks(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
-    """df with the rank of each column's values in its key (new name -> column), from 1; equal values share the mean of theirs."""
-    out = df
+    Ranks are written to the shared folder: a small table is then known to be small and is broadcast, so the cells
+    are not sent to the few tasks that hold its values.
+    """
+    out = cells
     for name, x in columns.items():
-        out = _matched(out, value_ranks(df, keys, x).select(*keys, x, F.col("_rank").alias(name)), [*keys, x])
+        ranks = table(value_ranks(cells, keys, x, rows=F.col("_n")).select(*keys, x, F.col("_off").alias(name)), "ranks")
+        out = _matched(out, ranks, [*keys, x]).drop(x)
     return out
 
 
+def _cells(df: DataFrame, keys: list[str], columns: dict[str, str]) -> DataFrame:
+    """Each combination of values of a key (new name -> column) that has no null, and the rows _n that hold it; written, since ranks and joins read it."""
+    named = df.select(*keys, *(F.col(c).alias(n) for n, c in columns.items()))
+    for n in columns:
+        named = named.filter(F.col(n).isNotNull())
+    return table(named.groupBy(*keys, *columns).agg(F.count("*").alias("_n")), "cells")
+
+
+def _correlated(cells: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
+    """n and rho of cells that stand for _n rows each.
+
+    The ranks of x are joined to the cells; those of y are not: cells are summed by y, and the sums go along with its values.
+    """
+    r = _ranked(cells, keys, {"_rx": x})
+    own = F.col("_rx") * F.col("_n")
+    by = value_ranks(r, keys, y, rows=F.col("_n"), sums={"_sx": own, "_sxx": own * F.col("_rx")})
+    total = by.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum(F.col("_sx") * F.col("_off")).alias("_c"), F.sum("_sxx").alias("_vx"), F.sum(F.col("_off") * F.col("_off") * F.col("_n")).alias("_vy"))
+    return total.select(*keys, "n", (F.col("_c") / F.nullif(F.sqrt("_vx") * F.sqrt("_vy"), F.lit(0.0))).alias("rho"))
+
+
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
-    ranks = average_ranks(both, keys, {"_rx": "_x", "_ry": "_y"})
-    out = ranks.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("_rx", "_ry").alias("_c"), F.stddev_pop("_rx").alias("_sx"), F.stddev_pop("_ry").alias("_sy"))
-    return out.select(*keys, "n", (F.col("_c") / F.nullif(F.col("_sx") * F.col("_sy"), F.lit(0.0))).alias("rho"))
+    return _correlated(_cells(df, keys, {"_x": x, "_y": y}), keys, "_x", "_y")
 
 
 def spearman_within(df: DataFrame, keys: list[str], period: str, x: str, y: str, least: int = 10) -> DataFrame:
@@ -131,22 +168,21 @@ def correlation_p(r: str, n: str) -> Column:
 def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, given: str) -> DataFrame:
     """Rank correlation of what is left of the ranks of x and y behind their regressions on the rank of a third column.
 
-    What is left is rounded to 6 places before it is ranked, so equal pairs of ranks tie.  The first ranks are written
-    to the shared folder, since the regressions and the second ranks read them several times.
+    What is left is rounded to 6 places before it is ranked, so equal pairs of ranks tie.  Rows are counted by
+    their three values first; ranks are centred, so the regressions go through the origin.
     """
-    named = [F.col(c).alias(f"_{n}") for n, c in (("x", x), ("y", y), ("t", given))]
-    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(given).isNotNull()).select(*keys, *named)
-    r = table(average_ranks(both, keys, {"_rx": "_x", "_ry": "_y", "_rt": "_t"}).select(*keys, "_rx", "_ry", "_rt"), "ranks")
-    fit = r.groupBy(*keys).agg(*(f(f"_r{c}", "_rt").alias(f"_{n}{c}") for c in ("x", "y") for n, f in (("s", F.regr_slope), ("i", F.regr_intercept))))
-    left = _matched(r, fit, keys).select(*keys, *(F.round(F.col(f"_r{c}") - F.col(f"_i{c}") - F.col(f"_s{c}") * F.col("_rt"), 6).alias(f"_l{c}") for c in ("x", "y")))
-    return spearman(left, keys, "_lx", "_ly").select(*keys, "rho")
+    r = table(_ranked(_cells(df, keys, {"_x": x, "_y": y, "_t": given}), keys, {"_rx": "_x", "_rt": "_t", "_ry": "_y"}), "ranked")
+    t = F.col("_rt") * F.col("_n")
+    slopes = (F.sum(F.col(f"_r{c}") * t) / F.nullif(F.sum(F.col("_rt") * t), F.lit(0.0)) for c in "xy")
+    fit = table(r.groupBy(*keys).agg(*(slope.alias(f"_s{c}") for c, slope in zip("xy", slopes, strict=True))), "fit")
+    left = _matched(r, fit, keys).select(*keys, "_n", *(F.round(F.col(f"_r{c}") - F.col(f"_s{c}") * F.col("_rt"), 6).alias(f"_l{c}") for c in "xy"))
+    return _correlated(left.filter(F.col("_lx").isNotNull()), keys, "_lx", "_ly").select(*keys, "rho")
 
 
 def mann_whitney(df: DataFrame, keys: list[str], x: str, group: Column) -> DataFrame:
     """U of the rows where group holds against the others, and the one-sided p-value (larger) by the normal approximation with corrections for continuity and ties."""
     rows = df.filter(F.col(x).isNotNull() & group.isNotNull()).select(*keys, F.col(x).alias("_x"), group.cast("int").alias("_g"))
-    counts = rows.groupBy(*keys, "_x").agg(F.sum("_g").alias("_n1"))
-    ranks = _matched(counts, value_ranks(rows, keys, "_x"), [*keys, "_x"])
+    ranks = value_ranks(rows, keys, "_x", sums={"_n1": F.col("_g")})
     n, ties = F.col("_n").cast("double"), F.sum(F.col("_n").cast("double") * (F.col("_n").cast("double") * F.col("_n") - 1))
     agg = ranks.groupBy(*keys).agg(F.sum(F.col("_n1") * F.col("_rank")).alias("_rs"), F.sum("_n1").alias("n1"), F.sum(F.col("_n") - F.col("_n1")).alias("n2"), ties.alias("_ties"), F.sum(n).alias("_all"))
     u = agg.withColumn("u", F.col("_rs") - F.col("n1") * (F.col("n1") + 1) / 2)

@@ -12,6 +12,7 @@ from spreadlake import catalog
 from spreadlake.functions import exprs
 from spreadlake.operators import bars, kalman, rolling, signals, stats, ticks, trades, validation
 from spreadlake.plans import estimators, grid
+from spreadlake.sources.storage import table
 from spreadlake.streaming import online
 
 K = ["pair"]
@@ -533,6 +534,24 @@ def test_no_window_of_a_whole_key(spark):
         assert "_range" in line  # over ranges of values, or over the table of ranges
 
 
+def test_rank_correlations_join_small_tables_only(spark, monkeypatch):
+    """Columns of few values, against sorts; rows that repeat are one cell, and no cell is sent to the tasks of a value or key."""
+    rng = np.random.default_rng(8)
+    rows = [(int(a), float(b), int(c)) for a, b, c in zip(rng.integers(0, 5, 200), rng.integers(0, 90, 200), rng.integers(0, 3, 200), strict=True)] * 7
+    df = spark.createDataFrame([("p", *r) for r in rows] + [("p", None, 1.0, 1), (None, 1, 1.0, 0), (None, 2, 5.0, 1), (None, 3, 2.0, 0)], "k string, x int, y double, t int")
+    written = []
+    monkeypatch.setattr(stats, "table", lambda d, name: written.append((name, d._jdf.queryExecution().executedPlan().toString())) or table(d, name))
+    place = lambda v: np.array([(np.sum(v < a) + np.sum(v <= a) + 1) / 2 for a in v])
+    x, y, t = (place(np.array(c)) for c in zip(*rows, strict=True))
+    left = [place(np.round(r - np.polyval(np.polyfit(t, r, 1), t), 6)) for r in (x, y)]
+    plain = {r["k"]: r for r in stats.spearman(df, ["k"], "x", "y").collect()}
+    partial = {r["k"]: r["rho"] for r in stats.partial_spearman(df, ["k"], "x", "y", "t").collect()}
+    assert plain["p"]["n"] == 1400 and abs(plain["p"]["rho"] - np.corrcoef(x, y)[0, 1]) < 1e-9 and abs(plain[None]["rho"] - 0.5) < 1e-9
+    assert abs(partial["p"] - np.corrcoef(*left)[0, 1]) < 1e-6 and None in partial
+    joined = [p for name, p in written if name in ("ranked", "ranges")]
+    assert len(joined) >= 5 and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in joined)
+
+
 def test_mann_whitney_corrects_for_ties(spark):
     rng = np.random.default_rng(4)
     x, g = rng.integers(0, 6, 80), rng.random(80) < 0.4
